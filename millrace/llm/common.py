@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import ship
+
 #: Texts are worked on in runs of about this many characters, so a worker's memory does not follow the batch.
 RUN_CHARS = 2_000_000
 
@@ -79,8 +81,9 @@ def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], outputs: dict
     list of values for each output. Columns are passed by place, so no name in docs can clash; an output's name
     takes the place of a column of that name.
     """
+    ship(docs.sparkSession)
     keep = [c for c in keep if c not in outputs]
-    k = len(keep)
+    k, more = len(keep), len(inputs)
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     arrow = [_ARROW[t] for t in outputs.values()]
 
@@ -89,7 +92,7 @@ def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], outputs: dict
         for batch in batches:
             for start, texts in text_runs(batch.column(k).to_pylist()):
                 part = batch.slice(start, len(texts))
-                made = work(texts, *(part.column(k + 1 + j).to_pylist() for j in range(len(inputs))))
+                made = work(texts, *(part.column(k + 1 + j).to_pylist() for j in range(more)))
                 columns = [*part.columns[:k], *(pa.array(v, type=t) for v, t in zip(made, arrow, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{j}" for j in range(len(columns))])
 

@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import factor_quality, piece_codec, poisson_mix, segment_langid, simhash_dedup
+from millrace.llm import factor_quality, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup
 from millrace.llm.common import fold
 from millrace.session import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = factor_quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -36,14 +40,25 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), ["doc_id"])
 
 
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = poisson_mix.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "n_chars", F.col("mix_copy").alias("copy"), F.col("mix_rate").alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (op4_factor_quality, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_pivot_topk, op4_factor_quality, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix)}
 
 ORACLES = {
+    "op1_pivot_topk": """
+WITH v AS (SELECT vec_id::BIGINT AS id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS vec FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+      FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
     "op10_poisson_mix": """
 WITH sizes AS (SELECT source, sum(coalesce(n_chars, 0))::BIGINT AS size FROM documents GROUP BY source),
 wanted AS (SELECT source, size, CASE WHEN size > 0 THEN pow(size::DOUBLE, 0.5) ELSE 0.0 END AS want FROM sizes),
@@ -55,8 +70,9 @@ terms AS (SELECT src, k, sum(exp(-(rate / parts) + k * ln(rate / parts) - lgamma
 tables AS (SELECT src, list(c ORDER BY k) AS cs FROM terms GROUP BY src),
 draws AS (SELECT d.doc_id, d.source, d.n_chars, p.rate, t.cs, p.parts FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.src
           JOIN tables t ON t.src IS NOT DISTINCT FROM p.src),
-counted AS (SELECT doc_id, source, n_chars, rate, list_sum(list_transform(range(1, parts + 1), part ->
-              len(list_filter(cs, c -> c <= ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/17/' || part::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0)))) AS n FROM draws)
+counted AS (SELECT doc_id, source, n_chars, rate, list_sum([
+              len([c FOR c IN cs IF c <= ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/17/' || part::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0])
+              FOR part IN range(1, parts + 1)]) AS n FROM draws)
 SELECT doc_id, source, n_chars, unnest(range(1, n::BIGINT + 1))::INT AS copy, rate FROM counted WHERE n > 0
 """,
 }

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, lower_words, map_texts, segment_sums
+from millrace.session import ship
 
 BITS = 3
 SEED = 42
@@ -85,6 +86,7 @@ def links(seen: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b) fingerprints, a < b, at most `bits` apart, that connect all linked fingerprints of seen (distinct `fp`)."""
     if bits > BITS:
         raise ValueError("two segments with one wildcard each cover at most 3 differing bits")
+    ship(seen.sparkSession)
     keyed = _variants(seen)
     sizes = keyed.groupBy("key").agg(F.count("fp").alias("n")).filter("n > 1")
     shared = cut(keyed.join(sizes, "key"), "simhash-buckets")
@@ -133,24 +135,27 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
-    """(id_col, fp, component_id) of every row."""
+    """(id_col, fp, root, component_id) of every row; root is the smallest fingerprint of the component."""
     marked = cut(fingerprints(docs, [id_col], text_col, width), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
     roots = cut(components(links(nodes.select("fp"), bits)), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owners = cut(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return marked.join(owners, "fp", "left").select(id_col, "fp", "component_id")
+    owners = cut(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    return marked.join(owners, "fp", "left").select(id_col, "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
     """The rows of docs without those that a near-duplicate of smaller id stands for; rows repeated under one id count once.
 
-    Rows with a null id can't be named; of each component made of such rows alone, one is kept.
+    Rows with a null id go where their component holds an id; of each component of such rows alone one row stays.
     """
     names = docs.columns
     found = near_duplicates(docs, id_col, text_col, width, bits)
-    goes = cut(found.filter(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct(), "goes")
-    stays = docs.join(goes, docs[id_col] == goes["__gone"], "left_anti")
-    # What stays is one id a component; an id or a null that is repeated is reduced to one of its rows.
-    return stays.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(*names)
+    goes = cut(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "goes")
+    stays = docs.filter(F.col(id_col).isNotNull()).join(goes, docs[id_col] == goes["__gone"], "left_anti")
+    # What stays is one id a component; rows repeated under it are reduced to one.
+    stays = stays.dropDuplicates([id_col]).select(*names)
+    nameless = found.filter(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    alone = fingerprints(docs.filter(F.col(id_col).isNull()), names, text_col, width)
+    return stays.unionAll(alone.join(nameless, alone["fp"] == nameless["__fp"]).dropDuplicates(["__root"]).select(*names))
