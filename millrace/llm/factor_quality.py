@@ -171,6 +171,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = "n_chars", label_col: str = "quality", folds: int = 5) -> Machine:
     """A machine fitted on labels whose id's fold is not 0."""
     rows = training_rows(docs, labels, id_col, text_col, n_chars, label_col, folds)
+    sizes = rows.select(F.xxhash64("i").alias("h"), "i", F.length("t").alias("size")).toPandas().sort_values(["h", "i"], kind="stable")
+    under = sizes[sizes["size"].cumsum() <= MAX_CHARS]
+    if not len(under):
+        return Machine()
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in under["i"].unique()], "i long")), "i")
 
     def maker():
         make = Featurizer()
@@ -179,20 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             bins, values, counts, stats = make(texts, n)
             ends = np.cumsum(counts)
             cuts = list(zip(ends - counts, ends, strict=True))
-            return [len(t) for t in texts], [bins[a:b].tobytes() for a, b in cuts], [values[a:b].astype(np.float32).tobytes() for a, b in cuts], [x.tobytes() for x in stats]
+            return [bins[a:b].tobytes() for a, b in cuts], [values[a:b].astype(np.float32).tobytes() for a, b in cuts], [x.tobytes() for x in stats]
 
         return work
 
-    made = map_texts(rows, "t", ["i", "y"], {"size": "long", "bins": "binary", "vals": "binary", "stats": "binary"}, maker, [F.col("c")])
+    made = map_texts(rows, "t", ["i", "y"], {"bins": "binary", "vals": "binary", "stats": "binary"}, maker, [F.col("c")])
     got = made.withColumn("h", F.xxhash64("i")).toPandas().sort_values(["h", "i"], kind="stable")
-    found, chars = [], 0
-    made = rows.mapInPandas(features, f"i {kind}, y int, size long, bins binary, vals binary, stats binary")
-    got = made.select(F.xxhash64("i").alias("h"), "i", "y", "size", "bins", "vals", "stats").toPandas().sort_values(["h", "i"], kind="stable")
-    for row in got.itertuples():
-        chars += row.size
-        if chars > MAX_CHARS and found:
-            break
-        found.append(row)
+    found = list(got.itertuples())
     if not found:
         return Machine()
     bins = [np.frombuffer(r.bins, dtype=np.int32) for r in found]
