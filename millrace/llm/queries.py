@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import factor_quality, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup
+from millrace.llm import factor_quality, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
 from millrace.llm.common import fold
 from millrace.session import table
 
+SHARDS = 40
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -17,6 +18,12 @@ def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc_bundles.archive_folder(spark)
+    index = warc_bundles.write(table(spark, sf_dir, "pages"), folder)
+    return warc_bundles.read(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = factor_quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -24,6 +31,11 @@ def op4_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= factor_quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,7 +61,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_chars", F.col("mix_copy").alias("copy"), F.col("mix_rate").alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_topk, op4_factor_quality, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_pivot_topk, op3_warc_bundles, op4_factor_quality, op5_kd_shards, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix)}
 
 ORACLES = {
     "op1_pivot_topk": """
@@ -58,6 +70,12 @@ WITH v AS (SELECT vec_id::BIGINT AS id, [floor(1024 * x::DOUBLE) FOR x IN embedd
 s AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
       FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
+    "op3_warc_bundles": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f
 """,
     "op10_poisson_mix": """
 WITH sizes AS (SELECT source, sum(coalesce(n_chars, 0))::BIGINT AS size FROM documents GROUP BY source),
