@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import factor_quality, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
+from millrace.llm import factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
 from millrace.llm.common import fold
 from millrace.session import table
 
@@ -18,6 +18,13 @@ def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    scored = interpolated_lm.score(docs, crc % 7 != 2, F.floor(crc / 7) % 8 == 3, ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc_bundles.archive_folder(spark)
     index = warc_bundles.write(table(spark, sf_dir, "pages"), folder)
@@ -61,7 +68,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_chars", F.col("mix_copy").alias("copy"), F.col("mix_rate").alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_topk, op3_warc_bundles, op4_factor_quality, op5_kd_shards, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_pivot_topk, op2_interpolated_lm, op3_warc_bundles, op4_factor_quality, op5_kd_shards, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix)}
 
 ORACLES = {
     "op1_pivot_topk": """
