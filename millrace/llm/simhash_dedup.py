@@ -89,7 +89,8 @@ def links(seen: DataFrame, bits: int = BITS) -> DataFrame:
     ship(seen.sparkSession)
     keyed = _variants(seen)
     sizes = keyed.groupBy("key").agg(F.count("fp").alias("n")).filter("n > 1")
-    shared = cut(keyed.join(sizes, "key"), "simhash-buckets")
+    # Variants are 64 rows a fingerprint, more than Spark's estimate from the table's size: never broadcast them.
+    shared = cut(keyed.join(sizes.hint("merge"), "key"), "simhash-buckets")
     small = shared.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "fp")
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
     large = shared.filter(F.col("n") > BLOCK).withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
