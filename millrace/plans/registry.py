@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import core
+from millrace.plans import core, scalars  # noqa: F401  importing a module registers its queries
+from millrace.plans.base import ORACLES, QUERIES
 
-QUERIES = {}
-ORACLES = {}
-for module in (core,):
-    QUERIES |= module.QUERIES
-    ORACLES |= module.ORACLES
+__all__ = ["ORACLES", "QUERIES"]
