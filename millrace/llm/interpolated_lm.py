@@ -11,12 +11,14 @@ answers each chunk with the totals of its keys in the order they came, so no key
 the documents to the same chunks and reads the totals beside them. All n-grams of all documents are counted, none is
 pruned; a key that every chunk holds is one key a chunk, so frequent words need no salting.
 
-Unigrams are keyed by 64-bit hashes, longer n-grams by 56-bit hashes. Null texts are empty and score their end alone;
+Unigrams are keyed by 64-bit hashes. Longer n-grams get as many bits as leave some dozens of colliding pairs at most to be
+expected among all of them (2 log2(n) - 6, at most 64), since keys are most of what is shuffled. Null texts are empty and score their end alone;
 repeated rows count and score as often as they stand. With no training documents every score is that of N = V = 0.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -33,8 +35,6 @@ CHUNK_CHARS = 4_000_000
 #: A bucket of the key space gets the n-grams of about so many characters.
 BUCKET_CHARS = 4_000_000
 EM_ROUNDS = 40
-#: Steps an octave at which held-out probabilities are told apart while the weights are learned.
-GRID = 4
 REMEMBERED = 300_000
 BEGIN, END = 1, 2  # in place of word hashes
 BINS = 24
@@ -51,7 +51,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Grams:
     """The n-grams of some documents: keys of tokens, of bigrams and of trigrams, by position."""
 
-    def __init__(self, texts: list[str], memory: dict[bytes, int]):
+    def __init__(self, texts: list[str], memory: dict[bytes, int], bits: int):
         words = [lower_words(t) for t in texts]
         if len(memory) > REMEMBERED:
             memory.clear()
@@ -73,9 +73,9 @@ class Grams:
         token = ~first
         token[ends - total + 1] = False
         two = np.zeros(len(flat), dtype=np.uint64)
-        two[1:] = _mix(flat[:-1], flat[1:]) >> np.uint64(8)
+        two[1:] = _mix(flat[:-1], flat[1:]) >> np.uint64(64 - bits)
         three = np.zeros(len(flat), dtype=np.uint64)
-        three[2:] = _mix(_mix(flat[:-2], flat[1:-1]), flat[2:] + np.uint64(7)) >> np.uint64(8)
+        three[2:] = _mix(_mix(flat[:-2], flat[1:-1]), flat[2:] + np.uint64(7)) >> np.uint64(64 - bits)
         # BEGIN counts once a document as the context of its first word, so of its two places one is left out.
         one_at = ~first
         self.at = np.flatnonzero(token)
@@ -134,43 +134,42 @@ def unpack(raw: bytes, keyed: bool, arrays: int = 2) -> list[list[np.ndarray]]:
     return out
 
 
-def _bounds(sets: list[np.ndarray], buckets: int) -> list[np.ndarray]:
-    """Where each bucket's keys begin in each sorted set: the key space of each order cut evenly."""
-    out = []
-    for k, keys in enumerate(sets):
-        space = 1 << (64 if k == 0 else 56)
-        out.append(np.searchsorted(keys, np.array([-(-space * b // buckets) for b in range(1, buckets)], dtype=np.uint64)))
-    return [np.r_[0, x, len(s)] for x, s in zip(out, sets, strict=True)]
+def _parts_by_bucket(counts: list[tuple[np.ndarray, ...]], buckets: int, bits: int):
+    """(bucket, parts) of each bucket that has keys: the key space of each order, sorted, cut evenly by its top 32 bits."""
+    cuts = []
+    for k, part in enumerate(counts):
+        of = ((part[0] >> np.uint64((bits if k else 64) - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        found, first = np.unique(of, return_index=True)
+        cuts.append(dict(zip(found.tolist(), zip(first.tolist(), np.r_[first[1:], len(of)].tolist(), strict=True), strict=True)))
+    for b in sorted(set().union(*cuts)):
+        yield b, [tuple(x[slice(*c.get(b, (0, 0)))] for x in part) for part, c in zip(counts, cuts, strict=True)]
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, training: Column, em: Column, keep: list[str]) -> tuple[DataFrame, int]:
-    """(chunk, c0.. of keep, t, kind) of every row and the number of buckets; kind 0 is scored only, 1 estimates, 2 is held out for the weights."""
+def dealt(docs: DataFrame, id_col: str, text_col: str, training: Column, em: Column, keep: list[str]) -> tuple[DataFrame, int, int]:
+    """(chunk, c0.. of keep, t, kind) of every row, the number of buckets and the bits of a key; kind 0 is scored only, 1 estimates, 2 is held out for the weights."""
     kind = F.when(training & em, 2).when(training, 1).otherwise(0)
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(keep)), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), kind.alias("kind"), F.col(f"`{id_col}`").alias("i"))
     chars = rows.agg(F.sum(F.length("t") + 1)).first()[0] or 0
     chunks = max(1, -(-chars // CHUNK_CHARS))
-    # Held-out rows have chunks of their own, so that the weights can be learned from these alone.
     h = F.xxhash64("i", F.crc32(F.col("t").cast("binary")))
-    few = max(1, -(-chunks // 8))
-    chunk = F.when(F.col("kind") == 2, F.pmod(h, F.lit(few)) + chunks).otherwise(F.pmod(h, F.lit(chunks)))
-    return rows.select(chunk.cast("long").alias("chunk"), *(f"c{j}" for j in range(len(keep))), "t", "kind"), max(1, -(-chars // BUCKET_CHARS))
+    # A chunk has rows of one kind: its counts pack well, and the weights can be learned from the held-out ones alone.
+    chunk = F.pmod(h, F.when(F.col("kind") == 1, chunks).otherwise(max(1, -(-chunks // 6)))) * 3 + F.col("kind")
+    bits = min(64, max(40, math.ceil(2 * math.log2(chars / 3 + 2)) - 6))
+    return rows.select(chunk.cast("long").alias("chunk"), *(f"c{j}" for j in range(len(keep))), "t", "kind"), max(1, -(-chars // BUCKET_CHARS)), bits
 
 
-def totals(rows: DataFrame, buckets: int) -> DataFrame:
+def totals(rows: DataFrame, buckets: int, bits: int) -> DataFrame:
     """(chunk, bucket, payload, n, nt, v): each chunk's totals by bucket, and each bucket's tokens, estimating tokens and distinct tokens."""
     memory_of: dict[str, dict] = {}
 
     def ask(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("t").to_pylist(), memory_of.setdefault("words", {}))
+        grams = Grams(table.column("t").to_pylist(), memory_of.setdefault("words", {}), bits)
         kind = table.column("kind").to_numpy()
         counts = list(zip(grams.sets, grams.counts((kind == 1).astype(float)), grams.counts((kind == 2).astype(float)), strict=True))
-        bounds = _bounds(grams.sets, buckets)
         where, payloads = [], []
-        for b in range(buckets):
-            parts = [tuple(x[e[b] : e[b + 1]] for x in c) for c, e in zip(counts, bounds, strict=True)]
-            if any(len(p[0]) for p in parts):
-                where.append(b)
-                payloads.append(pack(parts, True))
+        for b, parts in _parts_by_bucket(counts, buckets, bits):
+            where.append(b)
+            payloads.append(pack(parts, True))
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array(where, pa.int64()), "chunk": pa.array([chunk] * len(where), pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
@@ -218,31 +217,32 @@ def _parts(counts: tuple[np.ndarray, ...], n: int, v: int) -> tuple[np.ndarray,
     return uvw / np.maximum(ctx2, 1), vw / np.maximum(ctx1, 1), (w + 1) / (n + v + 1), _bin(ctx2) * BINS + _bin(ctx1)
 
 
-def learn_weights(rows: DataFrame, answers: DataFrame, nt: int, v: int) -> np.ndarray:
+def learn_weights(rows: DataFrame, answers: DataFrame, nt: int, v: int, bits: int) -> np.ndarray:
     """(BINS * BINS, 3) weights of p3, p2, p1 by bucket."""
     memory_of: dict[str, dict] = {}
 
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["bucket", "q3", "q2", "q1", "n"]
+        names = ["bucket", "q3", "q2", "q1", "n", "p3", "p2", "p1"]
         if not left.num_rows:
-            return pa.table({x: pa.array([], pa.int64()) for x in names})
-        grams = Grams(left.column("t").to_pylist(), memory_of.setdefault("words", {}))
+            return pa.table({x: pa.array([], pa.float64() if x[0] == "p" else pa.int64()) for x in names})
+        grams = Grams(left.column("t").to_pylist(), memory_of.setdefault("words", {}), bits)
         p3, p2, p1, bucket = _parts(grams.token_counts(_read(right)[0]), nt, v)
-        grid = lambda p: np.where(p > 0, np.rint(np.log2(np.maximum(p, 1e-300)) * GRID), -10_000).astype(np.int64)
-        found, n = np.unique(np.stack([bucket, grid(p3), grid(p2), grid(p1)]), axis=1, return_counts=True)
-        return pa.table(dict(zip(names, [*map(pa.array, found), pa.array(n, pa.int64())], strict=True)))
+        octave = lambda p: np.where(p > 0, np.floor(np.log2(np.maximum(p, 1e-300))), -10_000).astype(np.int64)
+        found, inverse, n = np.unique(np.stack([bucket, octave(p3), octave(p2), octave(p1)]), axis=1, return_inverse=True, return_counts=True)
+        sums = [np.bincount(inverse.reshape(-1), p, len(n)) for p in (p3, p2, p1)]
+        return pa.table(dict(zip(names, [*map(pa.array, found), pa.array(n, pa.int64()), *map(pa.array, sums)], strict=True)))
 
     held = rows.filter("kind = 2").select("chunk", "t")
-    schema = "bucket long, q3 long, q2 long, q1 long, n long"
-    # The grid bounds the cells, whatever the corpus is.
-    found = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cells, schema).groupBy("bucket", "q3", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+    schema = "bucket long, q3 long, q2 long, q1 long, n long, p3 double, p2 double, p1 double"
+    # Cells are octaves of the three probabilities, so their number is bounded, whatever the corpus is; a cell stands for its means.
+    made = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cells, schema)
+    found = made.groupBy("bucket", "q3", "q2", "q1").agg(*(F.sum(x).alias(x) for x in ("n", "p3", "p2", "p1"))).toPandas()
     start = np.array([0.4, 0.3, 0.3])
     weights = np.tile(start, (BINS * BINS, 1))
     usable = np.stack([np.arange(BINS * BINS) // BINS > 0, np.arange(BINS * BINS) % BINS > 0, np.ones(BINS * BINS, dtype=bool)], axis=1)
     weights = weights * usable / (weights * usable).sum(1, keepdims=True)
     if len(found):
-        q = found[["q3", "q2", "q1"]].to_numpy()
-        p = np.where(q > -10_000, 2.0 ** (q / GRID), 0)
+        p = found[["p3", "p2", "p1"]].to_numpy() / found[["n"]].to_numpy()
         b, n = found["bucket"].to_numpy(), found["n"].to_numpy().astype(float)
         prior = weights.copy()
         for _ in range(EM_ROUNDS):
@@ -256,12 +256,12 @@ def learn_weights(rows: DataFrame, answers: DataFrame, nt: int, v: int) -> np.nd
 def score(docs: DataFrame, training: Column, em: Column, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns keep of every row with n_tokens, n_known, train_tokens, base_score and score (log10)."""
     ship(docs.sparkSession)
-    rows, buckets = dealt(docs, id_col, text_col, training, em, keep)
-    answers = totals(rows, buckets)
+    rows, buckets, bits = dealt(docs, id_col, text_col, training, em, keep)
+    answers = totals(rows, buckets, bits)
     sums = answers.agg(F.sum("n").alias("n"), F.sum("nt").alias("nt"), F.sum("v").alias("v")).first()
     n, nt, v = sums["n"] or 0, sums["nt"] or 0, sums["v"] or 0
     answers = answers.select("chunk", "bucket", "payload")
-    chosen = learn_weights(rows, answers.join(F.broadcast(rows.filter("kind = 2").select("chunk").distinct()), "chunk", "left_semi"), nt, v)
+    chosen = learn_weights(rows, answers.filter("chunk % 3 = 2"), nt, v, bits)
     held = docs.sparkSession.sparkContext.broadcast(chosen)  # BINS * BINS rows
     k = len(keep)
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
@@ -270,7 +270,7 @@ def score(docs: DataFrame, training: Column, em: Column, keep: list[str], id_col
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left.select([f"c{j}" for j in range(k)]).append_column("n_tokens", pa.array([], pa.int64())).append_column("n_known", pa.array([], pa.int64())).append_column("base_score", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64()))
-        grams = Grams(left.column("t").to_pylist(), memory_of.setdefault("words", {}))
+        grams = Grams(left.column("t").to_pylist(), memory_of.setdefault("words", {}), bits)
         counts = grams.token_counts(_read(right)[1])
         p3, p2, p1, bucket = _parts(counts, n, v)
         weights = held.value[bucket]
