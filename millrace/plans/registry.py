@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, core, diffs, graphs, ordered, ranked, scalars, spatial  # noqa: F401  importing a module registers its queries
+from millrace.plans import aggregates, core, diffs, graphs, more, ordered, ranked, scalars, spatial  # noqa: F401  importing a module registers its queries
 from millrace.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
