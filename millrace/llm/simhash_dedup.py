@@ -48,9 +48,9 @@ def text_fingerprints(texts: list[str], width: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
-    """Columns keep and `fp` (the fingerprint's 64 bits as a long) of every row."""
-    return map_texts(docs, text_col, keep, {"fp": "long"}, lambda: lambda texts: [text_fingerprints(texts, width)])
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 3, name: str = "fp") -> DataFrame:
+    """Columns keep and `name` (the fingerprint's 64 bits as a long) of every row."""
+    return map_texts(docs, text_col, keep, {name: "long"}, lambda: lambda texts: [text_fingerprints(texts, width)])
 
 
 def _variants(seen: DataFrame) -> DataFrame:
@@ -158,5 +158,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # What stays is one id a component; rows repeated under it are reduced to one.
     stays = stays.dropDuplicates([id_col]).select(*names)
     nameless = found.filter(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    alone = fingerprints(docs.filter(F.col(id_col).isNull()), names, text_col, width)
-    return stays.unionAll(alone.join(nameless, alone["fp"] == nameless["__fp"]).dropDuplicates(["__root"]).select(*names))
+    alone = fingerprints(docs.filter(F.col(id_col).isNull()), names, text_col, width, "__own_fp")
+    return stays.unionAll(alone.join(nameless, F.col("__own_fp") == F.col("__fp")).dropDuplicates(["__root"]).select(*names))
