@@ -153,3 +153,46 @@ def test_token_table_and_alignment(spark):
     pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["x", "a", "q", "b", "c", "y"]), (2, ["a", "$P", "d"], ["a", "(", "b", ")", "d"]), (3, ["a"], ["z"])], "k int, p array<string>, t array<string>")
     got = {r["k"]: (round(r["cost"], 3), r["start"], r["end_at"]) for r in texts.aligned(pairs, "p", "t", 0.0).collect()}
     assert got[1] == (0.3, 1, 5) and got[2] == (0.0, 0, 5) and got[3][0] == 1.0
+
+
+def test_claims_against_a_loop(spark):
+    from millrace.operators import lookups
+
+    rnd = random.Random(5)
+    log = [(rnd.randint(0, 9), rnd.choice("abc"), i, rnd.choice(["claim", "claim", "release"])) for i in range(300)]
+    held = {}
+    for k, o, _, op in log:
+        if op == "claim":
+            held.setdefault(k, o)
+        elif held.get(k) == o:
+            del held[k]
+    got = lookups.claimed(spark.createDataFrame(log, "k int, o string, i int, op string"), "k", "o", "i")
+    assert dict(rows(got)) == held
+
+
+def test_spline_meets_its_equations(spark):
+    import numpy as np
+
+    from millrace.operators import lookups
+
+    rng = np.random.default_rng(6)
+    u, y = np.sort(rng.random(9)), rng.random(9)
+    m = lookups.spline_coefficients(u, y)
+    h, d = np.diff(u), np.diff(y) / np.diff(u)
+    assert m[0] == m[-1] == 0
+    assert np.allclose(h[:-1] * m[:-2] + 2 * (h[:-1] + h[1:]) * m[1:-1] + h[1:] * m[2:], np.diff(d))
+    got = lookups.natural_spline(spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(u, y, strict=True)] + [(2, 0.0, 1.0)], "k int, u double, y double"), "k", "u", "y")
+    assert [r["m"] for r in got.filter("k = 1").orderBy("u").collect()] == pytest.approx(m.tolist())
+
+
+def test_cover_and_clusters(spark):
+    d = spark.createDataFrame([(1, p) for p in (1, 2, 9, 10, 30)], "k int, p int")
+    assert [r["island"] for r in ordered.islands(d, ["k"], "p", 2).orderBy("p").collect()] == [0, 0, 1, 1, 2]
+    r = spark.createDataFrame([(1, i, v) for i, v in enumerate("aabbba")], "k int, i int, v string")
+    assert [(x["v"], x["n"], x["start"]) for x in ordered.runs(r, ["k"], ["i"], "v").orderBy("run").collect()] == [("a", 2, 1), ("b", 3, 3), ("a", 1, 6)]
+
+
+def test_next_tier_fills_what_is_left(spark):
+    d = spark.createDataFrame([(i, "x" if i in (3, 5) else "y" if i % 2 else "z") for i in range(8)], "i int, t string")
+    got = ranked.tiered(d, [c("t") == "x", c("t") == "y"], [c("i")], 3)
+    assert [(r["i"], r["tier"]) for r in got.orderBy("tier", "i").collect()] == [(3, 1), (5, 1), (1, 2)]
