@@ -79,32 +79,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     pivots = choose_pivots(np.array([v for v in sample if len(v) == dim], dtype=np.float64), PIVOTS)
     held = vectors.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
 
-    def searcher():
-        tables: dict[tuple, np.ndarray] = {}
-
-        def table(key, x):
-            if key not in tables:
-                if len(tables) > 8:
-                    tables.clear()
-                tables[key] = distances(x, held.value)
-            return tables[key]
+    def index():
+        pivots = held.value
+        return lambda x: distances(x, pivots).T.tobytes() if len(pivots) and x.shape[1] == pivots.shape[1] else b""
 
-        def find(qb, q_ids, q, c_ids, c, cb):
-            bounded = len(held.value) and q.shape[1] == held.value.shape[1]
+    def searcher():
+        def find(q_ids, q, q_aux, c_ids, c, c_aux):
             c_norm, q_norm = (c**2).sum(1), (q**2).sum(1)
+            d_c, d_q = np.frombuffer(c_aux).reshape(-1, len(c)), np.frombuffer(q_aux).reshape(-1, len(q))
             for j in range(len(q)):
-                top = (c_norm + q_norm[j]) / 2
-                if bounded:
-                    if j == 0:
-                        d_c, d_q = np.ascontiguousarray(table(("c", cb), c).T), table(("q", qb), q)
-                    lower = np.zeros(len(c))
-                    for p in range(len(d_c)):
-                        np.maximum(lower, np.abs(d_c[p] - d_q[j, p]), out=lower)
-                    top = top - lower**2 / 2
+                lower = np.zeros(len(c))
+                for p in range(len(d_c)):
+                    np.maximum(lower, np.abs(d_c[p] - d_q[p, j]), out=lower)
                 # room for the rounding of roots and squares
-                ids, scores, _ = evaluate(q[j], top + 1 + 1e-9 * (c_norm + q_norm[j]), c, c_ids, int(q_ids[j]), k)
-                yield ids, scores
+                bound = (c_norm + q_norm[j] - lower**2) / 2 + 1 + 1e-9 * (c_norm + q_norm[j])
+                yield evaluate(q[j], bound, c, c_ids, int(q_ids[j]), k)[:2]
 
         return find
 
-    return vector_blocks.search(whole, is_query, k, ROWS, searcher, "long", True, "id", "vec")
+    return vector_blocks.search(whole, is_query, k, ROWS, index, index, searcher, "long", True, "id", "vec")

@@ -22,7 +22,7 @@ from millrace.llm import vector_blocks
 TREES = 64
 BITS = 32
 SAMPLE = 2_048
-ROWS = 16_384
+ROWS = 8_192
 EFFORT = 1.5
 POWER = 0.87
 FLOOR = 1_024
@@ -46,13 +46,24 @@ class Hasher:
 
 
 class Forest:
-    """The sorted arrays of all trees over one block."""
+    """The sorted arrays of all trees over one block; they are built once and kept with it."""
 
-    def __init__(self, hasher: Hasher, x: np.ndarray):
+    def __init__(self, codes: np.ndarray, order: np.ndarray):
+        self.codes, self.order, self.n = codes, order, codes.shape[1]
+
+    @classmethod
+    def build(cls, hasher: Hasher, x: np.ndarray) -> Forest:
         codes = hasher(x)
-        self.order = np.argsort(codes, axis=1, kind="stable")
-        self.codes = np.take_along_axis(codes, self.order, axis=1)
-        self.n = len(x)
+        order = np.argsort(codes, axis=1, kind="stable").astype("<u4")
+        return cls(np.take_along_axis(codes, order, axis=1), order)
+
+    def tobytes(self) -> bytes:
+        return self.codes.astype("<u4").tobytes() + self.order.tobytes()
+
+    @classmethod
+    def frombytes(cls, raw: bytes, n: int) -> Forest:
+        both = np.frombuffer(raw, "<u4").reshape(2, -1, n)
+        return cls(both[0], both[1])
 
     def ranges(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(first, last) places in each tree of what shares `depth` bits with each string; (trees, queries)."""
@@ -111,24 +122,33 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, effort: float = EFFORT
     sample = [r["vec"] for r in x.filter(fine).filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()]
     held = vectors.sparkSession.sparkContext.broadcast({d: np.array([v for v in sample if len(v) == d]) for d in {len(v) for v in sample}})
 
+    def hasher_of():
+        made: dict[int, Hasher] = {}
+
+        def of(dim: int) -> Hasher:
+            if dim not in made:
+                made[dim] = Hasher(dim, held.value.get(dim, np.zeros((0, dim))))
+            return made[dim]
+
+        return of
+
+    def index():
+        of = hasher_of()
+        return lambda v: Forest.build(of(v.shape[1]), v).tobytes()
+
+    def of_query():
+        of = hasher_of()
+        return lambda v: of(v.shape[1])(v).astype("<u4").tobytes()
+
     def searcher():
-        hashers: dict[int, Hasher] = {}
-        forests: dict[int, tuple[Forest, np.ndarray]] = {}
-
-        def find(qb, q_ids, q, c_ids, c, cb):
-            dim = c.shape[1]
-            if dim not in hashers:
-                hashers[dim] = Hasher(dim, held.value.get(dim, np.zeros((0, dim))))
-            if cb not in forests:
-                if len(forests) >= 4:
-                    forests.clear()
-                forests[cb] = Forest(hashers[dim], c), (c**2).sum(1)
-            forest, norms = forests[cb]
-            for j, places in enumerate(forest.candidates(hashers[dim](q), wanted_of(len(c), effort))):
+        def find(q_ids, q, q_aux, c_ids, c, c_aux):
+            forest, norms = Forest.frombytes(c_aux, len(c)), (c**2).sum(1)
+            strings = np.frombuffer(q_aux, "<u4").reshape(-1, len(q))
+            for j, places in enumerate(forest.candidates(strings, wanted_of(len(c), effort))):
                 places = places[c_ids[places] != q_ids[j]]
                 at, score = nearest(q[j], c[places], norms[places], k)
                 yield c_ids[places[at]], score
 
         return find
 
-    return vector_blocks.search(x, is_query, k, ROWS, searcher, "double", False, "id", "vec")
+    return vector_blocks.search(x, is_query, k, ROWS, index, of_query, searcher, "double", False, "id", "vec")

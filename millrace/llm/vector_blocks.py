@@ -33,13 +33,19 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return x.filter("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0").filter(finite).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def pack(x: DataFrame, rows: int) -> DataFrame:
-    """Blocks (dim, n, ids, vecs) of x (id, vec): little-endian int64 ids and row-major doubles."""
+def pack(x: DataFrame, rows: int, prepare: Callable[[], Callable[[np.ndarray], bytes]]) -> DataFrame:
+    """Blocks (dim, n, ids, vecs, aux) of x (id, vec): little-endian int64 ids, row-major doubles, and what prepare()(vectors) makes of a block."""
 
     ship(x.sparkSession)
 
     def blocks(batches):
         held: dict[int, tuple[list, list]] = {}
+        make = prepare()
+
+        def one(dim, ids, vecs):
+            values = [pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), *(pa.array([v], pa.binary()) for v in (ids.astype("<i8").tobytes(), vecs.astype("<f8").tobytes(), make(vecs)))]
+            return pa.RecordBatch.from_arrays(values, names=["dim", "n", "ids", "vecs", "aux"])
+
         for batch in batches:
             ids, vecs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             flat, dims = vecs.flatten().to_numpy(zero_copy_only=False), np.diff(vecs.offsets.to_numpy())
@@ -57,38 +63,36 @@ def pack(x: DataFrame, rows: int) -> DataFrame:
             if sum(map(len, i)):
                 yield one(dim, np.concatenate(i), np.concatenate(v))
 
-    def one(dim, ids, vecs):
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([vecs.astype("<f8").tobytes()], pa.binary())], names=["dim", "n", "ids", "vecs"])
-
-    return x.select("id", "vec").mapInArrow(blocks, "dim int, n int, ids binary, vecs binary")
+    return x.select("id", "vec").mapInArrow(blocks, "dim int, n int, ids binary, vecs binary, aux binary")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, rows: int, searcher: Callable[[], Callable], score_type: str, descending: bool, id_col: str, vec_col: str) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, rows: int, index: Callable, of_query: Callable, searcher: Callable[[], Callable], score_type: str, descending: bool, id_col: str, vec_col: str) -> DataFrame:
     """(query_id, rank, vec_id, score) of the best k of each query. is_query is over `id`.
 
-    searcher() is called once a task and returns a function of (key of the query block, query ids, query vectors,
-    candidate ids, candidate vectors, candidate key) that gives, for each query in turn, arrays (candidate ids, scores) of at least its best k.
+    index() and of_query() are called once a task and make what is kept beside a block of candidates or queries, once and for all; searcher() is
+    called once a task and returns a function of (query ids, query vectors, query aux, candidate ids, candidate vectors, candidate aux) that
+    gives, for each query in turn, arrays (candidate ids, scores) of at least its best k.
     """
     ready = cut(usable(vectors, id_col, vec_col), "vectors")
-    queries = cut(pack(ready.filter(is_query), QUERY_ROWS).withColumn("qb", F.monotonically_increasing_id()), "query-blocks")
-    blocks = pack(ready, rows).withColumn("cb", F.monotonically_increasing_id())
+    queries = cut(pack(ready.filter(is_query), QUERY_ROWS, of_query).withColumn("qb", F.monotonically_increasing_id()), "query-blocks")
+    blocks = pack(ready, rows, index).withColumn("cb", F.monotonically_increasing_id())
     ends = cut(blocks, "vector-blocks")
     slots = max(1, -(-ends.count() // BLOCKS_A_SLOT))
-    left = queries.select("qb", "dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    left = queries.select("qb", "dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("aux").alias("q_aux"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     # One row a query block: only its number and dimension meet all candidate blocks.
     numbers = F.broadcast(queries.select("qb", "dim")) if queries.count() <= 100_000 else queries.select("qb", "dim")
-    right = ends.withColumn("slot", F.pmod(F.xxhash64("cb"), F.lit(slots)).cast("int")).join(numbers, "dim").select("qb", "slot", "cb", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"), "dim")
-    pairs = right.join(left.drop("dim"), ["qb", "slot"]).select("qb", "cb", "dim", "q_ids", "q_vecs", "c_ids", "c_vecs")
+    right = ends.withColumn("slot", F.pmod(F.xxhash64("cb"), F.lit(slots)).cast("int")).join(numbers, "dim").select("qb", "slot", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"), F.col("aux").alias("c_aux"), "dim")
+    pairs = right.join(left.drop("dim"), ["qb", "slot"]).select("dim", "q_ids", "q_vecs", "q_aux", "c_ids", "c_vecs", "c_aux")
 
     def run(batches):
         find = searcher()
         for batch in batches:
             for j in range(batch.num_rows):
-                qb, cb, dim, q_ids, q_vecs, c_ids, c_vecs = (batch.column(c)[j].as_py() for c in range(7))
+                dim, q_ids, q_vecs, q_aux, c_ids, c_vecs, c_aux = (batch.column(c)[j].as_py() for c in range(7))
                 qi, ci = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
                 qv, cv = np.frombuffer(q_vecs, "<f8").reshape(-1, dim), np.frombuffer(c_vecs, "<f8").reshape(-1, dim)
                 out: tuple[list, list, list] = ([], [], [])
-                for q, (ids, scores) in zip(qi.tolist(), find(qb, qi, qv, ci, cv, cb), strict=True):
+                for q, (ids, scores) in zip(qi.tolist(), find(qi, qv, q_aux, ci, cv, c_aux), strict=True):
                     other = ids != q
                     ids, scores = ids[other], scores[other]
                     best = np.lexsort((ids, -scores if descending else scores))[:k]

@@ -79,8 +79,8 @@ def test_prefix_forest_small_sets_are_exact_and_recall_is_high(spark):
         assert [(i, pytest.approx(d)) for d, i in true] == [(i, s) for _, i, s in sorted(found)]
     rng = np.random.default_rng(3)
     x = rng.normal(size=(8_000, 64))
-    forest, hasher = None, prefix_forest.Hasher(64, x[:1000])
-    forest = prefix_forest.Forest(hasher, x)
+    hasher = prefix_forest.Hasher(64, x[:1000])
+    forest = prefix_forest.Forest.frombytes(prefix_forest.Forest.build(hasher, x).tobytes(), len(x))
     hit = 0
     for q, places in zip(range(0, 8_000, 100), forest.candidates(hasher(x[::100]), prefix_forest.wanted_of(len(x), prefix_forest.EFFORT)), strict=True):
         true = np.argsort(((x - x[q]) ** 2).sum(1))[:11]
