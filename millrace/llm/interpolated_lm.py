@@ -11,8 +11,8 @@ answers each chunk with the totals of its keys in the order they came, so no key
 the documents to the same chunks and reads the totals beside them. All n-grams of all documents are counted, none is
 pruned; a key that every chunk holds is one key a chunk, so frequent words need no salting.
 
-Unigrams are keyed by 64-bit hashes. Longer n-grams get as many bits as leave some dozens of colliding pairs at most to be
-expected among all of them (2 log2(n) - 6, at most 64), since keys are most of what is shuffled. Null texts are empty and score their end alone;
+Keys are hashes of as many bits as leave some dozens of colliding pairs at most to be expected among all n-grams (2 log2(n) - 6, at
+most 64), since keys are most of what is shuffled; unigrams have 4 bits more, and are far fewer. Null texts are empty and score their end alone;
 repeated rows count and score as often as they stand. With no training documents every score is that of N = V = 0.
 """
 
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, lower_words, segment_sums
 from millrace.session import ship
 
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 6_000_000
 #: A bucket of the key space gets the n-grams of about so many characters.
-BUCKET_CHARS = 4_000_000
+BUCKET_CHARS = 10_000_000
 EM_ROUNDS = 40
 REMEMBERED = 300_000
 BEGIN, END = 1, 2  # in place of word hashes
@@ -48,6 +48,11 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def _bits(bits: int, order: int) -> int:
+    """Bits of the keys of an order, 0 for unigrams."""
+    return bits if order else min(64, bits + 4)
+
+
 class Grams:
     """The n-grams of some documents: keys of tokens, of bigrams and of trigrams, by position."""
 
@@ -72,6 +77,7 @@ class Grams:
         first[ends - total] = True
         token = ~first
         token[ends - total + 1] = False
+        one = np.where(flat <= END, flat, np.maximum(flat >> np.uint64(64 - _bits(bits, 0)), END + 1))
         two = np.zeros(len(flat), dtype=np.uint64)
         two[1:] = _mix(flat[:-1], flat[1:]) >> np.uint64(64 - bits)
         three = np.zeros(len(flat), dtype=np.uint64)
@@ -80,7 +86,7 @@ class Grams:
         one_at = ~first
         self.at = np.flatnonzero(token)
         self.sets, self.inverse, self.doc = [], [], []
-        for keys, where in ((flat, one_at), (two, ~first), (three, token)):
+        for keys, where in ((one, one_at), (two, ~first), (three, token)):
             found, inverse = np.unique(keys[where], return_inverse=True)
             place = np.full(len(flat), -1)
             place[where] = inverse
@@ -138,7 +144,7 @@ def _parts_by_bucket(counts: list[tuple[np.ndarray, ...]], buckets: int, bits: i
     """(bucket, parts) of each bucket that has keys: the key space of each order, sorted, cut evenly by its top 32 bits."""
     cuts = []
     for k, part in enumerate(counts):
-        of = ((part[0] >> np.uint64((bits if k else 64) - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        of = ((part[0] >> np.uint64(_bits(bits, k) - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         found, first = np.unique(of, return_index=True)
         cuts.append(dict(zip(found.tolist(), zip(first.tolist(), np.r_[first[1:], len(of)].tolist(), strict=True), strict=True)))
     for b in sorted(set().union(*cuts)):
@@ -190,6 +196,8 @@ def totals(rows: DataFrame, buckets: int, bits: int) -> DataFrame:
                 mine = inverse[at : at + len(a[k][0])]
                 at += len(a[k][0])
                 r.append((est[mine], (est + out)[mine]))
+        kinds = [chunk % 3 for chunk in table.column("chunk").to_pylist()]
+        replies = [r if kind == 2 else [(every,) for _, every in r] for kind, r in zip(kinds, replies, strict=True)]
         m = len(asked)
         return pa.table({
             "chunk": table.column("chunk"), "bucket": table.column("bucket"), "payload": pa.array([pack(r, False) for r in replies], pa.binary()),
@@ -201,10 +209,11 @@ def totals(rows: DataFrame, buckets: int, bits: int) -> DataFrame:
 
 
 def _read(table: pa.Table) -> list[list[np.ndarray]]:
-    """[estimating, all] totals of each order, aligned with a chunk's sorted keys."""
+    """Totals of each order, aligned with a chunk's sorted keys: all, and before them, for held-out chunks, the estimating ones."""
+    arrays = 2 if table.column("chunk")[0].as_py() % 3 == 2 else 1
     got = sorted(zip(table.column("bucket").to_pylist(), table.column("payload"), strict=True), key=lambda x: x[0])
-    parts = [unpack(p.as_py(), False) for _, p in got]
-    return [[np.concatenate([p[k][j] for p in parts]).astype(np.float64) for k in range(3)] for j in range(2)]
+    parts = [unpack(p.as_py(), False, arrays) for _, p in got]
+    return [[np.concatenate([p[k][j] for p in parts]).astype(np.float64) for k in range(3)] for j in range(arrays)]
 
 
 def _bin(c: np.ndarray) -> np.ndarray:
@@ -271,7 +280,7 @@ def score(docs: DataFrame, training: Column, em: Column, keep: list[str], id_col
         if not left.num_rows:
             return left.select([f"c{j}" for j in range(k)]).append_column("n_tokens", pa.array([], pa.int64())).append_column("n_known", pa.array([], pa.int64())).append_column("base_score", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64()))
         grams = Grams(left.column("t").to_pylist(), memory_of.setdefault("words", {}), bits)
-        counts = grams.token_counts(_read(right)[1])
+        counts = grams.token_counts(_read(right)[-1])
         p3, p2, p1, bucket = _parts(counts, n, v)
         weights = held.value[bucket]
         logs = np.log10(weights[:, 0] * p3 + weights[:, 1] * p2 + weights[:, 2] * p1)
