@@ -13,9 +13,9 @@ functions:array<struct<name:string,size:string,fuzzy_match_percent:double,metada
 sections:array<struct<name:string,size:string,fuzzy_match_percent:double>>>>"""
 
 
-def report_functions(spark: SparkSession, path: str) -> DataFrame:
-    """(unit, complete, category, function, size, fuzzy) of a nested report; digit texts become numbers, a missing measure 0."""
-    units = spark.read.schema(REPORT).option("multiLine", "true").json(path).select(F.explode("units").alias("u"))
+def report_functions(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """(unit, complete, category, function, size, fuzzy) of nested reports, one a file or one a line; digit texts become numbers, a missing measure 0."""
+    units = spark.read.schema(REPORT).option("multiLine", str(one_a_file).lower()).json(path).select(F.explode("units").alias("u"))
     f = units.select("u.name", "u.metadata", F.explode_outer("u.functions").alias("f"))
     return f.select(F.col("name").alias("unit"), F.coalesce("metadata.complete", F.lit(False)).alias("complete"), F.get("metadata.progress_categories", F.lit(0)).alias("category"), F.col("f.name").alias("function"), F.coalesce(F.col("f.size").try_cast("bigint"), F.lit(0)).alias("size"), F.coalesce("f.fuzzy_match_percent", F.lit(0.0)).alias("fuzzy"))
 
