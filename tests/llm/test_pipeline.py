@@ -1,6 +1,7 @@
 """The pipeline against a plain version of its stages, and the registered queries."""
 
 import random
+import uuid
 import zlib
 from collections import Counter
 
@@ -30,7 +31,7 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     after = {}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, root)
-        path = f"{shared_dir(spark)}/test-{name}-{rnd.random()}"
+        path = f"{shared_dir(spark)}/test-{name}-{uuid.uuid4().hex}"
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
         after[name] = docs
