@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from millrace.functions import text as T
 from millrace.session import ship
@@ -23,16 +24,23 @@ def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, pos int, token string, line int").withColumnRenamed("k", key)
 
 
-def containment_candidates(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_key: str, words: str, share: float, common: int) -> DataFrame:
-    """(pattern_key, text_key) where the text has at least `share` of the pattern's informative words.
+def containment_candidates(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_key: str, words: str, share: float, write) -> DataFrame:
+    """(pattern_key, text_key) where the text has at least `share` of the pattern's words, however common; patterns without a word have no candidates.
 
-    words: a column of distinct words on both sides. A word is informative if at most `common` texts hold it; patterns without one have no candidates."""
+    words: a column of distinct words on both sides. A text with that share holds one of any size - need + 1 words of the pattern, so the
+    join runs over the words that the fewest texts hold, and the share is counted over all words of the pairs it finds. write(df, name) makes tables of known size, so
+    texts are dealt out only where these are large."""
+    needed = F.ceil(F.size(words) * F.lit(share)).cast("int")
+    p = write(patterns.select(pattern_key, (F.size(words) - needed + 1).alias("keys"), F.explode(words).alias("w")), "pattern-words")
     t = texts.select(text_key, F.explode(words).alias("w"))
-    rare = t.groupBy("w").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= common).select("w")
-    p = patterns.select(pattern_key, F.explode(words).alias("w")).join(rare, "w")
-    sizes = p.groupBy(pattern_key).agg(F.count("w").alias("size"))
-    shared = p.join(t, "w").groupBy(pattern_key, text_key).agg(F.count("w").alias("n"))
-    return shared.join(sizes, pattern_key).filter(F.col("n") >= F.col("size") * share).select(pattern_key, text_key)
+    held = t.join(p.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(W.partitionBy(pattern_key).orderBy(F.coalesce("df", F.lit(0)), "w"))
+    ranked = p.join(held, "w", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("keys"))
+    rarest = write(ranked.select(pattern_key, "w"), "rarest-words")
+    found = write(t.join(rarest, "w").select(pattern_key, text_key).distinct(), "word-pairs")
+    both = texts.select(text_key, F.col(words).alias("tw")).join(found, text_key).join(patterns.select(pattern_key, F.col(words).alias("pw")), pattern_key)
+    shared = both.filter(F.size(F.array_intersect("pw", "tw")) >= F.size("pw") * share)
+    return write(shared.select(pattern_key, text_key).distinct(), "containment")
 
 
 def aligned(pairs: DataFrame, pattern: str, text: str, least: float) -> DataFrame:
