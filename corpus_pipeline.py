@@ -17,6 +17,8 @@ from millrace.llm.common import shared_dir
 from millrace.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Jaccard similarity of five-word shingle sets from which documents count as near-duplicates, beside the fingerprints' links.
+SIMILARITY = 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document of smallest doc_id; of equal rows with that id, one."""
-    return simhash_dedup.keep_one(docs.select(*COLUMNS))
+    return simhash_dedup.keep_one(docs.select(*COLUMNS), similarity=SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], outputs: dict[str, str], make: Callable[[], Callable], inputs: Sequence[Column] = ()) -> DataFrame:

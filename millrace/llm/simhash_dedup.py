@@ -8,6 +8,9 @@ a bucket of more than BLOCK members is dealt in pairs of blocks. Components come
 
 Equal fingerprints are one node from the start, so exact copies are never paired. Null and wordless texts have
 fingerprint zero and link like any other. component_id is the smallest non-null doc_id of the component.
+
+With a similarity, texts whose sets of five-word shingles reach that Jaccard similarity are linked too: candidates share a band
+of MinHash values, and links are verified on the sets.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ BITS = 3
 SEED = 42
 BLOCK = 1024
 ROUNDS = 60
+SHINGLE = 5
+#: At similarity 0.8 a pair shares none of the bands with a chance of about 3 in a million.
+BANDS, BAND_ROWS = 24, 4
 
 
 def text_fingerprints(texts: list[str], width: int) -> np.ndarray:
@@ -135,24 +141,113 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
+def shingle_set(text: str) -> np.ndarray:
+    """The sorted hashes of the distinct five-word shingles of text; of a shorter text its words together, of a wordless one nothing."""
+    words = lower_words(text)
+    found = {xxhash.xxh64_intdigest(b" ".join(words[k : k + SHINGLE]), SEED) for k in range(max(1, len(words) - SHINGLE + 1))} if words else ()
+    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+
+
+def _set_digest(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
+_DRAW = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+
+
+def set_bands(shingles: np.ndarray) -> list[int]:
+    """A hash of each band of MinHash values; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.empty(BANDS * BAND_ROWS, dtype=np.uint64)
+    for i, (a, b) in enumerate(_DRAW.T):
+        x = (shingles ^ b) * (a | np.uint64(1))
+        least[i] = ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min()
+    return [int(np.uint64(xxhash.xxh64_intdigest(band.tobytes(), k)).view(np.int64)) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what is linked among sets, at most one fewer than sets."""
+    sizes = np.array([len(s) for s in sets])
+    left = np.ones(len(sets), dtype=bool)
+    links = []
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = [root]
+        while front:
+            at = front.pop()
+            fits = left & (np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]))
+            for j in np.flatnonzero(fits).tolist():
+                both = len(np.intersect1d(sets[at], sets[j], assume_unique=True))
+                if both >= similarity * (sizes[at] + sizes[j] - both):
+                    left[j] = False
+                    front.append(j)
+                    links.append((at, j))
+    return links
+
+
+def similar_links(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(a, b) fingerprints of texts whose five-word shingle sets are similar, enough to connect all that are."""
+
+    def marks(texts):
+        sets = [shingle_set(t) for t in texts]
+        return [text_fingerprints(texts, width), [_set_digest(s) for s in sets], [set_bands(s) for s in sets]]
+
+    def contents(texts):
+        sets = [shingle_set(t) for t in texts]
+        return [[_set_digest(s) for s in sets], [s.tobytes() for s in sets]]
+
+    marked = cut(map_texts(docs, text_col, [], {"fp": "long", "digest": "long", "bands": "array<long>"}, lambda: marks), "shingle-marks")
+    nodes = cut(marked.groupBy("digest").agg(F.min("fp").alias("node"), F.first("bands").alias("bands")), "shingle-nodes")
+    equal = marked.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    keyed = nodes.select("digest", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.array_sort(F.collect_set("digest")).alias("members")).filter(F.size("members") > 1)
+    # Near copies share most bands: equal buckets are one group.
+    groups = cut(buckets.select("members").distinct().select(F.xxhash64("members").alias("g"), F.size("members").alias("n"), F.explode("members").alias("digest")), "shingle-groups")
+    blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK // 2)).cast("int")).otherwise(1)
+    dealt = groups.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int"))
+    dealt = dealt.select("g", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    dealt = dealt.select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "digest")
+    wanted = cut(groups.select("digest").distinct(), "shingle-wanted")
+    held = map_texts(docs, text_col, [], {"digest": "long", "shingles": "binary"}, lambda: contents).join(wanted, "digest").dropDuplicates(["digest"])
+    held = cut(held.join(nodes.select("digest", "node"), "digest"), "shingle-sets")
+    full = dealt.join(held, "digest").groupBy("g", "p", "q").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for group in batch.column(0).to_pylist():
+                for i, j in similar_forest([np.frombuffer(x["shingles"], dtype=np.uint64) for x in group], similarity):
+                    found.append((group[i]["node"], group[j]["node"]))
+            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], type=pa.int64()), pa.array(pairs[:, 1], type=pa.int64())], names=["a", "b"])
+
+    return full.select("sets").mapInArrow(run, "a long, b long").unionAll(equal).filter("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """(id_col, fp, root, component_id) of every row; root is the smallest fingerprint of the component."""
     marked = cut(fingerprints(docs, [id_col], text_col, width), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
-    roots = cut(components(links(nodes.select("fp"), bits)), "roots")
+    linked = links(nodes.select("fp"), bits)
+    if similarity is not None:
+        linked = linked.unionAll(similar_links(docs, text_col, width, similarity))
+    roots = cut(components(linked), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     owners = cut(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
     return marked.join(owners, "fp", "left").select(id_col, "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """The rows of docs without those that a near-duplicate of smaller id stands for; rows repeated under one id count once.
 
     Rows with a null id go where their component holds an id; of each component of such rows alone one row stays.
     """
     names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, width, bits)
+    found = near_duplicates(docs, id_col, text_col, width, bits, similarity)
     goes = cut(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "goes")
     stays = docs.filter(F.col(id_col).isNotNull()).join(goes, docs[id_col] == goes["__gone"], "left_anti")
     # What stays is one id a component; rows repeated under it are reduced to one.
