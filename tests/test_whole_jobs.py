@@ -1,5 +1,6 @@
 """Queries and operators against brute force over whole tables."""
 
+import heapq
 import re
 
 from millrace.functions import text
@@ -26,3 +27,20 @@ def test_near_copies_finds_passages_that_many_documents_hold(spark, tmp_path):
     assert len([w for w in want if w[0] == 1]) >= 71
     made = [tuple(r) for r in QUERIES["near_copies"](spark, f"file://{tmp_path}").select("item_id", "doc_id", "similarity").collect()]
     assert len(made) == len(want) and set(made) == want
+
+
+def test_shortest_paths_reach_all_suppliers_against_dijkstra(spark, tmp_path):
+    n = 60
+    spark.range(1, n + 1).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    want, heap = {}, [(0.0, 1)]
+    while heap:
+        dist, at = heapq.heappop(heap)
+        if at in want:
+            continue
+        want[at] = dist
+        for to in (at + 1, at + 7, at - 3):
+            if 1 <= to <= n:
+                heapq.heappush(heap, (dist + (at * 31 + to * 17) % 23 + 1, to))
+    assert len(want) == n and max(want.values()) > 30
+    made = [(r["id"], r["dist"]) for r in QUERIES["shortest_path_all"](spark, f"file://{tmp_path}").collect()]
+    assert len(made) == n and dict(made) == want
