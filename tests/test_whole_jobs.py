@@ -44,3 +44,14 @@ def test_shortest_paths_reach_all_suppliers_against_dijkstra(spark, tmp_path):
     assert len(want) == n and max(want.values()) > 30
     made = [(r["id"], r["dist"]) for r in QUERIES["shortest_path_all"](spark, f"file://{tmp_path}").collect()]
     assert len(made) == n and dict(made) == want
+
+
+def test_include_closure_takes_all_orders_and_starts(spark, tmp_path):
+    lines = [(i, 7 * i % 40 + 40 * (i % 3), 7 * i % 40 + 1 + i % 5) for i in range(1, 60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(p % 40, s % 40) for _, p, s in lines if p % 40 < s % 40}
+    want = {(i, i) for i in range(40)}
+    while more := {(start, d) for start, at in want for s, d in edges if s == at} - want:
+        want |= more
+    made = [tuple(r) for r in QUERIES["include_closure_all"](spark, f"file://{tmp_path}").select("start", "id").collect()]
+    assert len(made) == len(want) and set(made) == want and len(want) > 40
