@@ -55,3 +55,12 @@ def test_include_closure_takes_all_orders_and_starts(spark, tmp_path):
         want |= more
     made = [tuple(r) for r in QUERIES["include_closure_all"](spark, f"file://{tmp_path}").select("start", "id").collect()]
     assert len(made) == len(want) and set(made) == want and len(want) > 40
+
+
+def test_every_supplier_is_an_area(spark, tmp_path):
+    spark.range(1, 61).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    parts = [(i, i * 13 % 50 + 1) for i in range(1, 500)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    inside = lambda most: sorted(p for p, z in parts if any((p % 400 - s * 29 % 400) ** 2 + (z % 30 - s * 11 % 30) ** 2 <= 9 for s in range(1, most + 1)))
+    made = sorted(r["p_partkey"] for r in QUERIES["contained_in_any_area"](spark, f"file://{tmp_path}").collect())
+    assert made == inside(60) and inside(20) != inside(60) and len(made) < len(parts)
