@@ -1,4 +1,4 @@
-"""Streaming operators: gated ticks, capped admission with eviction, keyed flags, generators, priority rings.
+"""Streaming operators: gated ticks, capped admission with eviction, keyed flags, generators.
 
 State is per key and bounded by a cap; it lives in Spark's state store and is checkpointed in the shared folder.
 """
