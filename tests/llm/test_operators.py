@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -42,50 +43,110 @@ def hard_vectors(n=300, dim=8, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("scale", [1024])
-def test_pivot_topk_is_exact(spark, scale):
-    rows = hard_vectors()
-    got = sorted(map(tuple, pivot_topk.top_k(vectors(spark, rows), F.col("id") % 50 == 0, 10, scale).collect()))
-    ok = {i: np.floor(np.array(v, dtype=np.float64) * scale).astype(np.int64) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    expected = []
-    for q in ok:
-        if q % 50 == 0:
-            found = sorted((-int(ok[q] @ x), i) for i, x in ok.items() if i != q and len(x) == len(ok[q]))[:10]
-            expected += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
-    assert got == sorted(expected)
+def usable_rows(rows, nonzero=False):
+    """(id, vector) of the rows that take part; rows that repeat an id stay rows of their own."""
+    fine = lambda v: v and all(x is not None and math.isfinite(x) for x in v) and (any(v) or not nonzero)
+    return [(i, v) for i, v, *_ in rows if i is not None and fine(v)]
+
+
+def plain_top(rows, score, every):
+    """The ten best of each query row among all other rows, as (query id, rank, id, score), smallest score first."""
+    out = []
+    for k, (q, v) in enumerate(rows):
+        if q % every == 0:
+            found = sorted((score(v, w), i) for j, (i, w) in enumerate(rows) if j != k and len(w) == len(v))[:10]
+            out += [(q, r, i, s) for r, (s, i) in enumerate(found, 1)]
+    return sorted(out)
+
+
+def test_pivot_topk_is_exact(spark):
+    rows = hard_vectors() + [(50, [3.0] * 8, "", ""), (50, [3.0] * 8, "", ""), (100, [-0.5] * 8, "", "")]
+    ok = [(i, [int(math.floor(x * 1024)) for x in v]) for i, v in usable_rows(rows)]
+    expected = plain_top(ok, lambda v, w: -sum(a * b for a, b in zip(v, w, strict=True)), 50)
+    got = sorted(map(tuple, pivot_topk.top_k(vectors(spark, rows), F.col("id") % 50 == 0).collect()))
+    assert got == [(q, r, i, -s) for q, r, i, s in expected]
+
+
+def test_pivot_topk_takes_large_components_exactly(spark):
+    rnd = random.Random(21)
+    rows = [(i, [float(rnd.choice((-1, 1)) * rnd.randint(2**19, 2**30)) for _ in range(4)], "", "") for i in range(120)]
+    rows += [(i + 200, [float(np.float32(rnd.uniform(-3, 3))) for _ in range(4)], "", "") for i in range(80)]
+    schema = "vec_id long, embedding array<double>, id string, vec string"
+    ok = [(i, [math.floor(x * 1024) for x in v]) for i, v in usable_rows(rows)]
+    expected = plain_top(ok, lambda v, w: -sum(a * b for a, b in zip(v, w, strict=True)), 10)
+    fits = [e for e in expected if all(abs(x[3]) < 2**63 for x in expected if x[0] == e[0])]
+    small = {e[0] for e in fits}
+    assert len(small) > 5 and len(small) < len({e[0] for e in expected})
+    got = pivot_topk.top_k(spark.createDataFrame(rows, schema), F.col("id").isin(sorted(small))).collect()
+    assert sorted(map(tuple, got)) == [(q, r, i, -s) for q, r, i, s in fits]
+    with pytest.raises(Exception, match="does not fit a long"):
+        pivot_topk.top_k(spark.createDataFrame(rows, schema), F.col("id") % 10 == 0).collect()
+    one = spark.createDataFrame([(100, [1.0], "", ""), (7, [2.0**22], "", "")], schema)
+    assert [tuple(r) for r in pivot_topk.top_k(one, F.col("id") % 100 == 0).collect()] == [(100, 1, 7, 2**42)]
 
 
 def test_pivot_elimination_stops_early():
     rng = np.random.default_rng(2)
-    x = np.rint(np.concatenate([rng.normal(c, 3, (200, 6)) for c in (0, 1000, 2000)]))
+    x = np.rint(np.concatenate([rng.normal(c, 3, (2_000, 6)) for c in (0, 1000, 2000)]))
     pivots = pivot_topk.choose_pivots(x, 8)
     q = x[-1]
     lower = np.abs(pivot_topk.distances(x, pivots) - pivot_topk.distances(q[None], pivots)).max(1)
     bound = ((x**2).sum(1) + (q**2).sum() - lower**2) / 2 + 1
-    ids, scores, done = pivot_topk.evaluate(q, bound, x, np.arange(len(x)), len(x) - 1, 5)
-    true = sorted(((-int(a @ q), i) for i, a in enumerate(x.astype(int)) if i != len(x) - 1))[:5]
-    assert [(int(-s), int(i)) for s, i in zip(scores, ids, strict=True)] == true
-
-
-def test_prefix_forest_small_sets_are_exact_and_recall_is_high(spark):
-    rows = hard_vectors()
-    got = {}
-    for q, r, i, s in map(tuple, prefix_forest.neighbours(vectors(spark, rows), F.col("id") % 50 == 0).collect()):
-        got.setdefault(q, []).append((r, i, s))
-    ok = {i: np.array(v, dtype=np.float64) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    assert set(got) == {q for q in ok if q % 50 == 0 and sum(len(v) == len(ok[q]) for v in ok.values()) > 1}
-    for q, found in got.items():
-        true = sorted((float(np.sqrt(((ok[q] - x) ** 2).sum())), i) for i, x in ok.items() if i != q and len(x) == len(ok[q]))[:10]
-        assert [(i, pytest.approx(d)) for d, i in true] == [(i, s) for _, i, s in sorted(found)]
+    at, scores, wide, done = pivot_topk.evaluate(q, bound, x, np.ones(len(x), dtype=int), 5)
+    true = sorted((-int(a @ q), i) for i, a in enumerate(x.astype(int)))[:5]
+    assert sorted(zip((-scores).tolist(), at.tolist(), strict=True))[:5] == true and not wide.any()
+    assert done <= 2_560  # of 6,000: the far clusters are never evaluated
+
+
+def test_prefix_forest_measures_all_of_small_tables(spark):
+    rows = hard_vectors(60) + [(50, [3.0] * 8, "", ""), (50, [3.0] * 8, "", "")]
+    expected = plain_top(usable_rows(rows, nonzero=True), lambda v, w: float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), 10)
+    got = sorted(map(tuple, prefix_forest.neighbours(vectors(spark, rows), F.col("id") % 10 == 0, effort=9.0).collect()))
+    assert [g[:3] for g in got] == [e[:3] for e in expected]
+    assert [g[3] for g in got] == pytest.approx([e[3] for e in expected])
+
+
+def recall(spark, table):
+    """Recall at ten of the registered search over a whole table, against brute force."""
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=np.float64)) for r in table.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = {}
+    for r in prefix_forest.neighbours(table, F.col("id") % 100 == 0).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hit = wanted = 0
+    for k in np.flatnonzero(ids % 100 == 0).tolist():
+        d = np.sqrt(((x - x[k]) ** 2).sum(1))
+        d[k] = np.inf
+        true = ids[np.lexsort((ids, d))[:10]].tolist()
+        got = found[ids[k]]
+        assert len(got) == 10 and all(s == pytest.approx(d[ids == i][0]) for i, s in got.items())
+        hit, wanted = hit + len(set(true) & got.keys()), wanted + 10
+    return hit / wanted
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_prefix_forest_recall_on_tables(spark, size):
+    path = f"/root/testdata/{size}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the tables are not here")
+    assert recall(spark, spark.read.parquet(path)) >= 0.9
+
+
+def test_prefix_forest_measures_a_falling_share():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(8_000, 64))
-    hasher = prefix_forest.Hasher(64, x[:1000])
-    forest = prefix_forest.Forest.frombytes(prefix_forest.Forest.build(hasher, x).tobytes(), len(x))
-    hit = 0
-    for q, places in zip(range(0, 8_000, 100), forest.candidates(hasher(x[::100]), prefix_forest.wanted_of(len(x), prefix_forest.EFFORT)), strict=True):
-        true = np.argsort(((x - x[q]) ** 2).sum(1))[:11]
-        hit += len(set(true) & set(places.tolist()))
-    assert hit / (80 * 11) >= 0.9
+    shares = []
+    for n in (1_000, 8_000):
+        x = rng.normal(size=(n, 64))
+        hasher = prefix_forest.Hasher(64, x[:1000])
+        forest = prefix_forest.Forest.frombytes(prefix_forest.Forest.build(hasher, x).tobytes(), n)
+        strings = hasher(x[::100])
+        assert (forest.descend(strings) == prefix_forest.BITS).all()  # each is its own longest match
+        share = prefix_forest.EFFORT * n ** (prefix_forest.POWER - 1)
+        stops = np.array([prefix_forest.stop(c, -n * math.log1p(-share)) for c in forest.counts(strings)])
+        assert (stops[:, 0] > 0).all()
+        shares.append(np.mean([len(places) for _, places in forest.candidates(strings, stops[:, 0], stops[:, 1])]) / n)
+        assert shares[-1] == pytest.approx(share, rel=0.25)
+    assert shares[1] < 0.8 * shares[0]
 
 
 def test_vector_searches_take_empty_tables(spark):
