@@ -64,8 +64,30 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table written to the shared folder and read again: lineage ends here and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    # What was shuffled on the way is not needed once the table stands.
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing that is still to run reads them."""
+    for made in tables:
+        path = getattr(made, "_scratch_path", None)
+        if path:
+            jvm = made.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
