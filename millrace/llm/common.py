@@ -2,49 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import ship
+from millrace.session import discard, ship
+from millrace.session import shared_folder as shared_dir
+from millrace.session import written as cut
+
+__all__ = ["cut", "discard", "fold", "lower_words", "map_texts", "segment_sums", "shared_dir", "text_runs"]
 
 #: Texts are worked on in runs of about this many characters, so a worker's memory does not follow the batch.
 RUN_CHARS = 2_000_000
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    # What was shuffled on the way is not needed once the table stands.
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds

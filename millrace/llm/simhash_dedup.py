@@ -3,8 +3,9 @@
 Fingerprints of 64 bits that differ in at most 3 bits agree in all but one bit on one of two 32-bit segments. Each
 distinct fingerprint is indexed under the one-wildcard variants of both segments (the segment with bit i taken out);
 equality on a variant gives candidates, which are verified by their Hamming distance. In a bucket only the links
-that connect its members are put out, so a large group of copies gives rows in proportion to its members, not to its pairs;
-a bucket of more than BLOCK members is dealt in pairs of blocks. Components come from large-star/small-star rounds.
+that connect its members are put out, so a large group of copies gives rows in proportion to its members, not to its pairs.
+Members of a bucket of more than BLOCK are parted again: of four bytes of the other segment one is equal in both
+fingerprints of a link, so each member goes to four smaller buckets; what is still too large is dealt in pairs of blocks. Components come from large-star/small-star rounds.
 
 Equal fingerprints are one node from the start, so exact copies are never paired. Null and wordless texts have
 fingerprint zero and link like any other. component_id is the smallest non-null doc_id of the component.
@@ -21,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lower_words, map_texts, segment_sums
+from millrace.llm.common import cut, discard, lower_words, map_texts, segment_sums
 from millrace.session import ship
 
 BITS = 3
 SEED = 42
 BLOCK = 1024
+#: Fingerprints whose variants one task makes.
+VARIANT_ROWS = 20_000
 ROUNDS = 60
 SHINGLE = 5
 #: At similarity 0.8 a pair shares none of the bands with a chance of about 3 in a million.
@@ -93,16 +96,21 @@ def links(seen: DataFrame, bits: int = BITS) -> DataFrame:
     if bits > BITS:
         raise ValueError("two segments with one wildcard each cover at most 3 differing bits")
     ship(seen.sparkSession)
-    keyed = _variants(seen)
+    # 64 rows come of each row of this narrow table, so it is dealt out before.
+    keyed = _variants(seen.repartition(max(1, -(-seen.count() // VARIANT_ROWS)), "fp"))
     sizes = keyed.groupBy("key").agg(F.count("fp").alias("n")).filter("n > 1")
     # Variants are 64 rows a fingerprint, more than Spark's estimate from the table's size: never broadcast them.
     shared = cut(keyed.join(sizes.hint("merge"), "key"), "simhash-buckets")
-    small = shared.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "fp")
-    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
-    large = shared.filter(F.col("n") > BLOCK).withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    large = large.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    large = large.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
-    groups = small.unionAll(large).groupBy("key", "p", "q").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    small = shared.filter(F.col("n") <= BLOCK).select("key", F.lit(-1).alias("sub"), F.lit(0).alias("p"), F.lit(0).alias("q"), "fp")
+    other = F.when(F.col("key").bitwiseAND(32) == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
+    bytes_ = F.array(*(F.shiftrightunsigned(other, 8 * k).bitwiseAND(255).cast("int") + 256 * k for k in range(4)))
+    parted = shared.filter(F.col("n") > BLOCK).select("key", "fp", F.explode(bytes_).alias("sub"))
+    heavy = parted.groupBy("key", "sub").agg(F.count("fp").alias("m")).filter("m > 1")
+    blocks = F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / (BLOCK // 2)).cast("int")).otherwise(1)
+    large = parted.join(heavy, ["key", "sub"]).withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    large = large.select("key", "sub", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("with"))
+    large = large.select("key", "sub", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "fp")
+    groups = small.unionAll(large).groupBy("key", "sub", "p", "q").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def run(batches):
         for batch in batches:
@@ -119,7 +127,9 @@ def links(seen: DataFrame, bits: int = BITS) -> DataFrame:
             pairs = np.unique(np.r_[np.c_[np.minimum(a, b), np.maximum(a, b)][near], more], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], type=pa.int64()), pa.array(pairs[:, 1], type=pa.int64())], names=["a", "b"])
 
-    return groups.select("fps").mapInArrow(run, "a long, b long").distinct()
+    found = cut(groups.select("fps").mapInArrow(run, "a long, b long").distinct(), "simhash-links")
+    discard(shared)
+    return found
 
 
 def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -134,7 +144,8 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         large = cut(large.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = cut(small.filter("a <> b").distinct(), "small-star")
+        before, now = now, cut(small.filter("a <> b").distinct(), "small-star")
+        discard(before, large)
         was, mark = mark, tuple(now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == was:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
@@ -228,7 +239,7 @@ def similar_links(docs: DataFrame, text_col: str, width: int, similarity: float)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
-    """(id_col, fp, root, component_id) of every row; root is the smallest fingerprint of the component."""
+    """(id_col, fp, root, component_id, chosen) of every row; root is the smallest fingerprint of the component, chosen the fingerprint, smallest of those with component_id, whose row of that id stands for it."""
     marked = cut(fingerprints(docs, [id_col], text_col, width), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
     linked = links(nodes.select("fp"), bits)
@@ -236,22 +247,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked = linked.unionAll(similar_links(docs, text_col, width, similarity))
     roots = cut(components(linked), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owners = cut(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
-    return marked.join(owners, "fp", "left").select(id_col, "fp", "root", "component_id")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("least"))
+    owners = cut(rooted.join(least, "root").select("fp", "root", F.col("least.first").alias("component_id"), F.col("least.fp").alias("chosen")), "components")
+    return marked.join(owners, "fp", "left").select(id_col, "fp", "root", "component_id", "chosen")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
-    """The rows of docs without those that a near-duplicate of smaller id stands for; rows repeated under one id count once.
-
-    Rows with a null id go where their component holds an id; of each component of such rows alone one row stays.
+    """One row of each component of near-duplicates: a row of its smallest id and, of several texts under that id, of the smallest
+    fingerprint; of rows alike in both, the one of lowest hash. Ids are no keys: (5, A), (7, A), (3, B), (5, B) leaves (5, A) and
+    (3, B). A component of rows without an id keeps one of them.
     """
     names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, width, bits, similarity)
-    goes = cut(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "goes")
-    stays = docs.filter(F.col(id_col).isNotNull()).join(goes, docs[id_col] == goes["__gone"], "left_anti")
-    # What stays is one id a component; rows repeated under it are reduced to one.
-    stays = stays.dropDuplicates([id_col]).select(*names)
-    nameless = found.filter(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    alone = fingerprints(docs.filter(F.col(id_col).isNull()), names, text_col, width, "__own_fp")
-    return stays.unionAll(alone.join(nameless, F.col("__own_fp") == F.col("__fp")).dropDuplicates(["__root"]).select(*names))
+    found = cut(near_duplicates(docs, id_col, text_col, width, bits, similarity), "near-duplicates")
+    stands = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("chosen"))
+    # A row is known by an id that no other row has. All rows of other ids are looked at anew, by their fingerprints.
+    per_id = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.bool_and(stands).alias("__stays"))
+    gone = cut(per_id.filter("__n > 1 OR NOT __stays").select("__id", "__n"), "goes")
+    sure = docs.filter(F.col(id_col).isNotNull()).join(gone.select("__id"), docs[id_col] == F.col("__id"), "left_anti").select(*names)
+    chosen = cut(found.filter(stands).select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct(), "chosen")
+    repeated = docs.join(gone.filter("__n > 1").select("__id"), docs[id_col] == F.col("__id"), "left_semi").select(*names).unionAll(docs.filter(F.col(id_col).isNull()))
+    marked = fingerprints(repeated, names, text_col, width, "__own_fp")
+    again = marked.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_fp") == F.col("__fp")))
+    one = again.groupBy("__root").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
+    return sure.unionAll(one.select(*(F.col("__row").getField(c).alias(c) for c in names)))

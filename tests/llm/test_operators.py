@@ -310,6 +310,16 @@ def test_simhash_matches_brute_force(spark):
     assert simhash_dedup.near_duplicates(documents(spark, [])).collect() == []
 
 
+def test_keep_one_goes_by_rows(spark):
+    a, b, c = "one two three four five six", "alpha beta gamma delta", "uno dos tres cuatro"
+    rows = [(5, a, "en", "s"), (7, a, "en", "s"), (3, b, "en", "s"), (5, b, "en", "s"), (None, c, "en", "s"), (None, c, "fr", "s"), (8, c, "en", "t"), (8, c, "en", "t"), (None, None, None, None), (9, "lone text of its own", "en", "s")]
+    kept = simhash_dedup.keep_one(documents(spark, rows))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(5, a), (3, b), (8, c), (0, ""), (9, "lone text of its own")])
+    assert kept.columns == documents(spark, rows).columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash_dedup.keep_one(documents(spark, rows), similarity=0.8).collect()) == sorted([(5, a), (3, b), (8, c), (0, ""), (9, "lone text of its own")])
+    assert simhash_dedup.keep_one(documents(spark, [])).collect() == []
+
+
 def test_links_connect_random_near_bits_and_large_buckets(spark, monkeypatch):
     rnd = random.Random(9)
     values = {0}
