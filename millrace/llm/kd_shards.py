@@ -1,118 +1,115 @@
 """Sharding by a k-d tree over metadata: law `bytes`, shards of near equal size.
 
-A row weighs the UTF-8 bytes of its text plus OVERHEAD. Every metadata dimension is a whole number: VALUE_BITS bits of the value within
-the table's range, then TIE_BITS bits of a hash of the row, so that rows of one value can be parted. A node of m leaves is split
-along the dimension in which it is widest, at the weighted quantile that gives m//2 leaves their share. All nodes of a level
-are searched together: a pass sums weights by node and the next RADIX_BITS bits of the key, and the driver reads at
-most nodes * 2**RADIX_BITS sums; the search goes deeper only where a step still weighs more than TOLERANCE of a leaf.
-
-Rows are never gathered by node. Slots number a shard's rows from 0: rows are numbered in SLOT_BUCKETS hash buckets a
-shard, and the buckets' starts are added. Dimensions: log size, number of characters, source and language (places of
+A row weighs the UTF-8 bytes of its text plus OVERHEAD. Every metadata dimension is a whole number of BITS bits: VALUE_BITS of the value
+within the table's range, then TIE_BITS of a hash of the row, then PLACE_BITS of a hash of the row's place in the written table, so
+that rows of one value, and even equal rows, can be parted. A node of m leaves is split along the dimension in which it is widest,
+at the weighted quantile that gives m//2 leaves their share: the median, where m is even.
+
+All nodes of a level are split together. A pass sums weights by node, dimension and step (the key's first RADIX_BITS bits), on the map side
+first; the step in which a node's quantile lies is looked into with the next RADIX_BITS bits only where it still weighs more than
+TOLERANCE of a leaf. Splits are a table of one row a node: it is broadcast while a level has at most BROADCAST_NODES nodes, and joined by
+node beyond, where no node is hot any more. The driver holds a count of open nodes and nothing else.
+
+Rows are never gathered by node. Slots number a shard's rows from 0: rows are numbered in hash buckets of about SLOT_ROWS rows
+of a shard, and the buckets' starts are added. Dimensions: log size, number of characters, source and language (places of
 their hashes) and the id. Null metadata is the lowest value; null texts weigh OVERHEAD and have the CRC-32 of no bytes.
+Equal texts and repeated rows are rows like any other: law `bytes` asks for even shards, so copies of a text may lie in several.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, discard
 
 OVERHEAD = 16
-VALUE_BITS = 24
-TIE_BITS = 24
+VALUE_BITS, TIE_BITS, PLACE_BITS = 20, 18, 22
+BITS = VALUE_BITS + TIE_BITS + PLACE_BITS
 RADIX_BITS = 12
 TOLERANCE = 0.002
-SLOT_BUCKETS = 64
-
-
-@dataclass
-class Node:
-    """A leaf's shard, or a split: rows whose key in `dim` is at most `at` go to `low`."""
-
-    leaves: int
-    first: int
-    dim: int = -1
-    at: int = 0
-    low: Node | None = None
-    high: Node | None = None
-
-    def open(self) -> list[Node]:
-        if self.low:
-            return self.low.open() + self.high.open()
-        return [self] if self.leaves > 1 else []
-
-
-def by_node(values: dict[int, int], kind: str = "long") -> Column:
-    """values at column `node`; nodes that it lacks count as 0."""
-    return F.element_at(F.array(*(F.lit(values.get(n, 0)).cast(kind) for n in range(max(values) + 1))), F.col("node") + 1)
+SLOT_ROWS = 500_000
+BROADCAST_NODES = 100_000
 
 
 def keyed(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """rows with a key k0, k1, ... in place of each dimension (doubles, null allowed) and rows' `tie`."""
+    """rows (with `tie` and `place`) with keys, an array of one key a dimension, in place of the dimensions (doubles, null allowed)."""
     ends = rows.agg(*(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)).first()
     top = (1 << VALUE_BITS) - 1
+    low = F.col("tie") * F.lit(1 << PLACE_BITS) + F.pmod(F.xxhash64("place"), F.lit(1 << PLACE_BITS))
     made = []
-    for j, d in enumerate(dims):
+    for d in dims:
         lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
         if lo is None or hi <= lo:
             value = F.lit(0).cast("long")
         else:
             value = F.coalesce(F.floor((F.col(d) - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * F.lit(float(top - 1))).cast("long") + 1, F.lit(0).cast("long"))
-        made.append((value * F.lit(1 << TIE_BITS) + F.col("tie")).alias(f"k{j}"))
-    return rows.select(*(c for c in rows.columns if c not in dims and c != "tie"), *made)
-
-
-def grow(table: DataFrame, weight: str, keys: list[str], shards: int) -> tuple[Node, DataFrame]:
-    """The tree over table's key columns, and table with its leaf as column `node`; one written table a level."""
-    root = Node(shards, 0)
-    whole = table.agg(F.sum(weight)).first()[0] or 0
-    leaf = whole / shards
-    bits = VALUE_BITS + TIE_BITS
-    table = table.withColumn("node", F.lit(0))
-    while nodes := root.open():
-        here = {n.first: n for n in nodes}
-        placed = table.filter(F.col("node").isin(list(here)))
-        shape = placed.groupBy("node").agg(F.sum(weight).alias("w"), *(F.min(F.shiftright(k, TIE_BITS)).alias(f"lo_{k}") for k in keys), *(F.max(F.shiftright(k, TIE_BITS)).alias(f"hi_{k}") for k in keys)).collect()
-        search = {n: {"dim": 0, "prefix": 0, "depth": 0, "below": 0, "target": 0.0} for n in here}
-        for r in shape:
-            widths = [r[f"hi_{k}"] - r[f"lo_{k}"] for k in keys]
-            search[r["node"]] |= {"dim": widths.index(max(widths)), "target": r["w"] * (here[r["node"]].leaves // 2) / here[r["node"]].leaves}
-        key = F.element_at(F.array(*keys), (by_node({n: s["dim"] for n, s in search.items()}) + 1).cast("int"))
-        todo = {r["node"] for r in shape}
-        while todo:
-            base = by_node({n: search[n]["prefix"] << (bits - search[n]["depth"]) for n in todo})
-            shift = by_node({n: bits - search[n]["depth"] - RADIX_BITS for n in todo}, "int")
-            sums = placed.filter(F.col("node").isin(sorted(todo))).select("node", weight, F.call_function("shiftright", key - base, shift).alias("step"))
-            sums = sums.filter((F.col("step") >= 0) & (F.col("step") < 1 << RADIX_BITS)).groupBy("node", "step").agg(F.sum(weight).alias("w"))
-            found: dict[int, list] = {n: [] for n in todo}
-            for r in sums.collect():
-                found[r["node"]].append((r["step"], r["w"]))
-            for n, steps in found.items():
-                s = search[n]
-                s["depth"] += RADIX_BITS
-                for step, w in sorted(steps):
-                    at = s["prefix"] << RADIX_BITS | step
-                    if s["below"] + w >= s["target"]:
-                        break
-                    s["below"] += w
-                done = w <= TOLERANCE * leaf or s["depth"] >= bits
-                if done and s["target"] - s["below"] < s["below"] + w - s["target"]:
-                    at -= 1  # the step's lower end is nearer
-                s["prefix"] = at
-                if done:
-                    todo.discard(n)
-        for n, node in here.items():
-            s, half = search[n], node.leaves // 2
-            node.dim = s["dim"]
-            node.at = ((s["prefix"] + 1) << (bits - s["depth"])) - 1 if s["depth"] else 0
-            node.low, node.high = Node(half, node.first), Node(node.leaves - half, node.first + half)
-        above = F.col("node").isin(list(here)) & (key > by_node({n: node.at for n, node in here.items()}))
-        table = cut(table.withColumn("node", F.when(above, by_node({n: node.high.first for n, node in here.items()}, "int")).otherwise(F.col("node"))), "kd-level")
-    return root, table
+        made.append(value * F.lit(1 << (TIE_BITS + PLACE_BITS)) + low)
+    return rows.select(*(c for c in rows.columns if c not in dims and c != "tie"), F.array(*made).alias("keys"))
+
+
+def _beside(table: DataFrame, splits: DataFrame, nodes: int, how: str) -> DataFrame:
+    return table.join(F.broadcast(splits) if nodes <= BROADCAST_NODES else splits, "node", how)
+
+
+def _step(key: Column, depth: int) -> Column:
+    return F.shiftright(key, BITS - depth).bitwiseAND((1 << RADIX_BITS) - 1)
+
+
+def _crossed(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Of sums (by, target, below, step, w, ...) the row of the first step at which each group reaches its target, `below` brought up to it."""
+    order = W.partitionBy(*by).orderBy("step")
+    run = sums.withColumn("to", F.col("below") + F.sum("w").over(order)).withColumn("last", F.lead("step").over(order).isNull())
+    reached = (F.col("to") >= F.col("target")) | F.col("last")
+    return run.filter(reached & (F.col("to") - F.col("w") < F.col("target"))).withColumn("below", F.col("to") - F.col("w")).drop("to", "last")
+
+
+def splits_of(placed: DataFrame, weight: str, nodes: int) -> DataFrame:
+    """(node, dim, at) of each node of placed (node, leaves, weight, keys): rows whose key in dim is at most `at` go to the lower child."""
+    each = placed.select("node", "leaves", weight, F.posexplode("keys").alias("dim", "key"))
+    sums = each.groupBy("node", "leaves", "dim", _step(F.col("key"), RADIX_BITS).alias("step")).agg(F.sum(weight).alias("w"))
+    own = W.partitionBy("node", "dim")
+    wide = sums.withColumn("whole", F.sum("w").over(own)).withColumn("width", F.max("step").over(own) - F.min("step").over(own))
+    wide = wide.withColumn("target", F.col("whole") * F.floor(F.col("leaves") / 2) / F.col("leaves")).withColumn("leaf", F.col("whole") / F.col("leaves")).withColumn("below", F.lit(0).cast("long"))
+    best = _crossed(wide, ["node", "dim"]).groupBy("node").agg(F.max_by(F.struct("dim", "target", "leaf", "below", F.col("step").cast("long").alias("prefix"), "w"), F.struct("width", -F.col("dim"))).alias("s"))
+    open_ = cut(best.select("node", "s.*"), "kd-splits")
+    done, depth = [], RADIX_BITS
+    while True:
+        small = (F.col("w") <= F.lit(TOLERANCE) * F.col("leaf")) if depth < BITS else F.lit(True)
+        # The step's nearer end.
+        nearer = F.when(F.col("target") - F.col("below") < F.col("below") + F.col("w") - F.col("target"), F.col("prefix") - 1).otherwise(F.col("prefix"))
+        done.append(open_.filter(small).select("node", "dim", (F.shiftleft(nearer + 1, BITS - depth) - 1).alias("at")))
+        if depth >= BITS or not (left := open_.filter(~small).count()):
+            break
+        todo = open_.filter(~small).select("node", "dim", "target", "leaf", "below", "prefix")
+        depth += RADIX_BITS
+        near = _beside(placed.select("node", weight, "keys"), todo, left, "inner").withColumn("key", F.element_at("keys", F.col("dim") + 1))
+        near = near.filter(F.shiftright("key", BITS - depth + RADIX_BITS) == F.col("prefix"))
+        sums = near.groupBy("node", "dim", "target", "leaf", "below", "prefix", _step(F.col("key"), depth).alias("step")).agg(F.sum(weight).alias("w"))
+        found = _crossed(sums, ["node"]).select("node", "dim", "target", "leaf", "below", (F.shiftleft("prefix", RADIX_BITS) + F.col("step")).alias("prefix"), "w")
+        open_ = cut(found, "kd-splits")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def grow(table: DataFrame, weight: str, shards: int) -> DataFrame:
+    """table (with `keys`) and its leaf as column `node`; one written table a level."""
+    table = table.withColumn("node", F.lit(0)).withColumn("leaves", F.lit(shards))
+    nodes, most = 1, shards
+    while most > 1:
+        splits = splits_of(table.filter("leaves > 1"), weight, nodes)
+        half = F.floor(F.col("leaves") / 2).cast("int")
+        high = F.element_at("keys", F.col("dim") + 1) > F.col("at")
+        parted = _beside(table, splits, nodes, "left").withColumn("half", half)
+        node = F.when(F.col("at").isNull() | ~high, F.col("node")).otherwise(F.col("node") + F.col("half"))
+        leaves = F.when(F.col("at").isNull(), F.col("leaves")).when(high, F.col("leaves") - F.col("half")).otherwise(F.col("half"))
+        before, table = table, cut(parted.select(*(c for c in table.columns if c not in ("node", "leaves")), node.alias("node"), leaves.alias("leaves")), "kd-level")
+        discard(before)
+        nodes, most = min(2 * nodes, shards), most - most // 2
+    return table
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None) -> DataFrame:
@@ -123,15 +120,16 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), size.alias("size"), F.crc32(raw).alias("crc"), *(c.cast("double").alias(f"d_{d}") for d, c in dims.items()))
     names = ["d_size", *(f"d_{d}" for d in dims)]
     rows = rows.withColumn("d_size", F.log2(F.col("size").cast("double"))).withColumn("tie", F.pmod(F.xxhash64("i", "crc", "size"), F.lit(1 << TIE_BITS)))
-    rows = cut(rows, "kd-rows")
+    rows = cut(rows.withColumn("place", F.monotonically_increasing_id()), "kd-rows")
     table = cut(keyed(rows, names), "kd-keys")
-    keys = [f"k{j}" for j in range(len(names))]
-    _, table = grow(table, "size", keys, shards)
-    placed = table.select("i", "size", "crc", F.col("node").alias("shard"), F.pmod(F.xxhash64("crc", "i"), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"))
+    buckets = max(1, -(-table.count() // (shards * SLOT_ROWS)))
+    placed = grow(table, "size", shards).select("i", "size", "crc", F.col("node").alias("shard"), F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int").alias("bucket"))
+    discard(rows)
     counts = placed.groupBy("shard", "bucket").agg(F.count("size").alias("n"))
     starts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
     numbered = placed.withColumn("r", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("i", "crc", "size")))
-    joined = numbered.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))  # shards * SLOT_BUCKETS rows
+    starts = F.broadcast(starts) if shards * buckets <= BROADCAST_NODES else starts
+    joined = numbered.join(starts, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
     return joined.select(F.col("i").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("r") - 1).cast("long").alias("slot"))
 
 

@@ -262,6 +262,33 @@ def test_kd_shards_hold_everything_once(spark):
     assert kd_shards.shard(documents(spark, []), 10).collect() == []
 
 
+def test_kd_shards_part_equal_rows_evenly(spark):
+    """300 equal rows among 598 others, and nothing but equal rows: every shard is within a row or two of the mean."""
+    rnd = random.Random(17)
+    rows = [(1, "x" * 200, "en", "a")] * 300 + [(10 + i, "y" * rnd.randint(0, 100), "en", "b") for i in range(598)]
+    for some, shards in ((rows, 10), (rows[:300], 8), ([(None, None, None, None)] * 90, 4)):
+        sizes = Counter()
+        for r in kd_shards.shard(documents(spark, some), shards).collect():
+            sizes[r["shard"]] += r["size"]
+        mean = sum(sizes.values()) / shards
+        assert len(sizes) == shards and max(abs(v - mean) for v in sizes.values()) <= 2 * 216
+
+
+def test_kd_tree_splits_at_weighted_medians_of_the_widest_dimension(spark):
+    """One split, against brute force: the widest dimension, and the place in it that is nearest to half the weight."""
+    rnd = random.Random(18)
+    rows = [(rnd.randint(1, 50), rnd.uniform(0, 1), rnd.uniform(0.4, 0.6) if k else 0.0, k) for k in range(500)]
+    rows[1] = (5, 0.5, 1.0, 1)
+    made = kd_shards.keyed(spark.createDataFrame([(w, a, b, 0, k) for w, a, b, k in rows], "size long, a double, b double, tie long, place long"), ["a", "b"])
+    placed = kd_shards.grow(made, "size", 2).collect()
+    low = {r["place"] for r in placed if r["node"] == 0}
+    order = sorted(range(500), key=lambda k: (rows[k][1], k))
+    prefix = set(order[: len(low)])
+    assert low == prefix  # both are as wide at twelve bits; the first goes before
+    half = sum(r[0] for r in rows) / 2
+    assert abs(sum(rows[k][0] for k in low) - half) <= 50
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
