@@ -4,8 +4,9 @@ Features of a document: its hashed words with x = log(1 + tf), scaled to length
 whole text, each standardised on the training rows and clipped; and the metadata column n_chars set against the text.
 Score: sigmoid(w0 + w.x + 1/2 sum_f ((V_f.x)^2 - V_f^2.x^2)), the sum-of-squares identity, linear in the features.
 
-The machine is fitted on the driver on a bounded sample: the labelled training rows of lowest hash, at most MAX_ROWS rows,
-taken while their texts stay under MAX_CHARS characters together. Everything else covers all rows and whole texts.
+The machine is fitted on the driver on a bounded sample: the labelled training rows of lowest hash, at most MAX_ROWS rows (repeats of
+an id included), whose whole texts have at most MAX_CHARS characters together; a text that no longer fits is passed over, and
+those behind it are still taken. Everything else covers all rows and whole texts.
 
 Null texts score as empty ones. Without usable labels every score is PRIOR; with one class alone it is that class's
 smoothed rate. A doc_id with several labels counts once with their mean, rounded half up.
@@ -158,24 +159,35 @@ class Machine:
         return self
 
 
+def within(sizes: list[int], most: int) -> list[bool]:
+    """Which of sizes, in turn, are taken so that their sum stays within most; what does not fit is passed over."""
+    held, out = 0, []
+    for size in sizes:
+        out.append(held + size <= most)
+        held += size * out[-1]
+    return out
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_chars: str | None, label_col: str, folds: int) -> DataFrame:
-    """(text, n_chars, y) of the bounded sample."""
-    marked = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("double").alias("y")).filter("i IS NOT NULL AND y IS NOT NULL")
+    """(i, t, c, y, h, size) of the rows of docs that have one of the MAX_ROWS labels of lowest hash."""
+    marked = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("double").alias("y")).filter("i IS NOT NULL AND y IS NOT NULL")
     marked = marked.filter(fold("i", folds) != 0).groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     chosen = marked.orderBy(F.xxhash64("i"), "i").limit(MAX_ROWS)
-    meta = F.col(n_chars).cast("double") if n_chars else F.lit(None).cast("double")
-    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), meta.alias("c"))
-    return rows.join(F.broadcast(chosen), "i")  # at most MAX_ROWS pairs of numbers
+    meta = F.col(f"`{n_chars}`").cast("double") if n_chars else F.lit(None).cast("double")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), text.alias("t"), meta.alias("c")).join(F.broadcast(chosen), "i")  # at most MAX_ROWS pairs of numbers
+    # A row is known by its hash; equal rows are one to the fit.
+    return rows.withColumn("h", F.xxhash64("i", "t", "c")).withColumn("size", F.length("t"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = "n_chars", label_col: str = "quality", folds: int = 5) -> Machine:
     """A machine fitted on labels whose id's fold is not 0."""
     rows = training_rows(docs, labels, id_col, text_col, n_chars, label_col, folds)
-    sizes = rows.select(F.xxhash64("i").alias("h"), "i", F.length("t").alias("size")).toPandas().sort_values(["h", "i"], kind="stable")
-    under = sizes[sizes["size"].cumsum() <= MAX_CHARS]
-    if not len(under):
+    sizes = rows.groupBy("h").agg(F.min(F.xxhash64("i")).alias("o"), F.max("size").alias("size")).orderBy("o", "h").limit(MAX_ROWS).collect()
+    under = [(r["h"],) for r, fits in zip(sizes, within([r["size"] for r in sizes], MAX_CHARS), strict=True) if fits]
+    if not under:
         return Machine()
-    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in under["i"].unique()], "i long")), "i")
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(under, "h long")), "h")  # at most MAX_ROWS numbers
 
     def maker():
         make = Featurizer()
@@ -188,9 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return work
 
-    made = map_texts(rows, "t", ["i", "y"], {"bins": "binary", "vals": "binary", "stats": "binary"}, maker, [F.col("c")])
-    got = made.withColumn("h", F.xxhash64("i")).toPandas().sort_values(["h", "i"], kind="stable")
-    found = list(got.itertuples())
+    made = map_texts(rows, "t", ["h", "i", "y"], {"bins": "binary", "vals": "binary", "stats": "binary"}, maker, [F.col("c")])
+    once = made.groupBy("h").agg(F.first("i").alias("i"), *(F.first(c).alias(c) for c in ("y", "bins", "vals", "stats")))
+    found = list(once.withColumn("o", F.xxhash64("i")).toPandas().sort_values(["o", "h"], kind="stable").itertuples())
     if not found:
         return Machine()
     bins = [np.frombuffer(r.bins, dtype=np.int32) for r in found]
