@@ -80,9 +80,9 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
 """,
     "op3_warc_bundles": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f
+f AS (SELECT *, payload_bytes < 100 OR row_number() OVER (PARTITION BY payload_digest ORDER BY page_id) = 1 AS is_first, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN is_first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN is_first THEN NULL ELSE first END AS refers_to FROM f
 """,
     "op10_poisson_mix": """
 WITH sizes AS (SELECT source, sum(coalesce(n_chars, 0))::BIGINT AS size FROM documents GROUP BY source),

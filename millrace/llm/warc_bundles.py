@@ -10,7 +10,8 @@ the index count, so files of lost or repeated tasks do no harm. The index maps a
 Reading takes the index by bundle, opens the bundle at its footer, decompresses the frames that are asked for alone,
 and parses records at their offsets.
 
-Null payloads are empty. Ids are written in the record id; null ids and repeated ids are records like any other.
+Null payloads are empty. Ids are written in the record id; null ids and repeated ids are records like any other. Where several rows with
+one payload have its smallest id, one of them (of the smallest URL) is the response and the others revisit it, under the id that they share.
 Where equal payloads have no id but null, they are all responses.
 """
 
@@ -33,6 +34,9 @@ from millrace.session import ship
 MIN_REVISIT = 100
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+#: Frames of a bundle that one reading row takes, and plain bytes that one reading task takes.
+READ_FRAMES = 16
+READ_BYTES = 1 << 24
 LEVEL = 3
 # Fixed values of the Zstandard formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -99,11 +103,24 @@ def marked(pages: DataFrame, id_col: str, payload_col: str, url_col: str | None)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # Groups are counted before anything is dealt out by digest, so a payload that a third of the rows hold is one row.
-    large = rows.filter(F.octet_length("payload") >= MIN_REVISIT)
-    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("digest").alias("n")).filter("n > 1 AND first IS NOT NULL")
-    firsts = cut(firsts.select(F.col("digest").alias("d"), "first"), "warc-firsts")
-    joined = rows.join(firsts, F.col("digest") == F.col("d"), "left")  # a hot digest is one that the join can split
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
+    large = rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("digest", "page_id")
+    per_id = large.groupBy("digest", "page_id").agg(F.count("digest").alias("n"))
+    firsts = per_id.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n"), F.min_by("n", "page_id").alias("n_first")).filter("n > 1 AND first IS NOT NULL")
+    firsts = cut(firsts.select(F.col("digest").alias("d"), "first", "n_first"), "warc-firsts")
+    # Payloads too small to be revisited meet nothing, and are dealt by a hash of their own instead of by their few digests.
+    key = F.when(F.octet_length("payload") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = rows.withColumn("key", key).join(firsts, F.col("key") == F.col("d"), "left")  # a hot digest is one that the join can split
+    columns = ["page_id", "url", "payload", "digest"]
+    is_first = F.col("page_id").eqNullSafe(F.col("first"))
+    if not firsts.filter("n_first > 1").limit(1).count():
+        return joined.select(*columns, F.when(is_first, None).otherwise(F.col("first")).alias("refers_to"))
+    # Rows that share the smallest id are numbered in a table of their own; of each payload the lowest of them is the response.
+    shared = F.coalesce(is_first & (F.col("n_first") > 1), F.lit(False))
+    alike = cut(joined.filter(shared).select(*columns, "d", "first", F.monotonically_increasing_id().alias("place")), "warc-shared-ids")
+    lowest = F.min(F.struct(F.coalesce("url", F.lit("")).alias("u"), "place"))
+    chosen = alike.groupBy("d").agg(lowest.alias("low")).select(F.col("d").alias("cd"), F.col("low.place").alias("chosen"))
+    alike = alike.join(chosen, F.col("d") == F.col("cd")).select(*columns, F.when(F.col("place") == F.col("chosen"), None).otherwise(F.col("first")).alias("refers_to"))
+    return joined.filter(~shared).select(*columns, F.when(is_first, None).otherwise(F.col("first")).alias("refers_to")).unionAll(alike)
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url") -> DataFrame:
@@ -181,10 +198,10 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for bundle, frame, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                entries.sort(key=lambda e: e["offset"])
+            for bundle, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entries.sort(key=lambda e: (e["frame"], e["offset"]))
                 out: list[list] = [[] for _ in range(6)]
-                found = read_records(fs, root, bundle, [(frame, e["offset"], e["length"]) for e in entries])
+                found = read_records(fs, root, bundle, [(e["frame"], e["offset"], e["length"]) for e in entries])
                 for e, (headers, block) in zip(entries, found, strict=True):
                     digest, size = headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(headers["WARC-Payload-Length"])
                     if headers["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != size):
@@ -197,8 +214,11 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("entries"))  # a frame holds FRAME_BYTES and one record
-    return frames.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    # The index is small beside what it leads to, so the number of tasks follows the bytes to be read.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    stretches = index.withColumn("stretch", F.floor(F.col("frame") / READ_FRAMES)).repartition(tasks, "bundle", "stretch")
+    read = stretches.groupBy("bundle", "stretch").agg(F.collect_list(F.struct("page_id", "frame", "offset", "length")).alias("entries"))
+    return read.select("bundle", "entries").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def archive_folder(spark) -> str:
