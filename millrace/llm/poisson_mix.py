@@ -22,6 +22,8 @@ PART = 16.0
 TERMS = 80
 #: Sources whose rates are broadcast at most; more are joined by shuffles.
 BROADCAST_SOURCES = 10_000
+#: Parts that a source's rows are dealt into beyond that.
+SALTS = 64
 
 
 def uniform(id_col: Column, seed: str | Column) -> Column:
@@ -32,7 +34,7 @@ def uniform(id_col: Column, seed: str | Column) -> Column:
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float, size_col: str, source_col: str, total: float) -> DataFrame:
     """(src, rate, parts, terms array<double>) of each source: terms are the distribution function of one part."""
-    sizes = docs.groupBy(F.col(source_col).alias("src")).agg(F.sum(F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")).alias("size"))
+    sizes = docs.select(F.col(f"`{source_col}`").alias("src"), F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("bigint").alias("chars")).groupBy("src").agg(F.sum("chars").alias("size"))
     sizes = cut(sizes, "mix-sizes")
     if weights is None:
         wanted = sizes.withColumn("want", F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(temperature))).otherwise(0.0))
@@ -58,19 +60,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
 
     weights: target share by source; None: shares follow size**temperature, whatever the sources are.
     total: wanted size of the mixture as a multiple of the size of docs.
+
+    Columns of docs may have any other names: inside they are known by their places. mix_key also takes in the row's place in the
+    input, so that rows repeated under one id are dealt out like others; which copies there are depends on the ids alone.
     """
-    kept = docs.columns
+    kept = [c for c in docs.columns if c not in ("mix_copy", "mix_rate", "mix_key")]
     rates = cut(source_rates(docs, weights, temperature, size_col, source_col, total), "mix-rates")
-    rows = docs.select("*", F.col(source_col).alias("__src"))
+    column = lambda c: F.col(f"`{c}`")
+    rows = docs.select(*(column(c).alias(f"c{j}") for j, c in enumerate(kept)), column(id_col).cast("string").alias("id_text"), column(source_col).alias("own_src"), F.monotonically_increasing_id().alias("place"))
+    same = F.col("own_src").eqNullSafe(F.col("src"))
     if rates.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(rates), F.col("__src").eqNullSafe(F.col("src")), "left")
+        joined = rows.join(F.broadcast(rates), same)
     else:  # a source may hold a third of all rows: its rows are dealt over salted copies of its rate
-        salts = 64
-        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"))
-        joined = rows.join(salted, F.col("__src").eqNullSafe(F.col("src")) & (rows["salt"] == salted["salt"]), "left").drop("salt")
-    draw = lambda part: F.size(F.filter(F.col("terms"), lambda c: c <= uniform(F.col(id_col), F.concat(F.lit(f"{seed}/"), part.cast("string")))))
-    count = F.when(F.col("rate") > 0, F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, part: acc + draw(part))).otherwise(0)
-    copies = joined.withColumn("__n", count).filter("__n > 0").select(*kept, F.col("rate").alias("mix_rate"), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("mix_copy"))
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy"), F.lit(seed)))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+        salted = rates.withColumn("rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("row_salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("row_salt") == F.col("rate_salt")))
+    # Each part's draw is made once; the distribution function is then searched with it.
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(F.col("id_text"), F.concat(F.lit(f"{seed}/"), part.cast("string"))))
+    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("terms"), lambda c: c <= u)))
+    counted = joined.filter(F.col("rate") > 0).withColumn("n_copies", count).filter("n_copies > 0")
+    copies = counted.select(*(f"c{j}" for j in range(len(kept))), "id_text", "place", "rate", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    keyed = copies.withColumn("key", F.xxhash64(F.coalesce("id_text", F.lit("")), "copy", F.lit(seed), "place"))
+    return keyed.repartition("key").sortWithinPartitions("key").select(*(F.col(f"c{j}").alias(c) for j, c in enumerate(kept)), F.col("copy").alias("mix_copy"), F.col("rate").alias("mix_rate"), F.col("key").alias("mix_key"))

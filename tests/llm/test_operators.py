@@ -217,6 +217,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_bundles.read(warc_bundles.write(pages.limit(0), folder), folder).collect() == []
 
 
+def test_warc_has_one_response_where_rows_share_the_smallest_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_bundles, "READ_FRAMES", 2)
+    rows = [(1, "http://b", "x" * 150), (1, "http://a", "x" * 150), (1, None, "y" * 150), (2, "u", "x" * 150), (2, "u", "x" * 150), (3, "u", "z" * 99), (3, "u", "z" * 99)]
+    rows += [(10 + i % 50, "u", f"{i % 50}" * 20_000) for i in range(200)]
+    folder = f"file://{tmp_path}/warc"
+    index = warc_bundles.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc_bundles.read(index, folder).collect())
+    expected = Counter({(1, 150, "response", None): 2, (1, 150, "revisit", 1): 1, (2, 150, "revisit", 1): 2, (3, 99, "response", None): 2})
+    for i in range(50):
+        size = 20_000 * len(str(i))
+        expected.update({(10 + i, size, "response", None): 1, (10 + i, size, "revisit", 10 + i): 3})
+    assert got == expected
+
+
 def test_quality_learns_and_covers_hard_rows(spark):
     rnd = random.Random(5)
     words = "the of and to in is that for it was".split()
@@ -233,6 +247,46 @@ def test_quality_learns_and_covers_hard_rows(spark):
     assert factor_quality.score(docs.limit(0), machine).collect() == []
 
 
+def test_quality_sample_passes_over_what_does_not_fit(spark, monkeypatch):
+    assert factor_quality.within([5, 30, 4, 1, 9], 10) == [True, False, True, True, False]
+    monkeypatch.setattr(factor_quality, "MAX_CHARS", 30_000)
+    good = [(i, "the of and to in is that " * 4, "en", "a") for i in range(120)] + [(7, "the of and", "en", "a")] * 300  # an id repeated with many rows
+    bad = [(1000 + i, "### $$$ " * 6, "en", "a") for i in range(120)]
+    for long in range(2000, 2012):  # texts that are longer than the bound, wherever they are in the order
+        good.append((long, "the of and " * 4_000, "en", "a"))
+    labels = spark.createDataFrame([(str(i), int(i < 1000 or i >= 2000)) for i, *_ in good + bad], "doc_id string, quality int")
+    docs = documents(spark, good + bad).withColumn("doc_id", F.col("doc_id").cast("string"))  # ids need not be numbers
+    got = {r["doc_id"]: r["quality_score"] for r in factor_quality.score(docs, factor_quality.fit(docs, labels), keep=["doc_id"]).collect()}
+    low, high = max(got[str(1000 + i)] for i in range(120)), min(got[str(i)] for i in range(120) if i != 7)
+    assert low < 0.3 < 0.5 < high
+
+
+def plain_quality(machine, text, n_chars):
+    """The score of one text by a sum over all pairs of features."""
+    bins = Counter(zlib.crc32(w) % factor_quality.BINS for w in text.encode().lower().split())
+    values = {b: math.log1p(n) for b, n in bins.items()}
+    norm = math.sqrt(sum(v * v for v in values.values())) or 1.0
+    raw = text.encode()
+    stats = factor_quality.structure(text, raw, raw.lower().split(), len(bins), max(bins.values(), default=0), n_chars)
+    x = {b: v / norm for b, v in values.items()}
+    x |= {factor_quality.BINS + j: float(np.clip((s - m) / d, -4, 4) / 2) for j, (s, m, d) in enumerate(zip(stats, machine.mean, machine.scale, strict=True))}
+    z = machine.w0 + sum(machine.w[i] * v for i, v in x.items())
+    keys = sorted(x)
+    z += sum(float(machine.v[a] @ machine.v[b]) * x[a] * x[b] for k, a in enumerate(keys) for b in keys[k + 1 :])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_scores_equal_a_sum_over_pairs(spark):
+    rnd = random.Random(15)
+    texts = [" ".join(rnd.choice("the of and $$$ Word word. x9".split()) for _ in range(rnd.randint(0, 30))) for _ in range(60)] + ["", "A\nA\n!!"]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int("$$$" not in t)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    machine = factor_quality.fit(docs, labels)
+    assert machine.constant is None
+    for r in factor_quality.score(docs, machine, keep=["doc_id"]).collect():
+        assert r["quality_score"] == pytest.approx(plain_quality(machine, texts[r["doc_id"]], len(texts[r["doc_id"]])), rel=1e-6)
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(6)
     m = factor_quality.Machine()
@@ -415,7 +469,7 @@ def test_codec_equals_the_library(spark):
         assert codec.decode(ids) == sp.decode(ids)
 
 
-def test_mixing_meets_targets(spark):
+def test_mixing_meets_targets(spark, monkeypatch):
     rows = HARD + [(100 + i, "w" * 100, "en", "hot" if i % 3 else f"s{i % 5}") for i in range(6_000)]
     docs = documents(spark, rows)
     got = poisson_mix.mix(docs, {"hot": 1.0, "s0": 40.0, "s1": 1.0}, total=2.0)
@@ -431,5 +485,11 @@ def test_mixing_meets_targets(spark):
     counts = Counter(r["doc_id"] for r in poisson_mix.mix(documents(spark, [(i, "w", "en", "a") for i in range(20_000)])).collect())
     for k in range(4):
         assert sum(counts.get(i, 0) == k for i in range(20_000)) / 20_000 == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.015)
+    named = docs.select("doc_id", "source", "n_chars", *(F.lit(f"own {c}").alias(c) for c in ("rate", "src", "parts", "terms", "salt", "place", "copy", "key", "mix_key", "id_text", "a.b")))
+    clash = poisson_mix.mix(named, {"hot": 1.0, "s0": 40.0, "s1": 1.0}, total=2.0)
+    assert key(clash) == key(got) and set(named.columns) < set(clash.columns)
+    assert {r["rate"] + r["src"] + r["salt"] + r["a.b"] for r in clash.collect()} == {"own rateown srcown saltown a.b"}
+    monkeypatch.setattr(poisson_mix, "BROADCAST_SOURCES", 0)
+    assert key(poisson_mix.mix(named, {"hot": 1.0, "s0": 40.0, "s1": 1.0}, total=2.0)) == key(got)
     assert poisson_mix.mix(documents(spark, [])).collect() == []
     assert poisson_mix.mix(documents(spark, [(1, None, None, None)])).collect() == []
