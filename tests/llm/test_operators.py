@@ -437,18 +437,55 @@ def test_language_id(spark):
     assert segment_langid.identify(docs.limit(0), languages, ["doc_id"]).collect() == []
 
 
-def test_forward_sums_all_segmentations():
+def plain_segmentations(model, pieces, word):
+    """(probability, pieces) of each segmentation of the word."""
+    if not word:
+        return [(1.0, [])]
+    found = []
+    for k in range(1, len(word) + 1):
+        if word[:k] in pieces or k == 1:
+            p = model.theta[pieces.index(word[:k]), 0] if word[:k] in pieces else segment_langid.UNKNOWN
+            found += [(p * q, [word[:k], *rest]) for q, rest in plain_segmentations(model, pieces, word[k:])]
+    return found
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
     pieces = ["▁", "a", "b", "ab", "▁a", "bab"]
+    words = ["abab", "bab", "aéb", "b", "abababab"]
+    for rescale in (32, 2):
+        monkeypatch.setattr(segment_langid, "RESCALE", rescale)
+        model = segment_langid.Languages(pieces, ["x"])
+        model.theta[:-1, 0] = np.arange(1, 7) / 30
+        for w in words:
+            assert model.log_words([w])[0, 0] == pytest.approx(math.log(sum(p for p, _ in plain_segmentations(model, pieces, "▁" + w))))
+        expected = np.full(len(pieces), 1e-2)
+        for w, n in zip(words, (3, 1, 2, 5, 4), strict=True):
+            ways = plain_segmentations(model, pieces, "▁" + w)
+            for p, parts in ways:
+                for piece in parts:
+                    if piece in pieces:
+                        expected[pieces.index(piece)] += n * p / sum(q for q, _ in ways)
+        model.fit(words, np.array([[3.0], [1], [2], [5], [4]]), iterations=1)
+        assert model.theta[:-1, 0] == pytest.approx(expected / expected.sum())
+
+
+def test_long_words_have_all_their_segmentations():
+    """Words far beyond a double's range, against a recursion over logarithms; a piece may be of any length."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "bab", "abba" * 7]
     model = segment_langid.Languages(pieces, ["x"])
-    model.theta[:-1, 0] = np.arange(1, 7) / 30
-
-    def total(s):
-        if not s:
-            return 1.0
-        return sum(model.theta[pieces.index(s[:k]), 0] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in pieces) + (segment_langid.UNKNOWN * total(s[1:]) if s[0] not in pieces else 0)
-
-    for w in ("abab", "bab", "aéb", "b"):
-        assert model.log_words([w])[0, 0] == pytest.approx(math.log(total("▁" + w)))
+    model.theta[:-1, 0] = np.arange(1, 8) / 3_000
+    rnd = random.Random(13)
+    for word in ("abba" * 40, "".join(rnd.choice("ab") for _ in range(700)), "ab" * 2_000):
+        text, log = "▁" + word, [0.0]
+        for end in range(1, len(word) + 2):
+            ways = [log[end - len(p)] + math.log(model.theta[i, 0]) for i, p in enumerate(pieces) if end >= len(p) and text[end - len(p) : end] == p]
+            log.append(float(np.logaddexp.reduce(ways)))
+        assert model.log_words([word])[0, 0] == pytest.approx(log[-1])
+
+
+def test_words_are_letters_with_their_marks():
+    assert segment_langid.words_of("½ ² ① 12 _ ، 3rd") == ["rd"]
+    assert segment_langid.words_of("हिन्दी Don't l’été É́x ٣") == ["हिन्दी", "don't", "l’été", "é́x"]
 
 
 def test_codec_equals_the_library(spark):
