@@ -7,6 +7,12 @@ lowest pair rank by a segmented minimum, merges its leftmost occurrence, drops w
 that have no pair left. Where no better piece can start or end with the merged piece, all its occurrences in
 the unit are merged in the same round, which gives the same result and keeps long runs to few rounds.
 
+Units of more than LONG_UNIT characters have a segmented minimum of their own for every place: the lowest rank within `reach`, the length of the
+longest piece. What would take a pair's symbols before its turn is a piece that covers one of them, so all merges that lead to it lie within
+that reach, and the first of them would be of a lower rank there. Pairs that are lowest within their reach are therefore merged
+simultaneously; of equal ones within reach, those to the right of one whose merge makes a pair that is no worse wait for
+the next round. So the number of rounds does not grow with the unit, and stretches without pairs leave the arrays.
+
 Nulls are encoded as the empty text; an empty text has no piece but the end id.
 """
 
@@ -25,6 +31,7 @@ SPACE = "▁"
 NONE = np.int64(2**62)
 #: Distinct units whose pieces a worker remembers; beyond it the memory starts anew, results don't change.
 REMEMBERED = 400_000
+LONG_UNIT = 48
 
 
 def read_model(path: str) -> dict:
@@ -95,8 +102,9 @@ class PieceCodec:
             self.bytes_of.append(bytes([int(p[3:5], 16)]) if k == "b" else b"" if k == "c" else " ⁇ ".encode() if k == "u" else p.replace(SPACE, " ").encode())
         self.spaced = {i for p, i in normal.items() if p[0] == SPACE}
         self.text_of = [str(i) for i in range(len(pieces))]
+        self.reach = max(map(len, normal), default=1)
         self.id_text: dict[str, str] = {}
-        self.odd_raw: dict[str, bytes] = {}
+        self.id_bytes: dict[str, bytes] = {}
 
     def _hash(self, keys: np.ndarray, merged: np.ndarray) -> None:
         """An open-addressed table from pair to merged piece."""
@@ -166,6 +174,75 @@ class PieceCodec:
         counts = np.bincount(np.repeat(np.arange(len(units)), lengths)[alive], minlength=len(units))
         return final[alive], counts
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece or -1, rank or NONE) of pairs of symbols."""
+        piece = self.pair(left, right)
+        return piece, np.where(piece >= 0, self.rank[piece], NONE)
+
+    @staticmethod
+    def _lowest(values: np.ndarray, before: int, after: int) -> np.ndarray:
+        """The least of values from `before` places to the left to `after` places to the right of each."""
+        size, held, span = before + after + 1, np.concatenate([np.full(before, NONE), values, np.full(after, NONE)]), 1
+        while span < size:
+            more = min(span, size - span)
+            held = np.minimum(held[: len(held) - more], held[more:])
+            span += more
+        return held
+
+    def merge_long(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """merge_units for long units, merging everywhere at once."""
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        symbol = self.char_symbol[codes].astype(np.int64)
+        final = np.where(symbol == self.other, self.width + codes.astype(np.int64), symbol)
+        alive = np.ones(len(codes), dtype=bool)
+        place = np.arange(len(codes))
+        tied = np.ones(len(codes), dtype=bool)  # whether the next symbol at work is the next of the unit
+        tied[np.cumsum(lengths) - 1] = False
+        reach = self.reach
+        while len(place) > 1:
+            piece = np.full(len(place), -1, dtype=np.int64)
+            key = np.full(len(place), NONE)
+            inner = np.flatnonzero(tied[:-1])
+            piece[inner], key[inner] = self._ranks(symbol[inner], symbol[inner + 1])
+            least = self._lowest(key, reach, reach)
+            is_least = (key == least) & (key != NONE)
+            at = np.flatnonzero(is_least)
+            if not len(at):
+                break
+            # Overlapping occurrences: every other one of a run, from its left end.
+            opens = np.r_[True, at[1:] != at[:-1] + 1]
+            run = np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            made, own = piece[at], key[at]
+            # What a merge makes with its neighbours, as they are and merged alike; it is fine if all of it is of a higher rank.
+            worse = np.ones(len(at), dtype=bool)
+            left, right = np.flatnonzero((at > 0) & tied[at - 1]), np.flatnonzero((at + 2 < len(place)) & tied[at + 1])
+            worse[left] &= self._ranks(symbol[at[left] - 1], made[left])[1] > own[left]
+            worse[right] &= self._ranks(made[right], symbol[np.minimum(at[right] + 2, len(place) - 1)])[1] > own[right]
+            worse &= self._ranks(made, made)[1] > own
+            fine = self.safe[made] | worse
+            # An equal pair to the left that waits for a lower one makes these wait as well.
+            held_up = self._lowest(np.where(is_least, NONE, key), reach, 0)[at] <= own
+            near = np.r_[False, (at[1:] - at[:-1] <= reach) & (own[1:] == own[:-1])]
+            group = np.cumsum(~near) - 1
+            stops = np.cumsum(~fine | held_up)
+            before = np.r_[0, stops[:-1]]
+            start = np.flatnonzero(~near)
+            take = at[~held_up & (before == before[start][group])]
+            symbol[take] = final[place[take]] = piece[take]
+            alive[place[take + 1]] = False
+            tied[take] = tied[take + 1]
+            keep = np.ones(len(place), dtype=bool)
+            keep[take + 1] = False
+            # Where no pair is within reach nothing changes any more.
+            quiet = (least == NONE) & np.r_[True, least[:-1] == NONE]
+            tied[:-1] &= ~(quiet[:-1] | quiet[1:])
+            keep &= ~quiet
+            place, symbol, tied = place[keep], symbol[keep], tied[keep]
+        counts = np.bincount(np.repeat(np.arange(len(units)), lengths)[alive], minlength=len(units))
+        return final[alive], counts
+
     def fallback(self, symbol: int) -> list[int]:
         """Byte pieces of a character that is no piece (or the unknown id where the model has none)."""
         char = chr(symbol - self.width) if symbol >= self.width else next(c for c, s in self.symbols.items() if s == symbol)
@@ -175,16 +252,18 @@ class PieceCodec:
         return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Remember each new unit of all texts: its ids as decimals and, where they differ from its own, the bytes they decode to."""
+        """Remember of each new unit of all texts its ids as decimals and the bytes that these ids decode to."""
         if len(self.id_text) > REMEMBERED:
             self.id_text.clear()
-            self.odd_raw.clear()
-        new = list(set().union(*texts) - self.id_text.keys())
-        if not new:
-            return
-        final, counts = self.merge_units(new)
-        models = len(self.text_of)
-        others = np.flatnonzero(final >= models)
+            self.id_bytes.clear()
+        new = set().union(*texts) - self.id_text.keys()
+        for long in (False, True):
+            units = [u for u in new if (len(u) > LONG_UNIT) == long]
+            if units:
+                self._learn(units, *(self.merge_long if long else self.merge_units)(units))
+
+    def _learn(self, units: list[str], final: np.ndarray, counts: np.ndarray) -> None:
+        others = np.flatnonzero(final >= len(self.text_of))
         odd = [(k, self.fallback(i)) for k, i in zip(others.tolist(), final[others].tolist(), strict=True)]
         final[others] = self.end
         flat = final.tolist()
@@ -192,12 +271,9 @@ class PieceCodec:
         for k, by_byte in odd:
             ids[k], raw[k] = " ".join([self.text_of[i] for i in by_byte]), b"".join([self.bytes_of[i] for i in by_byte])
         ends = np.cumsum(counts)
-        spans = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
-        self.id_text.update(zip(new, [" ".join(ids[a:b]) for a, b in spans], strict=True))
-        own = [u.replace(SPACE, " ").encode("utf-8", "surrogatepass") for u in new]
-        sizes = np.add.reduceat(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)), ends - counts)
-        if b"".join(own) != b"".join(raw) or (sizes != np.fromiter(map(len, own), dtype=np.int64, count=len(own))).any():
-            self.odd_raw.update((u, found) for u, o, (a, b) in zip(new, own, spans, strict=True) if (found := b"".join(raw[a:b])) != o)
+        for u, a, b in zip(units, (ends - counts).tolist(), ends.tolist(), strict=True):
+            self.id_text[u] = " ".join(ids[a:b])
+            self.id_bytes[u] = b"".join(raw[a:b])
 
     def encode(self, texts: list[str], end: bool = True) -> list[list[int]]:
         split = [self.split(t) for t in texts]
@@ -212,18 +288,18 @@ class PieceCodec:
         return raw[dummy:].decode("utf-8", "millrace-per-byte")
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(ids, SHA-256 of the ids' decimals, SHA-256 of the decoded text) of each text, the end id included."""
+        """(ids, SHA-256 of the ids' decimals, SHA-256 of what the ids decode to) of each text, the end id included."""
         out = []
         split = [self.split(t) for t in texts]
         self.learn(split)
-        id_text, end, odd = self.id_text.__getitem__, self.text_of[self.end], self.odd_raw
-        for text, units in zip(texts, split, strict=True):
+        id_text, id_bytes, end = self.id_text.__getitem__, self.id_bytes.__getitem__, self.text_of[self.end]
+        for units in split:
             ids = " ".join([*map(id_text, units), end])
-            # Decoding the units one by one decodes the text; all but odd_raw's decode to themselves.
-            raw = text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-            if odd and not odd.keys().isdisjoint(units):
-                raw = b"".join([odd.get(u) or u.replace(SPACE, " ").encode("utf-8", "surrogatepass") for u in units])[1:].decode("utf-8", "millrace-per-byte").encode()
-            out.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+            raw = b"".join(map(id_bytes, units))
+            if units and int(id_text(units[0]).split(" ", 1)[0]) in self.spaced:
+                raw = raw[1:]  # the dummy prefix
+            decoded = raw.decode("utf-8", "millrace-per-byte").encode()
+            out.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return out
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.llm import factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+SPACE = "▁"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, c0 string, t string, fp string"
 
 
@@ -506,6 +507,30 @@ def test_codec_equals_the_library(spark):
         assert codec.decode(ids) == sp.decode(ids)
 
 
+def test_long_units_equal_the_library_in_linear_time():
+    """Units without spaces, of all kinds, against the library; rounds must not grow with the length."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = piece_codec.PieceCodec(piece_codec.read_model(MODEL))
+    rnd = random.Random(19)
+    pieces = [p for i in range(259, 32_000) if SPACE not in (p := sp.id_to_piece(i))]
+    odd = [p for p in pieces if not codec.safe[codec.symbols[p]]]
+    assert odd
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(49, 4_000))) for letters in ("etaoin", "abcdefghijklmnopqrstuvwxyz", "ab", "aab", "ABCabc0189+/", "的是不了人我", "é́日\x00x") for _ in range(30)]
+    texts += ["".join(rnd.choices(pieces, k=rnd.randint(10, 400))) for _ in range(150)] + ["".join(rnd.choices(odd, k=rnd.randint(30, 300))) for _ in range(150)]
+    texts += ["".join(rnd.choices(odd, k=rnd.randint(1, 4))) * rnd.randint(20, 80) for _ in range(300)] + [c * n for c in "a-=_ \n0é日" for n in (49, 50, 333, 2_048)]
+    for t, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids == [*sp.encode(t), 2], t[:80]
+    rounds = []
+    for n in (4_000, 64_000):
+        text, calls = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n)), []
+        lowest = codec._lowest
+        codec._lowest = lambda *a, calls=calls, lowest=lowest: calls.append(1) or lowest(*a)
+        codec.merge_long([SPACE + text])
+        codec._lowest = lowest
+        rounds.append(len(calls) / 2)
+    assert rounds[1] <= 2 * rounds[0] + 10
+
+
 def test_mixing_meets_targets(spark, monkeypatch):
     rows = HARD + [(100 + i, "w" * 100, "en", "hot" if i % 3 else f"s{i % 5}") for i in range(6_000)]
     docs = documents(spark, rows)
