@@ -11,9 +11,15 @@ answers each chunk with the totals of its keys in the order they came, so no key
 the documents to the same chunks and reads the totals beside them. All n-grams of all documents are counted, none is
 pruned; a key that every chunk holds is one key a chunk, so frequent words need no salting.
 
-Keys are hashes of as many bits as leave some dozens of colliding pairs at most to be expected among all n-grams (2 log2(n) - 6, at
-most 64), since keys are most of what is shuffled; unigrams have 4 bits more, and are far fewer. Null texts are empty and score their end alone;
-repeated rows count and score as often as they stand. With no training documents every score is that of N = V = 0.
+A word's key is a hash of 64 bits of its bytes, worked out for all words of a chunk at once; n words have n * n / 2**65 colliding pairs to be
+expected, so counts of tokens, and with them n_known and base_score, are exact short of 10**9 distinct words. Keys of longer n-grams are most of
+what is shuffled; they have as many bits as leave some dozens of colliding pairs to be expected among n n-grams (2 log2(n) - 6, at
+most 64: from about 3 * 10**10 n-grams on more of them collide, each with few others). Weights are learned from the sums of held-out tokens in cells
+of bucket and the octaves of the three probabilities; the README states how far scores are from those of an EM over single tokens.
+
+A chunk that repeated rows make large (their ids and texts, and so their hashes, are the same) is dealt anew by places in a table of its rows. The
+number of tasks follows the number of chunks and of buckets. Null texts are empty and score their end alone; repeated rows count and
+score as often as they stand. With no training documents every score is that of N = V = 0.
 """
 
 from __future__ import annotations
@@ -23,19 +29,21 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lower_words, segment_sums
+from millrace.llm.common import cut, segment_sums
 from millrace.session import ship
 
 CHUNK_CHARS = 6_000_000
 #: A bucket of the key space gets the n-grams of about so many characters.
 BUCKET_CHARS = 10_000_000
 EM_ROUNDS = 40
-REMEMBERED = 300_000
+#: A chunk of more than so many times CHUNK_CHARS is dealt anew.
+HOT_CHUNK = 3
+#: Numbers of such chunks that are broadcast at most.
+BROADCAST_CHUNKS = 100_000
 BEGIN, END = 1, 2  # in place of word hashes
 BINS = 24
 
@@ -50,19 +58,51 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _bits(bits: int, order: int) -> int:
     """Bits of the keys of an order, 0 for unigrams."""
-    return bits if order else min(64, bits + 4)
+    return bits if order else 64
+
+
+_BYTE, _PLACE = np.random.default_rng(29).integers(1, 2**64, (2, 1 << 12), dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words `[^\\x20\\x09-\\x0D]+` of texts, A-Z lowered, in turn; number of words of each text).
+
+    A word's hash sums, over its bytes, a random number of the byte times one of its place, and mixes the sum with the word's length.
+    """
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    inner = ~_IS_SPACE[raw]
+    opens = inner.copy()
+    opens[1:] &= ~inner[:-1]
+    edges = (bounds - bounds[0])[:-1]
+    edges = edges[edges < len(raw)]
+    opens[edges] = inner[edges]  # a text's end ends its last word
+    starts = np.flatnonzero(opens)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    numbers = np.diff(np.searchsorted(starts, bounds - bounds[0]))
+    first = np.flatnonzero(opens[inner])
+    sizes = np.diff(np.r_[first, np.count_nonzero(inner)])
+    place = np.arange(sizes.sum(), dtype=np.int64) - np.repeat(first, sizes)
+    if (most := int(sizes.max())) <= len(_PLACE):
+        factor = _PLACE[place]
+    else:
+        factor = np.r_[_PLACE, _mix(np.arange(len(_PLACE), most, dtype=np.uint64), _PLACE[:1])][place]
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(_BYTE[:256][_LOWER[raw[inner]]] * factor, first)
+    return np.maximum(_mix(sums, sizes.astype(np.uint64)), np.uint64(END + 1)), numbers
 
 
 class Grams:
     """The n-grams of some documents: keys of tokens, of bigrams and of trigrams, by position."""
 
-    def __init__(self, texts: list[str], memory: dict[bytes, int], bits: int):
-        words = [lower_words(t) for t in texts]
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        for w in set().union(*words) - memory.keys():
-            memory[w] = max(END + 1, xxhash.xxh64_intdigest(w))
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
+    def __init__(self, texts: pa.Array, bits: int):
+        found, lengths = word_hashes(texts)
         self.tokens = lengths + 1
         total = lengths + 3
         ends = np.cumsum(total)
@@ -71,7 +111,7 @@ class Grams:
         flat[ends - 1] = END
         inner = np.ones(len(flat), dtype=bool)
         inner[np.r_[ends - total, ends - total + 1, ends - 1]] = False
-        flat[inner] = np.fromiter(map(memory.__getitem__, (w for ws in words for w in ws)), dtype=np.uint64, count=int(lengths.sum()))
+        flat[inner] = found
         doc = np.repeat(np.arange(len(texts)), total)
         first = np.zeros(len(flat), dtype=bool)
         first[ends - total] = True
@@ -158,18 +198,28 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, training: Column, em: Col
     chars = rows.agg(F.sum(F.length("t") + 1)).first()[0] or 0
     chunks = max(1, -(-chars // CHUNK_CHARS))
     h = F.xxhash64("i", F.crc32(F.col("t").cast("binary")))
+    few = max(1, -(-chunks // 6))
     # A chunk has rows of one kind: its counts pack well, and the weights can be learned from the held-out ones alone.
-    chunk = F.pmod(h, F.when(F.col("kind") == 1, chunks).otherwise(max(1, -(-chunks // 6)))) * 3 + F.col("kind")
+    chunk = F.pmod(h, F.when(F.col("kind") == 1, chunks).otherwise(few)) * 3 + F.col("kind")
     bits = min(64, max(40, math.ceil(2 * math.log2(chars / 3 + 2)) - 6))
-    return rows.select(chunk.cast("long").alias("chunk"), *(f"c{j}" for j in range(len(keep))), "t", "kind"), max(1, -(-chars // BUCKET_CHARS)), bits
-
-
-def totals(rows: DataFrame, buckets: int, bits: int) -> DataFrame:
+    columns = [*(f"c{j}" for j in range(len(keep))), "t", "kind"]
+    rows = rows.select(chunk.cast("long").alias("chunk"), *columns)
+    sizes = rows.groupBy("chunk").agg(F.sum(F.length("t") + 1).alias("chars"), F.count("t").alias("n")).filter((F.col("chars") > HOT_CHUNK * CHUNK_CHARS) & (F.col("n") > 1))
+    hot = cut(sizes.select("chunk", F.ceil(F.col("chars") / CHUNK_CHARS).alias("parts")), "lm-hot-chunks")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_CHUNKS else hot
+        # Both times that the rows are read they must be dealt alike: their places are those in a table.
+        apart = cut(rows.join(hot, "chunk").withColumn("place", F.monotonically_increasing_id()), "lm-hot-rows")
+        anew = ((F.floor(F.col("chunk") / 3) + chunks * (1 + F.pmod(F.xxhash64("place"), "parts"))) * 3 + F.col("kind")).alias("chunk")
+        rows = rows.join(hot, "chunk", "left_anti").unionAll(apart.select(anew, *columns))
+    return rows, max(1, -(-chars // BUCKET_CHARS)), bits
+
+
+def totals(rows: DataFrame, tasks: int, buckets: int, bits: int) -> DataFrame:
     """(chunk, bucket, payload, n, nt, v): each chunk's totals by bucket, and each bucket's tokens, estimating tokens and distinct tokens."""
-    memory_of: dict[str, dict] = {}
-
     def ask(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("t").to_pylist(), memory_of.setdefault("words", {}), bits)
+        grams = Grams(table.column("t").combine_chunks(), bits)
         kind = table.column("kind").to_numpy()
         counts = list(zip(grams.sets, grams.counts((kind == 1).astype(float)), grams.counts((kind == 2).astype(float)), strict=True))
         where, payloads = [], []
@@ -204,8 +254,9 @@ def totals(rows: DataFrame, buckets: int, bits: int) -> DataFrame:
             "n": pa.array([n] + [0] * (m - 1), pa.int64()), "nt": pa.array([nt] + [0] * (m - 1), pa.int64()), "v": pa.array([v] + [0] * (m - 1), pa.int64()),
         })
 
-    asked = rows.select("chunk", "t", "kind").groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, payload binary")
-    return cut(asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, payload binary, n long, nt long, v long"), "lm-totals")
+    chunks = rows.select("chunk", "t", "kind").repartition(tasks, "chunk")
+    asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, payload binary")
+    return cut(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, payload binary, n long, nt long, v long"), "lm-totals")
 
 
 def _read(table: pa.Table) -> list[list[np.ndarray]]:
@@ -226,15 +277,13 @@ def _parts(counts: tuple[np.ndarray, ...], n: int, v: int) -> tuple[np.ndarray,
     return uvw / np.maximum(ctx2, 1), vw / np.maximum(ctx1, 1), (w + 1) / (n + v + 1), _bin(ctx2) * BINS + _bin(ctx1)
 
 
-def learn_weights(rows: DataFrame, answers: DataFrame, nt: int, v: int, bits: int) -> np.ndarray:
+def learn_weights(rows: DataFrame, answers: DataFrame, tasks: int, nt: int, v: int, bits: int) -> np.ndarray:
     """(BINS * BINS, 3) weights of p3, p2, p1 by bucket."""
-    memory_of: dict[str, dict] = {}
-
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["bucket", "q3", "q2", "q1", "n", "p3", "p2", "p1"]
         if not left.num_rows:
             return pa.table({x: pa.array([], pa.float64() if x[0] == "p" else pa.int64()) for x in names})
-        grams = Grams(left.column("t").to_pylist(), memory_of.setdefault("words", {}), bits)
+        grams = Grams(left.column("t").combine_chunks(), bits)
         p3, p2, p1, bucket = _parts(grams.token_counts(_read(right)[0]), nt, v)
         octave = lambda p: np.where(p > 0, np.floor(np.log2(np.maximum(p, 1e-300))), -10_000).astype(np.int64)
         found, inverse, n = np.unique(np.stack([bucket, octave(p3), octave(p2), octave(p1)]), axis=1, return_inverse=True, return_counts=True)
@@ -244,7 +293,8 @@ def learn_weights(rows: DataFrame, answers: DataFrame, nt: int, v: int, bits: in
     held = rows.filter("kind = 2").select("chunk", "t")
     schema = "bucket long, q3 long, q2 long, q1 long, n long, p3 double, p2 double, p1 double"
     # Cells are octaves of the three probabilities, so their number is bounded, whatever the corpus is; a cell stands for its means.
-    made = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cells, schema)
+    tasks = max(1, -(-tasks // 6))
+    made = held.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(cells, schema)
     found = made.groupBy("bucket", "q3", "q2", "q1").agg(*(F.sum(x).alias(x) for x in ("n", "p3", "p2", "p1"))).toPandas()
     start = np.array([0.4, 0.3, 0.3])
     weights = np.tile(start, (BINS * BINS, 1))
@@ -266,20 +316,19 @@ def score(docs: DataFrame, training: Column, em: Column, keep: list[str], id_col
     """Columns keep of every row with n_tokens, n_known, train_tokens, base_score and score (log10)."""
     ship(docs.sparkSession)
     rows, buckets, bits = dealt(docs, id_col, text_col, training, em, keep)
-    answers = totals(rows, buckets, bits)
+    tasks = -(-buckets * BUCKET_CHARS // CHUNK_CHARS)
+    answers = totals(rows, tasks, buckets, bits)
     sums = answers.agg(F.sum("n").alias("n"), F.sum("nt").alias("nt"), F.sum("v").alias("v")).first()
     n, nt, v = sums["n"] or 0, sums["nt"] or 0, sums["v"] or 0
     answers = answers.select("chunk", "bucket", "payload")
-    chosen = learn_weights(rows, answers.filter("chunk % 3 = 2"), nt, v, bits)
+    chosen = learn_weights(rows, answers.filter("chunk % 3 = 2"), tasks, nt, v, bits)
     held = docs.sparkSession.sparkContext.broadcast(chosen)  # BINS * BINS rows
     k = len(keep)
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
-    memory_of: dict[str, dict] = {}
-
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left.select([f"c{j}" for j in range(k)]).append_column("n_tokens", pa.array([], pa.int64())).append_column("n_known", pa.array([], pa.int64())).append_column("base_score", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64()))
-        grams = Grams(left.column("t").to_pylist(), memory_of.setdefault("words", {}), bits)
+        grams = Grams(left.column("t").combine_chunks(), bits)
         counts = grams.token_counts(_read(right)[-1])
         p3, p2, p1, bucket = _parts(counts, n, v)
         weights = held.value[bucket]
@@ -290,5 +339,5 @@ def score(docs: DataFrame, training: Column, em: Column, keep: list[str], id_col
         return out
 
     schema = ", ".join([*(f"c{j} {t}" for j, t in enumerate(kinds)), "n_tokens long, n_known long, base_score double, score double"])
-    made = rows.drop("kind").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scores, schema)
+    made = rows.drop("kind").repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(scores, schema)
     return made.toDF(*keep, "n_tokens", "n_known", "base_score", "score").withColumn("train_tokens", F.lit(n).cast("long"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -177,11 +178,76 @@ def test_language_model_counts(spark):
     assert empty.collect() == []
 
 
-def test_language_model_probabilities_sum_to_one():
-    """Over all words that training knows and one more, for a seen context."""
-    counts = Counter({"a": 5, "b": 3, "c": 2})
-    n, v = 10, 3
-    assert sum((c + 1) / (n + v + 1) for c in counts.values()) + 1 / (n + v + 1) == pytest.approx(1)
+def plain_language_model(rows, kinds):
+    """The log10 probability of each text: deleted interpolation by EM over single held-out tokens."""
+    begin, end = "<s>", "</s>"
+    split = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + [end]
+
+    def tables(kinds_in):
+        one, two, three = Counter(), Counter(), Counter()
+        for (_, t, *_), kind in zip(rows, kinds, strict=True):
+            if kind in kinds_in:
+                words = [begin, begin, *split(t)]
+                one[begin] += 1
+                two[begin, begin] += 1
+                one.update(words[2:])
+                two.update(zip(words[1:], words[2:], strict=False))
+                three.update(zip(words, words[1:], words[2:], strict=False))
+        n = sum(v for w, v in one.items() if w != begin)
+        return one, two, three, n, sum(w != begin for w in one)
+
+    def parts(text, table):
+        one, two, three, n, v = table
+        words = [begin, begin, *split(text)]
+        level = lambda c: min(interpolated_lm.BINS - 1, 1 + int(math.log2(c))) if c else 0
+        for u, x, w in zip(words, words[1:], words[2:], strict=False):
+            long, short = two[u, x], one[x]
+            yield (level(long), level(short)), (three[u, x, w] / max(1, long), two[x, w] / max(1, short), (one[w] + 1) / (n + v + 1))
+
+    even = lambda b, x: [y / sum(z * u for z, u in zip(x, (b[0] > 0, b[1] > 0, True), strict=True)) * u for y, u in zip(x, (b[0] > 0, b[1] > 0, True), strict=True)]
+    estimates = tables({1})
+    seen = [p for (_, t, *_), kind in zip(rows, kinds, strict=True) if kind == 2 for p in parts(t, estimates)]
+    start = (0.4, 0.3, 0.3)
+    weights = {}
+    for _ in range(interpolated_lm.EM_ROUNDS):
+        mass = {}
+        for b, p in seen:
+            w = weights.get(b) or even(b, start)
+            total = sum(x * y for x, y in zip(w, p, strict=True))
+            for k in range(3):
+                mass.setdefault(b, list(even(b, start)))[k] += w[k] * p[k] / total
+        weights = {b: even(b, m) for b, m in mass.items()}
+    whole = tables({1, 2})
+    return [sum(math.log10(sum(x * y for x, y in zip(weights.get(b) or even(b, start), p, strict=True))) for b, p in parts(t, whole)) for _, t, *_ in rows]
+
+
+def test_language_model_scores_equal_a_plain_model(spark, monkeypatch):
+    rnd = random.Random(23)
+    vocabulary = "a b c d e f g h Ä the of and Word".split()
+    rows = HARD[:4] + [(100 + i, " ".join(rnd.choice(vocabulary[: rnd.randint(2, 13)]) for _ in range(rnd.randint(0, 60))), "en", "a") for i in range(200)] + [(7, "the same row", "en", "a")] * 50
+    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
+    kinds = [0 if crc(i) % 7 == 2 else 2 if crc(i) // 7 % 8 == 3 else 1 for i, *_ in rows]
+    expected = Counter()
+    for r, s in zip(rows, plain_language_model(rows, kinds), strict=True):
+        expected[r[0], r[1]] = s
+    column = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    for chars in (interpolated_lm.CHUNK_CHARS, 200):  # the second: many chunks, and the repeated rows' dealt anew
+        monkeypatch.setattr(interpolated_lm, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(interpolated_lm, "BUCKET_CHARS", 2 * chars)
+        got = interpolated_lm.score(documents(spark, rows), column % 7 != 2, F.floor(column / 7) % 8 == 3, ["doc_id", "text"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["score"] == pytest.approx(expected[r["doc_id"], r["text"]], rel=0.005), r
+
+
+def test_language_model_words_and_messages():
+    texts = ["The\tthe  Ähm", "", "x" * 5_000 + " " + "x" * 5_001, "the", " \x0b\x0c", "ähm"]
+    hashes, numbers = interpolated_lm.word_hashes(pa.array(["cut off", *texts]).slice(1))
+    assert numbers.tolist() == [len(t.encode().split()) for t in texts]
+    words = [w for t in texts for w in t.encode().lower().split()]
+    assert len(hashes) == len(words) and len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    many = [f"{a}{i}" for i in range(200_000) for a in ("w", "ab")]
+    assert len(np.unique(interpolated_lm.word_hashes(pa.array([" ".join(many)]))[0])) == len(many)
     parts = interpolated_lm.pack([(np.array([3, 9], "u8"), np.array([1, 2], "u4"), np.array([0, 7], "u4"))] * 3, True)
     again = interpolated_lm.unpack(parts, True)
     assert again[2][0].tolist() == [3, 9] and again[0][2].tolist() == [0, 7]
