@@ -6,14 +6,12 @@ keep one document of each group, mixing repeats documents by their source's rate
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import factor_quality, piece_codec, poisson_mix, segment_langid, simhash_dedup
-from millrace.llm.common import shared_dir
+from millrace.llm.common import cut, discard
 from millrace.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,7 +34,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document of smallest doc_id; of equal rows with that id, one."""
+    """Of each component of near-duplicates one document, of its smallest doc_id."""
     return simhash_dedup.keep_one(docs.select(*COLUMNS), similarity=SIMILARITY)
 
 
@@ -57,11 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; a stage's table goes when the next one stands."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{base}/{name}")
-        docs = spark.read.schema(made.schema).parquet(f"{base}/{name}")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
