@@ -16,7 +16,7 @@ from millrace.session import written as cut
 __all__ = ["cut", "discard", "fold", "lower_words", "map_texts", "segment_sums", "shared_dir", "text_runs"]
 
 #: Texts are worked on in runs of about this many characters, so a worker's memory does not follow the batch.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 1_000_000
 
 
 def fold(doc_id: str, folds: int) -> Column:

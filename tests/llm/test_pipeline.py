@@ -47,6 +47,28 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert 0.7 < sum(copies_of.values()) / len(kept) < 1.3
 
 
+def test_pipeline_takes_empty_tables_and_rows_without_or_with_repeated_ids(spark, tmp_path):
+    root = f"file://{tmp_path}/none"
+    write_tables(spark, root, [], [])
+    assert corpus_pipeline.run(spark, root).collect() == []
+    rnd = random.Random(14)
+    words = [f"{a}{b}" for a in "the of and tion ing wh er on".split() for b in "st ou re ea nd".split()]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(80)) + "."
+    texts = [text() for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "en", "s", 9)] * 30 + [(5, t := text(), "en", "s", 9), (None, t, None, None, None), (None, text(), "en", "s", None), (None, None, None, None, None), (None, texts[9], "en", "s", 1)]
+    root = f"file://{tmp_path}/odd"
+    write_tables(spark, root, rows, [(i, 1, 0) for i in range(40)] + [(None, 0, None)])
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        path = f"{shared_dir(spark)}/test-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, root).write.parquet(path)
+        docs = spark.read.parquet(path)
+    kept = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs.collect())
+    assert kept == sorted([(i, t) for i, t in enumerate(texts)] + [(5, t), (-1, rows[-3][1])])
+    assert set(r["doc_id"] for r in corpus_pipeline.run(spark, root).collect()) <= {*range(40), None}
+
+
 def test_registered_queries_run_on_tiny_tables(spark, tmp_path):
     root = f"file://{tmp_path}"
     write_tables(spark, root, [(i, f"text number {i} of the words " * 5, "en", "a", 10) for i in range(40)], [(i, i % 2, 0) for i in range(40)])
