@@ -80,14 +80,26 @@ def angle_between(a: list, b: list) -> Column:
     return F.atan2(F.sqrt(dot(c, c)), dot(a, b))
 
 
+def matrix_product(a: list[list], b: list[list]) -> list[list[Column]]:
+    """The product of two matrices of columns or numbers; zeros and ones drop out."""
+
+    def term(x, y):
+        return None if isinstance(x, int) and x == 0 or isinstance(y, int) and y == 0 else y if isinstance(x, int) and x == 1 else x if isinstance(y, int) and y == 1 else _c(x) * _c(y)
+
+    def cell(row, column):
+        parts = [t for x, y in zip(row, column, strict=True) if (t := term(x, y)) is not None]
+        return sum(parts[1:], parts[0]) if parts else 0
+
+    return [[cell(row, column) for column in zip(*b, strict=True)] for row in a]
+
+
 def roll_pitch_heading(roll, pitch, heading) -> list[list[Column]]:
     """3 x 3 rotation of angles in degrees: about x, then y, then z."""
-    (sr, cr), (sp, cp), (sh, ch) = ((F.sin(F.radians(_c(v))), F.cos(F.radians(_c(v)))) for v in (roll, pitch, heading))
-    return [
-        [ch * cp, sr * ch * sp - sh * cr, cr * ch * sp + sh * sr],
-        [sh * cp, sr * sh * sp + ch * cr, cr * sh * sp - ch * sr],
-        [-sp, cp * sr, cp * cr],
-    ]
+    sine, cosine = lambda v: F.sin(F.radians(_c(v))), lambda v: F.cos(F.radians(_c(v)))
+    about_x = [[1, 0, 0], [0, cosine(roll), -sine(roll)], [0, sine(roll), cosine(roll)]]
+    about_y = [[cosine(pitch), 0, sine(pitch)], [0, 1, 0], [-sine(pitch), 0, cosine(pitch)]]
+    about_z = [[cosine(heading), -sine(heading), 0], [sine(heading), cosine(heading), 0], [0, 0, 1]]
+    return [[_c(v) for v in row] for row in matrix_product(about_z, matrix_product(about_y, about_x))]
 
 
 def rotation_of_axis(x, y, z) -> tuple[Column, Column]:
@@ -278,16 +290,45 @@ def script_text(c, kind: str) -> Column:
     return _c(c) if kind == "string" else F.lit("")
 
 
+def int32(c) -> Column:
+    """A whole number wrapped into 32 signed bits, as a long."""
+    return F.pmod(_c(c).cast("long") + 2**31, F.lit(2**32)) - 2**31
+
+
 def script_arith(op: str, a, a_kind: str, b, b_kind: str) -> tuple[Column, str]:
-    """(value, kind) of a op b: double if either is, else whole; whole division truncates, division by zero is null."""
-    if "float" in (a_kind, b_kind):
-        x, y, kind = script_float(a, a_kind), script_float(b, b_kind), "float"
-        quotient = F.try_divide(x, y)
-    else:
-        x, y, kind = script_int(a, a_kind).cast("long"), script_int(b, b_kind).cast("long"), "int"
-        quotient = F.when(y != 0, F.when(x * y < 0, -F.floor(F.abs(x) / F.nullif(F.abs(y), F.lit(0)))).otherwise(F.floor(F.abs(x) / F.nullif(F.abs(y), F.lit(0)))))
-    value = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: quotient, "%": lambda: x - y * quotient}[op]()
-    return (value if kind == "float" else value.cast("long")), kind
+    """(value, kind) of a op b: double if either is, else 32-bit whole numbers that wrap; whole division truncates, division by zero is
+    null. The remainder is of whole numbers alone and has the sign of a."""
+    if "float" in (a_kind, b_kind) and op != "%":
+        x, y = script_float(a, a_kind), script_float(b, b_kind)
+        return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y)}[op](), "float"
+    x, y = script_int(a, a_kind).cast("long"), script_int(b, b_kind).cast("long")
+    quotient = F.call_function("div", x, F.nullif(y, F.lit(0).cast("long")))
+    return int32({"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: quotient, "%": lambda: x - y * quotient}[op]()), "int"
+
+
+def script_bits(op: str, a, a_kind: str, b, b_kind: str) -> Column:
+    """&, |, << and >> of whole parts in 32 bits; >> keeps the sign, shift counts are taken modulo 32."""
+    x, y = script_int(a, a_kind), script_int(b, b_kind)
+    made = {"&": lambda: x.bitwiseAND(y), "|": lambda: x.bitwiseOR(y), "<<": lambda: F.call_function("shiftleft", x, y), ">>": lambda: F.call_function("shiftright", x, y)}[op]()
+    return made.cast("long")
+
+
+def script_negate(a, kind: str) -> Column:
+    """-a of a number; text stays as it is."""
+    return _c(a) if kind == "string" else -_c(a) if kind == "float" else int32(-script_int(a, kind).cast("long"))
+
+
+#: Fixed codes of the kinds.
+SCRIPT_KINDS = {"int": 0, "float": 1, "string": 2}
+
+
+def script_typeof(kind: str) -> Column:
+    return F.lit(SCRIPT_KINDS[kind])
+
+
+def repaired(arguments: list[tuple[Column, str]], n: int) -> list[tuple[Column, str]]:
+    """n arguments: those too many are left out from the end, missing ones are the whole number 0."""
+    return [*arguments[:n], *[(F.lit(0), "int")] * (n - len(arguments))]
 
 
 def script_compare(op: str, a, a_kind: str, b, b_kind: str) -> Column:
@@ -304,6 +345,49 @@ def script_logic(op: str, a: Column, b: Column | None = None) -> Column:
     return F.when({"and": lambda: x & (b != 0), "or": lambda: x | (b != 0), "not": lambda: ~x}[op](), 1).otherwise(0)
 
 
+def uniform_in(draw, low, high) -> Column:
+    """A number in [low, high) from a draw in [0, 1)."""
+    return _c(low) + _c(draw) * (_c(high) - _c(low))
+
+
+def uniform_whole(draw, low, high) -> Column:
+    """A whole number from low + 1 to high, both held, from a draw in [0, 1)."""
+    return (_c(low) + 1 + F.floor(_c(draw) * (_c(high) - _c(low)))).cast("long")
+
+
+def hash_draw(key, seed: int = 0) -> Column:
+    """A draw in [0, 1) from the first 52 bits of md5(key '/' seed)."""
+    text = F.concat(_c(key).cast("string"), F.lit(f"/{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(2**52))
+
+
+def mangled_key(symbol, part: str) -> Column:
+    """The `class` or the `method` of a mangled symbol, template arguments left out; null for other names, no class for free functions.
+
+    method__<length><class>..., method__Q<depth> and that many <length><name>, of which the last is the class, and method__F... of a free function."""
+    symbol = _c(symbol)
+    plain, nested, free = r"^(__\w+?|[A-Za-z_]\w*?)__(\d+)([A-Za-z_]\w*)", r"^(__\w+?|[A-Za-z_]\w*?)__Q(\d)(.*)$", r"^([A-Za-z_]\w*?)__F"
+    x = lambda pattern, i: F.regexp_extract(symbol, pattern, i)
+    is_plain, is_nested, is_free = (symbol.rlike(p) for p in (plain, nested, free))
+    if part == "method":
+        return F.when(is_plain, x(plain, 1)).when(is_nested, x(nested, 1)).when(is_free, x(free, 1))
+
+    def one(state, _):
+        digits = F.regexp_extract(state["rest"], r"^(\d+)", 1)
+        size = F.coalesce(digits.try_cast("int"), F.lit(0))
+        name = F.substr(state["rest"], F.length(digits) + 1, size)
+        rest = F.substr(state["rest"], F.length(digits) + 1 + size)
+        return F.struct(F.when(digits == "", state["name"]).otherwise(name).alias("name"), F.when(digits == "", F.lit("")).otherwise(rest).alias("rest"))
+
+    depth = F.coalesce(x(nested, 2).try_cast("int"), F.lit(0))
+    start = F.struct(F.lit("").alias("name"), x(nested, 3).alias("rest"))
+    steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    inner = F.aggregate(steps, start, one, lambda state: state["name"])
+    outer = F.substr(x(plain, 3), F.lit(1), F.coalesce(x(plain, 2).try_cast("int"), F.lit(0)))
+    bare = lambda name: F.regexp_replace(name, "<.*", "")
+    return F.when(is_plain, bare(outer)).when(is_nested, bare(inner)).when(is_free, F.lit(""))
+
+
 def checksum16(words: Column) -> Column:
     """Sum of 16-bit words in the high half, sum of their complements in the low half, of an array of words."""
     total = F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + w.cast("long"))

@@ -58,3 +58,9 @@ def examples(df: DataFrame, by: list[str], item: str, order: list[Column], k: in
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in `order`."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("__r = 1").drop("__r")
+
+
+def registered_sums(objects: DataFrame, parts: DataFrame, key: str, size: str) -> DataFrame:
+    """(key, size) of the registered objects: the sum of their parts' sizes, 0 without parts; parts of others count nothing."""
+    sums = parts.groupBy(key).agg(F.sum(size).alias(size))
+    return objects.select(key).join(sums, key, "left").select(key, F.coalesce(size, F.lit(0)).alias(size))

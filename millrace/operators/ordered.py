@@ -102,3 +102,26 @@ def frame_passed(now, rate, start, end, frame) -> Column:
     later = F.greatest(now + rate, start)
     later = F.when(later >= end, end - 0.001).otherwise(later)
     return F.when(now <= later, (now <= frame) & (frame < later)).otherwise((later <= frame) & (frame < now))
+
+
+def frame_passed_on(attribute: str, now, rate, start, end, loop, frame) -> Column:
+    """Whether playback from `now` by `rate` passes `frame`. attribute: once, loop or ping_pong.
+
+    Looped playback that leaves [start, end) comes in again at `loop`, moved by whole lengths of what lies between; a length of 0 moves nothing."""
+    now, rate, start, end, loop, frame = (x if isinstance(x, Column) else F.lit(x) for x in (now, rate, start, end, loop, frame))
+    within = lambda low, high: (low <= frame) & (frame < high)
+    later = now + rate
+    plain = lambda to: F.when(now <= to, within(now, to)).otherwise(within(to, now))
+    if attribute == "once":
+        return frame_passed(now, rate, start, end, frame)
+    if attribute == "ping_pong":
+        return plain(F.greatest(F.when(later >= end, end - 0.001).otherwise(later), start))
+    if attribute != "loop":
+        raise ValueError(f"unknown attribute {attribute}")
+    below, above = loop - start, end - loop
+    raised = F.when((later < start) & (below > 0), later + below * F.ceil((start - later) / F.nullif(below, F.lit(0.0)))).otherwise(later)
+    lowered = F.when((later >= end) & (above > 0), later - above * (F.floor((later - end) / F.nullif(above, F.lit(0.0))) + 1)).otherwise(later)
+    return (
+        F.when(now < start, within(raised, loop)).when(now >= end, within(loop, lowered))
+        .when(later < start, within(start, now) | within(raised, loop)).when(later >= end, within(now, end) | within(loop, lowered)).otherwise(plain(later))
+    )

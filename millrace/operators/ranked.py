@@ -72,3 +72,20 @@ def used_slot(df: DataFrame, by: str, state: str = "state", slot: str = "slot",
 def admitted(df: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
     """Requests accepted in order until `cap` of a group are."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("__r") <= cap).drop("__r")
+
+
+def entered(df: DataFrame, mode: str, slot: str, seq: str) -> DataFrame:
+    """df with `at` and `place`, where a packet stands among those that are drawn. Unsorted packets go to the head of slot 0, immediate ones to the
+    head of their own slot, so the last to come is first; bypassing ones go to the end of the children (slot -1) in order."""
+    at = F.when(F.col(mode) == "unsorted", 0).when(F.col(mode) == "immediate", F.col(slot)).otherwise(-1)
+    order = F.when(F.col(mode) == "bypass", F.col(seq)).otherwise(-F.col(seq))
+    return df.withColumn("at", at.cast("int")).withColumn("place", F.row_number().over(W.partitionBy("at").orderBy(order)))
+
+
+def traversed(df: DataFrame, at: str, place: str, tail: bool) -> DataFrame:
+    """df with `drawn_before`, the number of packets of slots that are drawn earlier, and so its number in its whole order with its place: slots from the
+    first on, or from the last where `tail`; slots are counted before they are ordered, so no task holds all packets."""
+    sizes = df.groupBy(at).agg(F.count(F.lit(1)).alias("__n"))
+    order = F.col(at).desc() if tail else F.col(at).asc()
+    before = sizes.select(at, (F.sum("__n").over(W.orderBy(order)) - F.col("__n")).alias("drawn_before"))
+    return df.join(before, at).withColumn("drawn", F.col("drawn_before") + F.col(place))

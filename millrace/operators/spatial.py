@@ -42,10 +42,17 @@ def directed_hits(pairs: DataFrame, rows: DataFrame, key: str, can_attack: Colum
     return both.join(attack, "attacker", "left_semi").join(hit, "sufferer", "left_semi")
 
 
-def capped(df: DataFrame, by: str, value: str, cap: int) -> DataFrame:
-    """(by, values): at most `cap` different values of each key, smallest first."""
-    ranked = df.select(by, value).distinct().withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy(value))).filter(F.col("__r") <= cap)
-    return ranked.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("values"))
+def capped(df: DataFrame, by: str, value: str, cap: int, met: Column | None = None) -> DataFrame:
+    """(by, values): the first `cap` different values of each key in the order in which they are met, smallest first without one."""
+    first = df.groupBy(by, value).agg(F.min(F.struct(F.lit(0) if met is None else met, F.col(value))).alias("__met"))
+    ranked = first.withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy("__met"))).filter(F.col("__r") <= cap)
+    return ranked.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", value))), lambda e: e[value]).alias("values"))
+
+
+def first_shell(df: DataFrame, position: list[Column], radius: Column, width: float = 70.0, buckets: int = 256) -> DataFrame:
+    """df with `shell`, the first of the buckets that `shells` lays a row into."""
+    reach = sum((F.abs(p) for p in position[1:]), F.abs(position[0]))
+    return df.withColumn("shell", F.pmod(F.greatest(F.floor((reach - radius) / width), F.lit(0)), F.lit(buckets)).cast("int"))
 
 
 def cells_of(df: DataFrame, low: list[Column], high: list[Column], size: float, names: list[str]) -> DataFrame:
@@ -84,7 +91,65 @@ def merged_surface(moving: DataFrame, static: DataFrame, key: str) -> DataFrame:
     """The moving surface where it is strictly higher, else the static one."""
     m = moving.select(key, F.col("height").alias("mh"), F.col("hit").alias("mhit"))
     wins = F.col("mh") > F.col("height")
-    return static.join(m, key).select(key, F.when(wins, F.col("mh")).otherwise(F.col("height")).alias("height"), F.when(wins, F.lit("moving")).otherwise("static").alias("source"), F.when(wins, F.col("mhit")).otherwise(F.col("hit")).alias("hit"))
+    own = F.col("source") if "source" in static.columns else F.lit("static")
+    return static.join(m, key).select(key, F.when(wins, F.col("mh")).otherwise(F.col("height")).alias("height"), F.when(wins, F.lit("moving")).otherwise(own).alias("source"), F.when(wins, F.col("mhit")).otherwise(F.col("hit")).alias("hit"))
+
+
+def with_plane(static: DataFrame, key: str, plane: Column) -> DataFrame:
+    """A static surface (key, height, hit) raised to `plane`, of the row's own columns, where that is strictly higher; its hit is then null."""
+    wins = plane > F.col("height")
+    return static.withColumns({"hit": F.when(~wins, F.col("hit")), "height": F.when(wins, plane).otherwise(F.col("height")), "source": F.when(wins, F.lit("plane")).otherwise("static")})
+
+
+def snapped(nodes: DataFrame, triangles: DataFrame, mask: int, size: float = 1024.0) -> DataFrame:
+    """nodes (id, x, y, z, flags) with y on the ground where their flags have the mask and there is ground; others keep their y."""
+    flagged = nodes.filter(S.bit_flag(F.col("flags"), mask))
+    ground = first_surface(flagged, triangles, "id", size=size).filter("hit IS NOT NULL").select("id", F.col("height").alias("__y"))
+    return nodes.join(ground, "id", "left").withColumn("y", F.coalesce("__y", "y")).drop("__y")
+
+
+def covered_cells(triangles: DataFrame, key: str, size: float, pad: Column, across: tuple[int, int]) -> DataFrame:
+    """(key, gx, gz) of the grid cells, of across[0] x across[1], that each triangle (ax .. cz, ny) touches.
+
+    The cells of its box, widened by pad and cut at the grid's edges, are tested exactly: a corner in the cell, a corner of the cell in the
+    triangle, or a side of the one crossing a side of the other. Triangles that look down touch all cells of their box."""
+    c = F.col
+    xs, zs = [c("ax"), c("bx"), c("cx")], [c("az"), c("bz"), c("cz")]
+    cut = lambda v, n: F.least(F.greatest(v, F.lit(0.0)), F.lit(n * size - size / 2))
+    low, high = [cut(F.least(*v) - pad, n) for v, n in ((xs, across[0]), (zs, across[1]))], [cut(F.greatest(*v) + pad, n) for v, n in ((xs, across[0]), (zs, across[1]))]
+    laid = cells_of(triangles, low, high, size, ["gx", "gz"])
+    x1, z1 = c("gx") * size, c("gz") * size
+    x2, z2 = x1 + size, z1 + size
+    corners = [[c(f"{k}x"), c(f"{k}z")] for k in "abc"]
+    square = [[x1, z1], [x2, z1], [x2, z2], [x1, z2]]
+    touches = [c("ny") < 0, *(S.in_rect(p, square[0], square[2]) for p in corners)]
+    touches += [S.in_triangle(p, *corners) | S.in_triangle(p, *corners[::-1]) for p in square]
+    touches += [S.segments_cross(square[i], square[(i + 1) % 4], corners[j], corners[(j + 1) % 3]) for i in range(4) for j in range(3)]
+    found = touches[0]
+    for t in touches[1:]:
+        found = found | t
+    return laid.filter(found).select(key, "gx", "gz")
+
+
+def flock(df: DataFrame, key: str, position: list[str], heading: list[str], radius: float) -> DataFrame:
+    """(key, n) and three vectors of each row: `away`, the sum over its neighbours of their offset / squared distance * radius, `toward`, the
+    direction of their mean position from its own, `along`, the direction of the unit mean heading less its own; all zero without neighbours."""
+    pairs = near_pairs(df, key, position, radius).select("a", "b", "d2")
+    both = pairs.unionAll(pairs.select("b", "a", "d2"))
+    mine = df.select(F.col(key).alias("a"), *(F.col(v).alias(f"i_{v}") for v in (*position, *heading)))
+    other = df.select(F.col(key).alias("b"), *(F.col(v).alias(f"o_{v}") for v in (*position, *heading)))
+    x = both.join(other, "b").join(mine, "a")
+    sums = [F.sum((F.col(f"i_{p}") - F.col(f"o_{p}")) / F.col("d2") * radius).alias(f"away_{p}") for p in position]
+    means = [(F.avg(f"o_{v}") - (F.first(f"i_{v}") if v in position else F.lit(0.0))).alias(f"m_{v}") for v in (*position, *heading)]
+    got = x.groupBy("a").agg(F.count("b").alias("n"), *sums, *means)
+    size = lambda names: F.sqrt(S.dot([F.col(n) for n in names], [F.col(n) for n in names]))
+    to, ahead, turn = ([f"{k}_{v}" for v in vs] for k, vs in (("m", position), ("m", heading), ("t", heading)))
+    got = got.withColumns({f"toward_{p}": F.coalesce(F.try_divide(F.col(f"m_{p}"), size(to)), F.lit(0.0)) for p in position})
+    j = df.select(key, *heading).join(got, F.col(key) == F.col("a"), "left")
+    long = size(ahead)
+    j = j.withColumns({t: F.when(long > 0, F.try_divide(F.col(m), long) - F.col(h)).otherwise(F.lit(0.0)) for t, m, h in zip(turn, ahead, heading, strict=True)})
+    along = [F.coalesce(F.try_divide(F.col(t), size(turn)), F.lit(0.0)).alias(f"along_{h}") for t, h in zip(turn, heading, strict=True)]
+    return j.select(key, F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(f"{k}_{p}", F.lit(0.0)).alias(f"{k}_{p}") for k in ("away", "toward") for p in position), *along)
 
 
 def pushed_out(walls_hit: DataFrame, key: str, radius: float, most: int) -> DataFrame:
@@ -138,19 +203,26 @@ def neighbour_sums(df: DataFrame, pairs: DataFrame, key: str, position: list[str
     return df.join(means, df[key] == means["a"], "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(F.col(f"m_{p}") - F.col(p), F.lit(0.0)).alias(f"to_{p}") for p in position))
 
 
-def range_first(values: DataFrame, ranges: DataFrame, key: str, value: str, low: str, high: str, slot: str, width: int) -> DataFrame:
-    """(key, slot): the first slot whose closed range holds the value; null without one. Ranges are met by cells of `width`."""
+def range_first(values: DataFrame, ranges: DataFrame, key: str, value: str, low: str, high: str, slot: str, width: int, reserved=None) -> DataFrame:
+    """(key, slot): the first slot whose closed range holds the value; null without one. The value `reserved` is held by none. Ranges are met by cells of `width`."""
     laid = ranges.select(low, high, slot, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("__cell"))
-    hit = values.withColumn("__cell", F.floor(F.col(value) / width)).join(laid, "__cell").filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
+    asked = values if reserved is None else values.filter(F.col(value) != F.lit(reserved))
+    hit = asked.withColumn("__cell", F.floor(F.col(value) / width)).join(laid, "__cell").filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
     return values.select(key).join(hit.groupBy(key).agg(F.min(slot).alias(slot)), key, "left")
 
 
 def segment_hits(segments: DataFrame, triangles: DataFrame, key: str, size: float = 1024.0) -> DataFrame:
     """(key, hit, t): the first triangle a segment passes through, in order of cell (z, x), list and seq, not the nearest.
 
+    Of the cells of its box a segment looks at the one in which it begins and those with a side that it crosses.
     segments: key, px .. qz. triangles: seq, list, ax .. cz, nx, ny, nz, plane."""
     c = F.col
     cells = cells_of(segments, [F.least("px", "qx"), F.least("pz", "qz")], [F.greatest("px", "qx"), F.greatest("pz", "qz")], size, ["gx", "gz"])
+    x1, z1 = c("gx") * size, c("gz") * size
+    square = [[x1, z1], [x1 + size, z1], [x1 + size, z1 + size], [x1, z1 + size]]
+    crosses = [S.segments_cross([c("px"), c("pz")], [c("qx"), c("qz")], square[i], square[(i + 1) % 4]) for i in range(4)]
+    begins = (F.floor(c("px") / size) == c("gx")) & (F.floor(c("pz") / size) == c("gz"))
+    cells = cells.filter(begins | crosses[0] | crosses[1] | crosses[2] | crosses[3])
     xs, zs = [c("ax"), c("bx"), c("cx")], [c("az"), c("bz"), c("cz")]
     laid = cells_of(triangles, [F.least(*xs), F.least(*zs)], [F.greatest(*xs), F.greatest(*zs)], size, ["gx", "gz"])
     dp = S.dot([c("nx"), c("ny"), c("nz")], [c("px"), c("py"), c("pz")]) + c("plane")
@@ -174,3 +246,13 @@ def tile_height(points: DataFrame, corners: DataFrame, key: str, tile: float) ->
     low = c("h00") + c("u") * (c("h10") - c("h00")) + c("v") * (c("h11") - c("h10"))
     high = c("h00") + c("v") * (c("h01") - c("h00")) + c("u") * (c("h11") - c("h01"))
     return full.select(key, F.when(c("u") >= c("v"), low).otherwise(high).alias("height"))
+
+
+def first_area(points: DataFrame, areas: DataFrame, key: str, size: float, default: str) -> DataFrame:
+    """(key, type) of the first area (area, type, x1, z1, x2, z2), in order of area, that holds each point, `default` without one."""
+    c = F.col
+    laid = cells_of(areas, [c("x1"), c("z1")], [c("x2"), c("z2")], size, ["gx", "gz"])
+    at = points.select(key, "x", "z", F.floor(c("x") / size).cast("long").alias("gx"), F.floor(c("z") / size).cast("long").alias("gz"))
+    inside = at.join(laid, ["gx", "gz"]).filter(S.in_rect([c("x"), c("z")], [c("x1"), c("z1")], [c("x2"), c("z2")]))
+    first = inside.groupBy(key).agg(F.min_by("type", "area").alias("type"))
+    return points.select(key).join(first, key, "left").withColumn("type", F.coalesce("type", F.lit(default)))

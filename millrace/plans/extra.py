@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import registry as R
 from millrace.functions import scalar as S
+from millrace.operators import graphs as G
 from millrace.operators import lookups as L
 from millrace.plans.base import query
-from millrace.session import table
+from millrace.session import table, written
 from millrace.streaming import stateful
 
 c = F.col
@@ -130,8 +131,9 @@ def random_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT p_partkey, c_custkey, abs(p_retailprice - c_acctbal) AS d FROM part JOIN customer ON p_size % 25 = c_nationkey WHERE (p_partkey + c_custkey) % 4 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, c_custkey) AS r FROM v) SELECT p_partkey, c_custkey FROM r WHERE r = 1""")
 def nearest_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest row that can be seen from here."""
-    j = table(spark, sf_dir, "part").join(table(spark, sf_dir, "customer"), c("p_size") % 25 == c("c_nationkey")).filter((c("p_partkey") + c("c_custkey")) % 4 == 0)
-    return j.groupBy("p_partkey").agg(F.min(F.struct(F.abs(c("p_retailprice") - c("c_acctbal")).alias("d"), "c_custkey")).alias("b")).select("p_partkey", "b.c_custkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", (c("p_size") % 25).alias("nation"), "p_retailprice")
+    customers = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    return G.nearest_along(parts, customers, ["nation"], "p_partkey", "p_retailprice", "c_custkey", "c_acctbal", (c("p_partkey") + c("c_custkey")) % 4 == 0, 64.0, written)
 
 
 @query("""

@@ -157,13 +157,14 @@ def radius_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT s_suppkey AS slot, (s_suppkey * 17) % 900 AS lo, (s_suppkey * 17) % 900 + s_suppkey % 90 AS hi FROM supplier)
-SELECT c_custkey, min(slot) AS slot FROM customer LEFT JOIN r ON c_custkey % 1000 BETWEEN lo AND hi GROUP BY c_custkey""")
+WITH r AS (SELECT s_suppkey AS slot, (s_suppkey * 17) % 900 AS lo, (s_suppkey * 17) % 900 + s_suppkey % 90 AS hi FROM supplier WHERE s_suppkey % 7 <> 3)
+SELECT c_custkey, min(slot) AS slot FROM customer LEFT JOIN r ON c_custkey % 1000 BETWEEN lo AND hi AND c_custkey % 1000 <> 0 GROUP BY c_custkey""")
 def range_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token 0 is held by no range; ranges without a callback (one in seven) do not count."""
     s = c("s_suppkey")
-    ranges = table(spark, sf_dir, "supplier").select(s.alias("slot"), ((s * 17) % 900).alias("lo"), ((s * 17) % 900 + s % 90).alias("hi"))
+    ranges = table(spark, sf_dir, "supplier").filter(s % 7 != 3).select(s.alias("slot"), ((s * 17) % 900).alias("lo"), ((s * 17) % 900 + s % 90).alias("hi"))
     values = table(spark, sf_dir, "customer").select("c_custkey", (c("c_custkey") % 1000).alias("v"))
-    return P.range_first(values, ranges, "c_custkey", "v", "lo", "hi", "slot", 64)
+    return P.range_first(values, ranges, "c_custkey", "v", "lo", "hi", "slot", 64, reserved=0)
 
 
 @query()
@@ -171,7 +172,7 @@ def segment_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First triangle along each part's segment in cell order; held against a plain loop in the tests."""
     k = c("p_partkey")
     segments = table(spark, sf_dir, "part").select("p_partkey", ((k * 41) % 4000 + 0.5).alias("px"), F.lit(300.0).alias("py"), ((k * 67) % 4000 + 0.25).alias("pz"), ((k * 41) % 4000 + 60.5).alias("qx"), F.lit(-50.0).alias("qy"), ((k * 67) % 4000 + 90.25).alias("qz"))
-    return P.segment_hits(segments, _terrain(spark).withColumn("list", F.lit(0)), "p_partkey").withColumn("t", F.round("t", 6))
+    return P.segment_hits(segments, _terrain(spark).withColumn("list", c("seq") % 3), "p_partkey").withColumn("t", F.round("t", 6))
 
 
 def _contained(spark: SparkSession, sf_dir: str, suppliers: DataFrame, width: int) -> DataFrame:
@@ -200,11 +201,99 @@ def contained_in_any_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contained(spark, sf_dir, table(spark, sf_dir, "supplier"), 400)
 
 
-@query("""
-WITH t AS (SELECT p_partkey AS k, (p_partkey * 3 % 200)::DOUBLE AS ax, (p_size * 5)::DOUBLE AS az FROM part)
-SELECT k, gx, gz FROM t, range(0, 40) a(gx), range(0, 60) b(gz) WHERE gx BETWEEN floor((ax - 8) / 10) AND floor((ax + 12 + 8) / 10) AND gz BETWEEN floor((az - 8) / 10) AND floor((az + 9 + 8) / 10) AND gx >= 0 AND gz >= 0""")
+def _sides(names: list[str], p: str) -> str:
+    """SQL: p lies on one side of all sides of a triangle."""
+    ends = list(zip(names, names[1:] + names[:1], strict=True))
+    on = lambda sign: " AND ".join(f"({v}x-{u}x)*({p}z-{u}z) - ({v}z-{u}z)*({p}x-{u}x) {sign} 0" for u, v in ends)
+    return f"(({on('>=')}) OR ({on('<=')}))"
+
+
+def _crossed(a: str, b: str, p: str, q: str) -> str:
+    """SQL: the segments a-b and p-q cross."""
+    side = lambda u, v, w: f"(({v}z-{u}z)*({w}x-{u}x) - ({v}x-{u}x)*({w}z-{u}z) >= 0)"
+    return f"({side(a, b, p)} <> {side(a, b, q)} AND {side(p, q, a)} <> {side(p, q, b)})"
+
+
+SQUARE = ["p", "q", "r", "s"]
+TOUCHES = " OR ".join(
+    [f"({k}x BETWEEN px AND rx AND {k}z BETWEEN pz AND rz)" for k in "abc"] + [_sides(["a", "b", "c"], k) for k in SQUARE]
+    + [_crossed(SQUARE[i], SQUARE[(i + 1) % 4], "abc"[j], "abc"[(j + 1) % 3]) for i in range(4) for j in range(3)]
+)
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey AS k, (p_partkey * 3 % 200)::DOUBLE AS ax, (p_size * 5)::DOUBLE AS az, (p_partkey * 3 % 200 + 25)::DOUBLE AS bx, (p_size * 5 + 4)::DOUBLE AS bz, (p_partkey * 3 % 200 + 6)::DOUBLE AS cx, (p_size * 5 + 17)::DOUBLE AS cz, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE 1 END AS ny FROM part),
+b AS (SELECT *, unnest(range(least(greatest(floor((least(ax,bx,cx) - 3) / 10)::BIGINT, 0), 21), least(greatest(floor((greatest(ax,bx,cx) + 3) / 10)::BIGINT, 0), 21) + 1)) AS gx FROM t),
+g AS (SELECT *, unnest(range(least(greatest(floor((least(az,bz,cz) - 3) / 10)::BIGINT, 0), 24), least(greatest(floor((greatest(az,bz,cz) + 3) / 10)::BIGINT, 0), 24) + 1)) AS gz FROM b),
+s AS (SELECT *, gx*10.0::DOUBLE AS px, gz*10.0::DOUBLE AS pz, gx*10.0::DOUBLE+10 AS qx, gz*10.0::DOUBLE AS qz, gx*10.0::DOUBLE+10 AS rx, gz*10.0::DOUBLE+10 AS rz, gx*10.0::DOUBLE AS sx, gz*10.0::DOUBLE+10 AS sz FROM g)
+SELECT k, gx, gz FROM s WHERE ny < 0 OR {TOUCHES}""")
 def triangle_cell_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that a padded box covers, cut at the field's edge."""
-    t = table(spark, sf_dir, "part").select(c("p_partkey").alias("k"), (c("p_partkey") * 3 % 200).cast("double").alias("ax"), (c("p_size") * 5).cast("double").alias("az"))
-    laid = P.cells_of(t, [F.greatest(c("ax") - 8, F.lit(0.0)), F.greatest(c("az") - 8, F.lit(0.0))], [c("ax") + 20, c("az") + 17], 10.0, ["gx", "gz"])
-    return laid.select("k", "gx", "gz")
+    """Cells that triangles touch, on a grid of 22 x 25 cells."""
+    k, z = c("p_partkey") * 3 % 200, c("p_size") * 5
+    corners = {"ax": k, "az": z, "bx": k + 25, "bz": z + 4, "cx": k + 6, "cz": z + 17}
+    t = table(spark, sf_dir, "part").select(c("p_partkey").alias("k"), *(v.cast("double").alias(n) for n, v in corners.items()), F.when(c("p_partkey") % 5 == 0, -1).otherwise(1).alias("ny"))
+    return P.covered_cells(t, "k", 10.0, F.lit(3.0), (22, 25))
+
+
+@query(f"""{BODIES}, g AS (SELECT *, k % 3 AS grp FROM s)
+SELECT p.k AS probe, min(q.k) AS first FROM g p JOIN g q ON p.grp = 0 AND q.grp = 1 AND q.k % 7 <> 0 AND list_contains(q.shells, p.shells[1]) AND p.y <= q.y + q.h AND p.y + p.h >= q.y AND (p.r + q.r)**2 > (p.x - q.x)**2 + (p.z - q.z)**2 GROUP BY p.k""")
+def first_bucket_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probe rows look at their first shell alone; rows of one kind (key divisible by 7) are passed over."""
+    b = _bodies(spark, sf_dir)
+    probe = P.first_shell(b.filter("p_partkey % 3 = 0"), [c("x"), c("z")], c("r"))
+    build = P.shells(b.filter("p_partkey % 3 = 1 AND p_partkey % 7 <> 0"), [c("x"), c("z")], c("r")).select("shell", *(c(n).alias(f"q_{n}") for n in ("p_partkey", "x", "y", "z", "r", "h")))
+    hit = probe.join(build, "shell").filter(S.cylinders_meet([c("x"), c("y"), c("z")], c("r"), c("h"), [c("q_x"), c("q_y"), c("q_z")], c("q_r"), c("q_h")))
+    return hit.groupBy(c("p_partkey").alias("probe")).agg(F.min("q_p_partkey").alias("first"))
+
+
+@query(f"""{BODIES}, d AS (SELECT a AS attacker, b AS sufferer FROM m UNION ALL SELECT b, a FROM m),
+f AS (SELECT attacker, sufferer, row_number() OVER (PARTITION BY attacker ORDER BY sufferer * 7919 % 1009, sufferer) AS r FROM d)
+SELECT attacker, list(sufferer ORDER BY r) AS "values" FROM f WHERE r <= 4 GROUP BY attacker""")
+def first_met_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four of each, in the order in which they are met."""
+    hits = P.directed_hits(P.meeting_pairs(_bodies(spark, sf_dir), "p_partkey", ["x", "y", "z"], "r", "h"), _bodies(spark, sf_dir), "p_partkey", F.lit(True), F.lit(True))
+    return P.capped(hits, "attacker", "sufferer", 4, c("sufferer") * 7919 % 1009)
+
+
+@query(f"""WITH {TERRAIN}, f AS (SELECT k, height, seq, row_number() OVER (PARTITION BY k ORDER BY min_y DESC, max_y DESC, seq) AS r FROM h WHERE y >= height - 78),
+m AS (SELECT k, height + 15 AS height, seq, row_number() OVER (PARTITION BY k ORDER BY min_y DESC, max_y DESC, seq) AS r FROM h WHERE seq // 2 % 3 = 0 AND y >= height + 15 - 78),
+j AS (SELECT d.k, coalesce(f.height, -32767) AS sh, f.seq AS ss, coalesce(m.height, -32767) AS mh, m.seq AS ms, (40 + d.k % 9 * 15)::DOUBLE AS ph FROM d LEFT JOIN f ON d.k = f.k AND f.r = 1 LEFT JOIN m ON d.k = m.k AND m.r = 1)
+SELECT k AS p_partkey, round(greatest(mh, ph, sh), 5) AS height, CASE WHEN mh > greatest(ph, sh) THEN 'moving' WHEN ph > sh THEN 'plane' ELSE 'static' END AS source, CASE WHEN mh > greatest(ph, sh) THEN ms WHEN ph > sh THEN NULL ELSE ss END AS hit FROM j""")
+def plane_surface_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static ground, a plane that replaces it where strictly higher, then moving ground where strictly higher still."""
+    drops = _drops(spark, sf_dir)
+    static = P.with_plane(P.first_surface(drops, _terrain(spark), "p_partkey"), "p_partkey", (c("p_partkey") % 9 * 15 + 40).cast("double"))
+    return P.merged_surface(P.first_surface(drops, _terrain(spark, 15.0, 3), "p_partkey"), static, "p_partkey").withColumn("height", F.round("height", 5))
+
+
+@query(f"""WITH {TERRAIN}, f AS (SELECT k, height, row_number() OVER (PARTITION BY k ORDER BY min_y DESC, max_y DESC, seq) AS r FROM h WHERE y >= height - 78 AND k % 32 >= 16)
+SELECT d.k AS id, round(coalesce(f.height, d.y), 5) AS y FROM d LEFT JOIN f ON d.k = f.k AND f.r = 1""")
+def snapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _drops(spark, sf_dir).select(c("p_partkey").alias("id"), "x", "y", "z", (c("p_partkey") % 32).alias("flags"))
+    return P.snapped(nodes, _terrain(spark), 0x10).select("id", F.round("y", 5).alias("y"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS hx, embedding[5]::DOUBLE AS hy, embedding[6]::DOUBLE AS hz FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.*, (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 AS d2, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz FROM v a JOIN v b ON a.vec_id <> b.vec_id AND (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 >= 0.001 AND (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 < 0.01),
+m AS (SELECT a, count(*) AS n, sum(dx/d2*0.1) AS sx, sum(dy/d2*0.1) AS sy, sum(dz/d2*0.1) AS sz, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(hx) AS hx, avg(hy) AS hy, avg(hz) AS hz FROM p GROUP BY a),
+j AS (SELECT v.vec_id, m.n, m.sx, m.sy, m.sz, m.x - v.x AS tx, m.y - v.y AS ty, m.z - v.z AS tz, sqrt(m.hx**2 + m.hy**2 + m.hz**2) AS l, m.hx / nullif(l, 0) - v.hx AS ax, m.hy / nullif(l, 0) - v.hy AS ay, m.hz / nullif(l, 0) - v.hz AS az FROM v LEFT JOIN m ON a = vec_id)
+SELECT vec_id, coalesce(n, 0) AS n, round(coalesce(sx, 0), 5) + 0.0 AS away_x, round(coalesce(sy, 0), 5) + 0.0 AS away_y, round(coalesce(sz, 0), 5) + 0.0 AS away_z,
+  round(coalesce(tx / nullif(sqrt(tx**2+ty**2+tz**2), 0), 0), 5) + 0.0 AS toward_x, round(coalesce(ty / nullif(sqrt(tx**2+ty**2+tz**2), 0), 0), 5) + 0.0 AS toward_y, round(coalesce(tz / nullif(sqrt(tx**2+ty**2+tz**2), 0), 0), 5) + 0.0 AS toward_z,
+  round(coalesce(ax / nullif(sqrt(ax**2+ay**2+az**2), 0), 0), 5) + 0.0 AS along_hx, round(coalesce(ay / nullif(sqrt(ax**2+ay**2+az**2), 0), 0), 5) + 0.0 AS along_hy, round(coalesce(az / nullif(sqrt(ax**2+ay**2+az**2), 0), 0), 5) + 0.0 AS along_hz FROM j""")
+def flock_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Separation, cohesion and alignment of each row's neighbours."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", *(c("embedding")[i].cast("double").alias(n) for i, n in enumerate(("x", "y", "z", "hx", "hy", "hz"))))
+    got = P.flock(v, "vec_id", ["x", "y", "z"], ["hx", "hy", "hz"], 0.1)
+    return got.select("vec_id", "n", *((F.round(n, 5) + 0.0).alias(n) for n in got.columns if n not in ("vec_id", "n")))
+
+
+@query("""
+WITH a AS (SELECT s_suppkey AS area, 'T' || s_suppkey % 4 AS type, (s_suppkey * 37 % 45 * 100)::DOUBLE AS x1, (s_suppkey * 53 % 40 * 100)::DOUBLE AS z1 FROM supplier),
+d AS (SELECT p_partkey, (p_partkey*41) % 4500 + 0.5::DOUBLE AS x, (p_partkey*67) % 4090 + 0.25::DOUBLE AS z FROM part), f AS (SELECT p_partkey, arg_min(type, area) AS type FROM d JOIN a ON x BETWEEN x1 AND x1 + 250 AND z BETWEEN z1 AND z1 + 150 GROUP BY 1)
+SELECT d.p_partkey, coalesce(f.type, 'none') AS type FROM d LEFT JOIN f ON d.p_partkey = f.p_partkey""")
+def area_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = c("s_suppkey")
+    x, z = (s * 37 % 45 * 100).cast("double"), (s * 53 % 40 * 100).cast("double")
+    areas = table(spark, sf_dir, "supplier").select(s.alias("area"), F.concat(F.lit("T"), (s % 4).cast("string")).alias("type"), x.alias("x1"), z.alias("z1"), (x + 250).alias("x2"), (z + 150).alias("z2"))
+    return P.first_area(_drops(spark, sf_dir), areas, "p_partkey", 256.0, "none")
