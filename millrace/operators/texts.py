@@ -12,34 +12,37 @@ from millrace.session import ship
 
 
 def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos from 0, token, line) of lexed texts."""
+    """(key, pos from 0, kind, token, line) of lexed texts."""
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            rows = [(k, i, t, n) for k, x in zip(b["k"], b["t"], strict=True) for i, (t, n) in enumerate(T.lex(x))]
-            yield pd.DataFrame(rows, columns=["k", "pos", "token", "line"])
+            rows = [(k, i, *found) for k, x in zip(b["k"], b["t"], strict=True) for i, found in enumerate(T.scan(x))]
+            yield pd.DataFrame(rows, columns=["k", "pos", "kind", "token", "line"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, pos int, token string, line int").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, pos int, kind string, token string, line int").withColumnRenamed("k", key)
 
 
 def containment_candidates(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_key: str, words: str, share: float, write) -> DataFrame:
-    """(pattern_key, text_key) where the text has at least `share` of the pattern's words, however common; patterns without a word have no candidates.
-
-    words: a column of distinct words on both sides. A text with that share holds one of any size - need + 1 words of the pattern, so the
-    join runs over the words that the fewest texts hold, and the share is counted over all words of the pairs it finds. write(df, name) makes tables of known size, so
-    texts are dealt out only where these are large."""
-    needed = F.ceil(F.size(words) * F.lit(share)).cast("int")
-    p = write(patterns.select(pattern_key, (F.size(words) - needed + 1).alias("keys"), F.explode(words).alias("w")), "pattern-words")
+    """(pattern_key, text_key) where at least `share` of the pattern's words, repeats counted, are in the text, however common; patterns without a word
+    have no candidates.
+
+    words: the informative words in order on the side of the patterns, distinct words on that of the texts. What the text may lack has a bound, so of any
+    words of the pattern that together exceed it the text holds one: the join runs over such words that the fewest texts hold, and the
+    share is counted over all words of the pairs it finds. write(df, name) makes tables of known size, so texts are dealt out only where these are large."""
+    lacking = F.size(words) - F.ceil(F.size(words) * F.lit(share) - 1e-9).cast("int")
+    p = patterns.select(pattern_key, lacking.alias("lacking"), F.explode(words).alias("w")).groupBy(pattern_key, "lacking", "w").agg(F.count(F.lit(1)).alias("times"))
+    p = write(p, "pattern-words")
     t = texts.select(text_key, F.explode(words).alias("w"))
     held = t.join(p.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(W.partitionBy(pattern_key).orderBy(F.coalesce("df", F.lit(0)), "w"))
-    ranked = p.join(held, "w", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("keys"))
+    before = F.sum("times").over(W.partitionBy(pattern_key).orderBy(F.coalesce("df", F.lit(0)), "w")) - F.col("times")
+    ranked = p.join(held, "w", "left").withColumn("before", before).filter(F.col("before") <= F.col("lacking"))
     rarest = write(ranked.select(pattern_key, "w"), "rarest-words")
     found = write(t.join(rarest, "w").select(pattern_key, text_key).distinct(), "word-pairs")
     both = texts.select(text_key, F.col(words).alias("tw")).join(found, text_key).join(patterns.select(pattern_key, F.col(words).alias("pw")), pattern_key)
-    shared = both.filter(F.size(F.array_intersect("pw", "tw")) >= F.size("pw") * share)
+    both = both.withColumn("common", F.array_intersect("pw", "tw"))
+    shared = both.filter(F.size(F.filter("pw", lambda w: F.array_contains("common", w))) >= F.size("pw") * share - 1e-9)
     return write(shared.select(pattern_key, text_key).distinct(), "containment")
 
 

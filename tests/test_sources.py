@@ -80,7 +80,7 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_plain_text_functions():
-    assert normal_tokens(["return", "this", "->", "a", ".", "b", "+", "p", "*", "x", "-", "3.0f"], {"p"}, {"x"}) == ["b", "+", "$P", "*", "$L", "-", "3.0"]
+    assert normal_tokens(["return", "this", "->", "a", ".", "b", "+", "p", "*", "x", "-", "3.0f"], {"p"}, {"x"}) == ["b", "+", "$P", "*", "$L", "-", "3"]
     assert sequence_diff("abc", "axcd") == {"insert": 1, "delete": 0, "replace": 1}
     assert minstd(0, 2) == [x for x in minstd(0, 3)][:2] and all(0 < v < 2**31 - 1 for v in minstd(9, 40))
 
