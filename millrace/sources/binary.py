@@ -57,6 +57,31 @@ class Cursor:
         return self.at - was
 
 
+class Writer:
+    """Typed writes of big-endian values, the other side of Cursor."""
+
+    def __init__(self):
+        self.data = bytearray()
+
+    def raw(self, data: bytes) -> Writer:
+        self.data += data
+        return self
+
+    def number(self, kind: str, value) -> Writer:
+        return self.raw(struct.pack(">" + kind, value))
+
+    def text(self, value: str) -> Writer:
+        raw = value.encode("shift_jis", "replace")
+        return self.number("H", len(raw)).raw(raw)
+
+    def skip(self, n: int, value: int = 0) -> Writer:
+        """n bytes of one value."""
+        return self.raw(bytes([value]) * n)
+
+    def align(self, n: int, value: int = 0) -> Writer:
+        return self.skip(-len(self.data) % n, value)
+
+
 def field_hash(name: str) -> int:
     """The hash by which table columns are named: times 256, modulo 0x1FFFFD9."""
     h = 0
@@ -212,8 +237,52 @@ def compress_literal(data: bytes) -> bytes:
     return bytes(out)
 
 
+def compress_split(data: bytes) -> bytes:
+    """A valid Yay0 block of literals and of matches with what stood up to 4096 bytes before: flags, matches and bytes lie in three tables."""
+    flags, links, loose, at = [], bytearray(), bytearray(), 0
+    seen: dict[bytes, int] = {}
+    while at < len(data):
+        back = seen.get(data[at : at + 3], -1)
+        n = 0
+        if back >= 0 and at - back <= 4096:
+            while n < 273 and at + n < len(data) and data[back + n] == data[at + n]:
+                n += 1
+        if n >= 3:
+            links += struct.pack(">H", (n - 2 << 12 if n < 18 else 0) | (at - back - 1))
+            if n >= 18:
+                loose.append(n - 18)
+        else:
+            n = 1
+            loose.append(data[at])
+        flags.append(n == 1)
+        for k in range(at, at + n):
+            seen[data[k : k + 3]] = k
+        at += n
+    words = [sum(f << (31 - i) for i, f in enumerate(flags[k : k + 32])) for k in range(0, len(flags), 32)]
+    link_at = 16 + 4 * len(words)
+    return b"Yay0" + struct.pack(">III", len(data), link_at, link_at + len(links)) + struct.pack(f">{len(words)}I", *words) + bytes(links) + bytes(loose)
+
+
+def array_bytes(bodies: list[bytes]) -> bytes:
+    """A count and one record a body, without names, as array_rows reads them."""
+    out = Writer().number("I", len(bodies))
+    for body in bodies:
+        out.number("I", 10 + len(body)).number("H", 0).text("").text("").raw(body)
+    return bytes(out.data)
+
+
+def message_bytes(texts: list[str]) -> bytes:
+    """A table of messages, as message_rows reads it."""
+    stored, offsets = bytearray(), []
+    for t in texts:
+        offsets.append(len(stored))
+        stored += t.encode("shift_jis", "replace") + b"\0"
+    info = struct.pack(">4sIHH4x", b"INF1", 16 + 4 * len(texts), len(texts), 4) + struct.pack(f">{len(texts)}I", *offsets)
+    return bytes(32) + info + struct.pack(">4sI", b"DAT1", 8 + len(stored)) + bytes(stored)
+
+
 def message_rows(data: bytes) -> Iterator[dict]:
-    """Messages of tagged blocks INF1 (count, row size, offsets) and DAT1 (texts): id, offset, text. Block: tag, size, body; the file's header is 32 bytes."""
+    """Messages of tagged blocks INF1 (count, row size, offsets) and DAT1 (texts): id (16 bits), offset, text. Block: tag, size, body; the file's header is 32 bytes."""
     at, info, texts = 32, None, b""
     while at + 8 <= len(data):
         tag, size = struct.unpack_from(">4sI", data, at)
@@ -224,7 +293,7 @@ def message_rows(data: bytes) -> Iterator[dict]:
             texts = data[at + 8 : at + size]
         at += max(size, 8)
     for i, offset in enumerate(info or []):
-        yield {"id": i, "offset": offset, "text": texts[offset:].split(b"\0", 1)[0].decode("shift_jis", "replace")}
+        yield {"id": i & 0xFFFF, "offset": offset, "text": texts[offset:].split(b"\0", 1)[0].decode("shift_jis", "replace")}
 
 
 SNAPSHOT_MAGIC, BOOLS, INTS = 4, 512, 512
