@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from millrace.functions import scalar as S
+
 
 def outer_delta(a: DataFrame, b: DataFrame, on: list[str], value: str) -> DataFrame:
     """(on, a, b, delta) of keys of either side where the values differ; a missing side is 0."""
@@ -89,3 +91,41 @@ def adjacent_mismatches(a: DataFrame, b: DataFrame, by: list[str], item: str, or
     place = lambda d, n: d.select(*by, F.col(item).alias(n), F.row_number().over(W.partitionBy(*by).orderBy(*order)).alias("__p"))
     j = place(a, "a").join(place(b, "b"), [*by, "__p"]).filter("a <> b")
     return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def compared(a: DataFrame, b: DataFrame, on: list[str], rules: list[tuple[Column, str]], default: str) -> DataFrame:
+    """(on, status) of what both sides have: the label of the first rule that holds. Rules are over a's columns as a_<name> and b's as b_<name>."""
+    side = lambda d, p: d.select(*on, *(F.col(n).alias(f"{p}_{n}") for n in d.columns if n not in on))
+    return side(a, "a").join(side(b, "b"), on).select(*on, S.classify(rules, default).alias("status"))
+
+
+def set_verdicts(a: DataFrame, b: DataFrame, unit: str, weak: Column, meaning: list[str]) -> DataFrame:
+    """(unit, verdict, why) of the multisets of items (unit, kind, item) of both sides. A difference in a kind of `meaning` is SEMANTIC, but INLINE where only
+    weak calls are among the differing calls, there are some, and neither data nor comparisons differ; else one in kind `op` is ARITH; else CLEAN."""
+    count = lambda d, n: d.groupBy(unit, "kind", "item").agg(F.count(F.lit(1)).alias(n))
+    differs = count(a, "na").join(count(b, "nb"), [unit, "kind", "item"], "full").withColumn("d", ~F.col("na").eqNullSafe(F.col("nb")))
+    is_call = F.col("kind") == "call"
+    per = differs.groupBy(unit).agg(
+        F.array_sort(F.collect_set(F.when(F.col("d") & F.col("kind").isin(meaning), F.col("kind")))).alias("why"), F.bool_or(F.col("d") & (F.col("kind") == "op")).alias("op"),
+        F.bool_or(F.col("d") & is_call).alias("calls"), F.bool_and(~(F.col("d") & is_call) | weak).alias("all_weak"), F.bool_or(F.col("d") & F.col("kind").isin("data", "cmp")).alias("strong"),
+    )
+    inline = F.col("calls") & F.col("all_weak") & ~F.col("strong")
+    verdict = F.when(F.size("why") > 0, F.when(inline, "INLINE").otherwise("SEMANTIC")).when(F.col("op"), "ARITH").otherwise("CLEAN")
+    return per.select(unit, verdict.alias("verdict"), "why")
+
+
+def sibling_candidates(rows: DataFrame) -> DataFrame:
+    """(a, b, tag), a < b, of rows (id, method, owner, size) that may be siblings: '=' with the same method, owner and size, '~' with the same method and
+    size of other owners, '%' with the same size and owner and other methods that begin and end with the same of several camel words."""
+    words = F.regexp_extract_all("method", F.lit("[A-Z]?[a-z0-9]+|[A-Z]+"), F.lit(0))
+    x = rows.withColumn("words", words).withColumn("ends", F.when(F.size("words") > 1, F.concat_ws("/", F.get("words", F.lit(0)), F.element_at("words", -1)))).drop("words")
+    a, b = (x.select(*(F.col(n).alias(f"{n}_{k}") for n in ("id", "method", "owner", "ends")), "size") for k in "ab")
+
+    def pairs(tag, on, more=None):
+        keys = [F.col(f"{n}_a") == F.col(f"{n}_b") for n in on] + [a["size"] == b["size"], F.col("id_a") < F.col("id_b")]
+        found = a.join(b, keys)
+        return (found if more is None else found.filter(more)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(tag).alias("tag"))
+
+    same = pairs("=", ["method", "owner"])
+    loose = pairs("~", ["method"], F.col("owner_a") != F.col("owner_b"))
+    return same.unionAll(loose).unionAll(pairs("%", ["owner", "ends"], F.col("method_a") != F.col("method_b")))

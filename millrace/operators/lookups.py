@@ -43,10 +43,29 @@ def first_occurrences(df: DataFrame, by: list[str], item: str, order: list[Colum
 
 def claimed(log: DataFrame, key: str, owner: str, order: str) -> DataFrame:
     """(key, owner) of the claims held after a log of claim and release (`op`): a claim of a key that another holds is refused, a release counts for
-    its holder alone. The holder is folded over each key's log, which is as long as the key's own requests."""
-    ops = F.array_sort(F.collect_list(F.struct(order, owner, "op")))
-    step = lambda held, e: F.when((e["op"] == "claim") & held.isNull(), e[owner]).when((e["op"] == "release") & (held == e[owner]), F.lit(None)).otherwise(held)
-    return log.groupBy(key).agg(ops.alias("ops")).select(key, F.aggregate("ops", F.lit(None).cast("string"), step).alias(owner)).filter(F.col(owner).isNotNull())
+    its holder alone. Logs are sorted by key and order and read in one pass, which holds one key and its holder and no log."""
+    ship(log.sparkSession)
+    kind = log.schema[key].dataType.simpleString()
+
+    def run(batches):
+        now, holder = None, None
+        for b in batches:
+            out = []
+            for k, who, op in zip(b["k"], b["who"], b["op"], strict=True):
+                if k != now:
+                    if holder is not None:
+                        out.append((now, holder))
+                    now, holder = k, None
+                if op == "claim" and holder is None:
+                    holder = who
+                elif op == "release" and holder == who:
+                    holder = None
+            yield pd.DataFrame(out, columns=["k", "who"])
+        if holder is not None:
+            yield pd.DataFrame([(now, holder)], columns=["k", "who"])
+
+    rows = log.select(F.col(key).alias("k"), F.col(owner).cast("string").alias("who"), "op", F.col(order).alias("o")).filter("k IS NOT NULL")
+    return rows.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, f"k {kind}, who string").toDF(key, owner)
 
 
 def spline_coefficients(u: np.ndarray, y: np.ndarray, tiny: float = 1e-4) -> np.ndarray:
@@ -95,3 +114,30 @@ def list_edits(c: Column, insert_at: int, value, erase: int, keep: int) -> dict[
         "inserted": F.array_insert(c, insert_at + 1, lit), "erased": F.concat(F.slice(c, 1, erase), F.slice(c, erase + 2, F.size(c))), "resized": F.slice(c, 1, keep),
         "backward": F.reverse(c), "appended": F.concat(c, F.array(lit)), "prepended": F.concat(F.array(lit), c), "nth": F.get(c, F.lit(erase)),
     }
+
+
+def list_cuts(c: Column, other: Column, at: int, first: int, last: int, value) -> dict[str, Column]:
+    """Splice of another array in at a place (nothing, where it is the same array), removal of a value, erasure of the places first to last - 1, all from 0."""
+    spliced = F.when(c == other, c).otherwise(F.concat(F.slice(c, 1, at), other, F.slice(c, at + 1, F.size(c))))
+    return {"spliced": spliced, "removed": F.array_remove(c, value), "cut": F.concat(F.slice(c, 1, first), F.slice(c, last + 1, F.size(c)))}
+
+
+def members(log: DataFrame, node: str, holder: str, seq: str) -> DataFrame:
+    """(holder, members) after a log of appends, prepends and removals (`op`): a node is in one list alone, that of its last entry, and in none after a
+    removal; prepended nodes stand before the others, the last one first."""
+    last = log.groupBy(node).agg(F.max_by(F.struct(holder, "op", seq), seq).alias("l")).filter("l.op <> 'remove'")
+    place = F.when(F.col("l.op") == "prepend", -F.col(f"l.{seq}")).otherwise(F.col(f"l.{seq}"))
+    rows = last.select(F.col(f"l.{holder}").alias(holder), F.struct(place.alias("p"), node).alias("e"))
+    return rows.groupBy(holder).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e[node]).alias("members"))
+
+
+def preorder(nodes: DataFrame, write) -> DataFrame:
+    """(id, path) of nodes (id, parent, place): the places from the root (parent null) down, so paths in order are the tree in pre-order. One join a
+    level; nodes that no root leads to have no path."""
+    level = write(nodes.filter("parent IS NULL").select("id", F.array("place").alias("path")), "tree-level")
+    out = level
+    while not level.isEmpty():
+        below = nodes.select(F.col("id").alias("child"), "parent", "place").join(level, F.col("parent") == F.col("id"))
+        level = write(below.select(F.col("child").alias("id"), F.concat("path", F.array("place")).alias("path")), "tree-level")
+        out = out.unionAll(level)
+    return out

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.session import shared_folder, ship
@@ -33,19 +34,27 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def upserted(stream: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """The latest row of each key, kept by an idempotent table a batch: a batch that is repeated writes the same rows to its own folder."""
+    """The latest row of each key. A batch is merged into the table that the batch before it left, which then goes, so what is kept is one row a key; a
+    batch that is repeated reads the same table and writes the same rows."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/millrace-upsert-{name}-{uuid.uuid4().hex}"
+    place = lambda epoch: f"{base}/kept/epoch={epoch}"
+    schema, rest, done = stream.schema, [c for c in stream.columns if c not in keys], [-1]
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+        session = df.sparkSession
+        if epoch:
+            df = df.unionByName(session.read.schema(schema).parquet(place(epoch - 1)))
+        last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+        last.write.mode("overwrite").parquet(place(epoch))
+        done[0] = epoch
+        if epoch > 1:  # the table before the last may still be asked for by a repeated batch
+            path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(place(epoch - 2))
+            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.parquet(f"{base}/out")
-    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "epoch")).alias("r"))
-    return last.select(*keys, "r.*")
+    return spark.read.schema(schema).parquet(place(done[0])) if done[0] >= 0 else spark.createDataFrame([], schema)
 
 
 def gated_ticks(stream: DataFrame, seq: str, period: int) -> DataFrame:
@@ -109,21 +118,93 @@ def countdown(df: DataFrame, seq: str, interval: int) -> DataFrame:
 
 
 def stacked(stream: DataFrame, key: str, op: str, at: str) -> DataFrame:
-    """(key, depth, top) after each batch of a key's stack of states: op pushes its text, or pops where it is 'pop'; a pop of nothing is none."""
+    """(key, seen, depth, top) after each batch of a key's stack of states: op pushes its text, or pops where it is 'pop'; a pop of nothing is none. seen counts
+    all requests so far."""
     ship(stream.sparkSession)
 
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stack = list(state.get[0]) if state.exists else []
+        stack, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         for o in pd.concat(list(parts)).sort_values("at", kind="stable")["op"]:
+            seen += 1
             if o != "pop":
                 stack.append(o)
             elif stack:
                 stack.pop()
-        state.update((stack,))
-        yield pd.DataFrame([(k[0], len(stack), stack[-1] if stack else None)], columns=["key", "depth", "top"])
+        state.update((stack, seen))
+        yield pd.DataFrame([(k[0], seen, len(stack), stack[-1] if stack else None)], columns=["key", "seen", "depth", "top"])
 
     rows = stream.select(F.col(key).cast("long").alias("key"), F.col(op).alias("op"), F.col(at).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, depth int, top string", "stack array<string>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, seen long, depth int, top string", "stack array<string>, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def gate(waiting: list[tuple[int, int]], playing: list[tuple[int, int]], op: str, item: int, priority: int, cap: int, slots: int) -> str:
+    """One request to a bounded ring: waiting and playing hold (priority, item), oldest first.
+
+    'drain' moves waiting items to free slots, oldest first, and says how many. Any other request is 'full' where `cap` items wait, 'refused' where a slot is
+    free or what plays at the lowest priority is of a higher one, else that is stopped, the oldest first, and the item 'waits'."""
+    if op == "drain":
+        n = min(len(waiting), slots - len(playing))
+        playing += waiting[:n]
+        del waiting[:n]
+        return f"drained {n}"
+    if len(waiting) == cap:
+        return "full"
+    low = min(range(len(playing)), key=lambda i: playing[i][0], default=None)
+    if low is None or len(playing) < slots or playing[low][0] > priority:
+        if len(playing) < slots and not waiting:
+            playing.append((priority, item))
+            return "plays"
+        return "refused"
+    playing.pop(low)
+    waiting.append((priority, item))
+    return "waits"
+
+
+def gated_ring(stream: DataFrame, key: str, op: str, item: str, priority: str, at: str, cap: int, slots: int) -> DataFrame:
+    """(key, item, action) of each request to a key's ring, taken in order of (at, item) in each batch; `cap` and `slots` bound the state."""
+    ship(stream.sparkSession)
+
+    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, playing = ([tuple(x) for x in zip(p, i, strict=True)] for p, i in ((state.get[0], state.get[1]), (state.get[2], state.get[3]))) if state.exists else ([], [])
+        rows = pd.concat(list(parts)).sort_values(["at", "item"], kind="stable")
+        out = [(k[0], int(i), gate(waiting, playing, o, int(i), int(p), cap, slots)) for o, i, p in zip(rows["op"], rows["item"], rows["priority"], strict=True)]
+        state.update(([p for p, _ in waiting], [i for _, i in waiting], [p for p, _ in playing], [i for _, i in playing]))
+        yield pd.DataFrame(out, columns=["key", "item", "action"])
+
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(op).alias("op"), F.col(item).cast("long").alias("item"), F.col(priority).cast("long").alias("priority"), F.col(at).alias("at"))
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, item long, action string", "wp array<bigint>, wi array<bigint>, pp array<bigint>, pi array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def released(log: DataFrame, key: str, at: str, ttl: str) -> DataFrame:
+    """(key, held_from, released_at, n): a key is held from its first request until `ttl` has passed without another one."""
+    held = log.groupBy(key, F.session_window(at, ttl).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return held.select(key, F.col("w.start").alias("held_from"), F.col("w.end").alias("released_at"), "n")
+
+
+def double_buffered(log: DataFrame, frame: str, key: str, value: str) -> DataFrame:
+    """(frame, key, written, read): what a frame writes to the one buffer, as a sum, and reads from the other, which the frame just before it wrote; null
+    where that wrote nothing."""
+    now = log.groupBy(frame, key).agg(F.sum(value).alias("written"))
+    before = now.select((F.col(frame) + 1).alias(frame), key, F.col("written").alias("read"))
+    return now.join(before, [frame, key], "left")
+
+
+def dispatched(cues: DataFrame, subscribers: DataFrame, bits: int) -> DataFrame:
+    """(cue, id, nth): each cue (cue, mask) goes to the subscribers (id, mask, place) that share a bit with it, in order of place. Masks meet by their bits."""
+    by_bit = lambda d, *names: d.select(*names, F.explode(F.filter(F.array(*(F.lit(b) for b in range(bits))), lambda b: F.call_function("shiftright", F.col("mask"), b).bitwiseAND(F.lit(1)) == 1)).alias("bit"))
+    met = by_bit(cues, "cue").join(by_bit(subscribers, "id", "place"), "bit").select("cue", "id", "place").distinct()
+    return met.select("cue", "id", F.row_number().over(W.partitionBy("cue").orderBy("place", "id")).alias("nth"))
+
+
+def transactional(log: DataFrame, ns: str, key: str, value: str, seq: str) -> DataFrame:
+    """(ns, key, good, working) after a log of op set, success and fail in each namespace: a success makes the working copy the good one, a fail (or restore) the
+    good one the working copy. A set holds in the good copy if a success is the next of these after it, and in the working one also if none came."""
+    after = W.partitionBy(ns).orderBy(seq).rowsBetween(1, W.unboundedFollowing)
+    fate = F.first(F.when(F.col("op") != "set", F.col("op")), ignorenulls=True).over(after)
+    sets = log.withColumn("fate", fate).filter("op = 'set'")
+    last = lambda holds: F.max_by(F.when(holds, F.col(value)), F.when(holds, F.col(seq)))
+    kept = F.col("fate") == "success"
+    return sets.groupBy(ns, key).agg(last(kept).alias("good"), last(kept | F.col("fate").isNull()).alias("working")).filter("working IS NOT NULL")
 
 
 def flags_state(log: DataFrame, ns: str, idx: str, value: str, seq: str, bounds: DataFrame) -> DataFrame:

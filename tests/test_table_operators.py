@@ -149,7 +149,7 @@ def test_stencil_and_bands(spark):
 
 def test_token_table_and_alignment(spark):
     d = spark.createDataFrame([(1, "a = b; // x\nc()"), (2, None)], "k int, t string")
-    assert rows(texts.token_table(d, "k", "t")) == sorted([(1, i, t, n) for i, (t, n) in enumerate([("a", 1), ("=", 1), ("b", 1), (";", 1), ("c", 2), ("(", 2), (")", 2)])], key=repr)
+    assert rows(texts.token_table(d, "k", "t")) == sorted([(1, i, "name" if t.isalpha() else "operator", t, n) for i, (t, n) in enumerate([("a", 1), ("=", 1), ("b", 1), (";", 1), ("c", 2), ("(", 2), (")", 2)])], key=repr)
     pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["x", "a", "q", "b", "c", "y"]), (2, ["a", "$P", "d"], ["a", "(", "b", ")", "d"]), (3, ["a"], ["z"])], "k int, p array<string>, t array<string>")
     got = {r["k"]: (round(r["cost"], 3), r["start"], r["end_at"]) for r in texts.aligned(pairs, "p", "t", 0.0).collect()}
     assert got[1] == (0.3, 1, 5) and got[2] == (0.0, 0, 5) and got[3][0] == 1.0
