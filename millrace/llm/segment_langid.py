@@ -30,6 +30,8 @@ from millrace.llm.piece_codec import SPACE, read_model
 
 UNDETERMINED = "und"
 ROWS_PER_LANGUAGE = 150
+#: Parts of a language's rows among which its sample is looked for.
+SAMPLE_PARTS = 256
 RESCALE = 32
 ITERATIONS = 4
 #: Each character's factor, taken out again in the end, keeps products of RESCALE characters away from underflow.
@@ -223,8 +225,10 @@ def fit(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter("l IS NOT NULL").filter(fold("i", folds) != 0)
     # The sample is chosen by hashes alone, so that only its texts are moved; rows repeated alike are one to it.
     marked = known.withColumn("h", F.xxhash64("i")).withColumn("g", F.xxhash64("i", "l", "t"))
-    first = W.partitionBy("l").orderBy("h", "g")
-    chosen = marked.select("l", "h", "g").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= ROWS_PER_LANGUAGE).select("l", "g")
+    # A language may hold a third of all rows: the first of each of its parts are chosen before the first of them all.
+    rows = marked.select("l", "h", "g", F.pmod("g", F.lit(SAMPLE_PARTS)).alias("part")).distinct()
+    lowest = lambda d, *by: d.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h", "g"))).filter(F.col("r") <= ROWS_PER_LANGUAGE)
+    chosen = lowest(lowest(rows, "l", "part"), "l").select("l", "g")
     names = sorted(r["l"] for r in known.select("l").distinct().collect())
     sample = marked.join(F.broadcast(chosen), ["l", "g"])  # ROWS_PER_LANGUAGE pairs a language
 
