@@ -34,7 +34,7 @@ TREES = 128
 BITS = 32
 SAMPLE = 2_048
 ROWS = 8_192
-EFFORT = 2.5
+EFFORT = 3.0
 POWER = 0.8
 
 
