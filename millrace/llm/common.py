@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from millrace.session import discard, ship
 from millrace.session import shared_folder as shared_dir
 from millrace.session import written as cut
 
-__all__ = ["cut", "discard", "fold", "lower_words", "map_texts", "segment_sums", "shared_dir", "text_runs"]
+__all__ = ["cut", "discard", "fold", "lower_words", "map_texts", "mix", "segment_sums", "shared_dir", "text_runs", "word_hashes"]
 
-#: Texts are worked on in runs of about this many characters, so a worker's memory does not follow the batch.
+#: Texts are worked on in runs of about this many bytes, so a worker's memory does not follow the batch.
 RUN_CHARS = 1_000_000
 
 
@@ -24,18 +25,15 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def text_runs(texts: list[str | None], most: int = RUN_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) over consecutive whole texts of about `most` characters together; null counts as empty."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text if isinstance(text, str) else ""
-        if held and size + len(text) > most:
-            yield start, held
-            start, held, size = i, [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield start, held
+def text_runs(texts: pa.Array, most: int = RUN_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) over consecutive whole texts of about `most` bytes together; null counts as empty. One run at a time leaves Arrow."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def lower_words(text: str) -> list[bytes]:
@@ -43,6 +41,54 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two arrays of hashes, place by place."""
+    with np.errstate(over="ignore"):
+        h = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(32))
+
+
+#: Word hashes are at least this; smaller numbers are free for other tokens.
+LEAST_HASH = 3
+_BYTE, _PLACE = np.random.default_rng(29).integers(1, 2**64, (2, 1 << 12), dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words `[^\\x20\\x09-\\x0D]+` of texts, A-Z lowered, in turn; number of words of each text).
+
+    A word's hash sums, over its bytes, a random number of the byte times one of its place, and mixes the sum with the word's length.
+    """
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    inner = ~_IS_SPACE[raw]
+    opens = inner.copy()
+    opens[1:] &= ~inner[:-1]
+    edges = (bounds - bounds[0])[:-1]
+    edges = edges[edges < len(raw)]
+    opens[edges] = inner[edges]  # a text's end ends its last word
+    starts = np.flatnonzero(opens)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    numbers = np.diff(np.searchsorted(starts, bounds - bounds[0]))
+    first = np.flatnonzero(opens[inner])
+    sizes = np.diff(np.r_[first, np.count_nonzero(inner)])
+    place = np.arange(sizes.sum(), dtype=np.int64) - np.repeat(first, sizes)
+    if (most := int(sizes.max())) <= len(_PLACE):
+        factor = _PLACE[place]
+    else:
+        factor = np.r_[_PLACE, mix(np.arange(len(_PLACE), most, dtype=np.uint64), _PLACE[:1])][place]
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(_BYTE[:256][_LOWER[raw[inner]]] * factor, first)
+    return np.maximum(mix(sums, sizes.astype(np.uint64)), np.uint64(LEAST_HASH)), numbers
+
+
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments of values' rows; an empty segment sums to zero."""
     lengths = np.asarray(lengths, dtype=np.int64)
@@ -73,7 +119,7 @@ def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], outputs: dict
     def run(batches):
         work = make()
         for batch in batches:
-            for start, texts in text_runs(batch.column(k).to_pylist()):
+            for start, texts in text_runs(batch.column(k)):
                 part = batch.slice(start, len(texts))
                 made = work(texts, *(part.column(k + 1 + j).to_pylist() for j in range(more)))
                 columns = [*part.columns[:k], *(pa.array(v, type=t) for v, t in zip(made, arrow, strict=True))]

@@ -30,7 +30,7 @@ MAX_CHARS = 40_000_000
 PRIOR = 0.5
 THRESHOLD = 0.3
 #: Words whose bin a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 STATS = 18
 _MARKS = re.compile(rb"[^\s\w\x80-\xff]")
 _REPEATED_MARK = re.compile(rb"([!-/:-@\[-`{-~])\1")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, segment_sums
+from millrace.llm.common import cut, mix, segment_sums, word_hashes
 from millrace.session import ship
 
 CHUNK_CHARS = 6_000_000
@@ -44,60 +44,15 @@ EM_ROUNDS = 40
 HOT_CHUNK = 3
 #: Numbers of such chunks that are broadcast at most.
 BROADCAST_CHUNKS = 100_000
-BEGIN, END = 1, 2  # in place of word hashes
+BEGIN, END = 1, 2  # word hashes are above them
 BINS = 24
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(32))
-
-
 def _bits(bits: int, order: int) -> int:
     """Bits of the keys of an order, 0 for unigrams."""
     return bits if order else 64
 
 
-_BYTE, _PLACE = np.random.default_rng(29).integers(1, 2**64, (2, 1 << 12), dtype=np.uint64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words `[^\\x20\\x09-\\x0D]+` of texts, A-Z lowered, in turn; number of words of each text).
-
-    A word's hash sums, over its bytes, a random number of the byte times one of its place, and mixes the sum with the word's length.
-    """
-    texts = texts.cast(pa.large_string())
-    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-    inner = ~_IS_SPACE[raw]
-    opens = inner.copy()
-    opens[1:] &= ~inner[:-1]
-    edges = (bounds - bounds[0])[:-1]
-    edges = edges[edges < len(raw)]
-    opens[edges] = inner[edges]  # a text's end ends its last word
-    starts = np.flatnonzero(opens)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    numbers = np.diff(np.searchsorted(starts, bounds - bounds[0]))
-    first = np.flatnonzero(opens[inner])
-    sizes = np.diff(np.r_[first, np.count_nonzero(inner)])
-    place = np.arange(sizes.sum(), dtype=np.int64) - np.repeat(first, sizes)
-    if (most := int(sizes.max())) <= len(_PLACE):
-        factor = _PLACE[place]
-    else:
-        factor = np.r_[_PLACE, _mix(np.arange(len(_PLACE), most, dtype=np.uint64), _PLACE[:1])][place]
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[:256][_LOWER[raw[inner]]] * factor, first)
-    return np.maximum(_mix(sums, sizes.astype(np.uint64)), np.uint64(END + 1)), numbers
-
-
 class Grams:
     """The n-grams of some documents: keys of tokens, of bigrams and of trigrams, by position."""
 
@@ -119,9 +74,9 @@ class Grams:
         token[ends - total + 1] = False
         one = np.where(flat <= END, flat, np.maximum(flat >> np.uint64(64 - _bits(bits, 0)), END + 1))
         two = np.zeros(len(flat), dtype=np.uint64)
-        two[1:] = _mix(flat[:-1], flat[1:]) >> np.uint64(64 - bits)
+        two[1:] = mix(flat[:-1], flat[1:]) >> np.uint64(64 - bits)
         three = np.zeros(len(flat), dtype=np.uint64)
-        three[2:] = _mix(_mix(flat[:-2], flat[1:-1]), flat[2:] + np.uint64(7)) >> np.uint64(64 - bits)
+        three[2:] = mix(mix(flat[:-2], flat[1:-1]), flat[2:] + np.uint64(7)) >> np.uint64(64 - bits)
         # BEGIN counts once a document as the context of its first word, so of its two places one is left out.
         one_at = ~first
         self.at = np.flatnonzero(token)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, discard, lower_words, map_texts, segment_sums
+from millrace.llm.common import cut, discard, lower_words, map_texts, mix, segment_sums, word_hashes
 from millrace.session import ship
 
 BITS = 3
@@ -152,29 +152,56 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The sorted hashes of the distinct five-word shingles of text; of a shorter text its words together, of a wordless one nothing."""
-    words = lower_words(text)
-    found = {xxhash.xxh64_intdigest(b" ".join(words[k : k + SHINGLE]), SEED) for k in range(max(1, len(words) - SHINGLE + 1))} if words else ()
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
-
-
-def _set_digest(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of the distinct five-word shingles of all texts in turn, number of each); a shorter text has its words together, a wordless one nothing."""
+    words, numbers = word_hashes(pa.array(texts, pa.large_string()))
+    first = np.cumsum(numbers) - numbers
+    hashes, owner = [], []
+    for n in range(1, SHINGLE + 1):
+        # n words together: all places of texts with SHINGLE words and more, the one place of shorter ones
+        of = np.flatnonzero(numbers >= n) if n == SHINGLE else np.flatnonzero(numbers == n)
+        places = numbers[of] - n + 1
+        doc = np.repeat(of, places)
+        at = np.repeat(first[of], places) + np.arange(len(doc)) - np.repeat(np.cumsum(places) - places, places)
+        made = words[at]
+        for k in range(1, n):
+            made = mix(made, words[at + k])
+        hashes.append(made)
+        owner.append(doc)
+    flat, doc = np.concatenate(hashes), np.concatenate(owner)
+    order = np.lexsort((flat, doc))
+    flat, doc = flat[order], doc[order]
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+    return flat[new], np.bincount(doc[new], minlength=len(texts))
+
+
+def _set_digests(flat: np.ndarray, counts: np.ndarray) -> list[int]:
+    ends = np.cumsum(counts)
+    found = [xxhash.xxh64_intdigest(flat[a:b].tobytes(), SEED) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+    return np.array(found, dtype=np.uint64).view(np.int64).tolist()
 
 
 _DRAW = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 
 
-def set_bands(shingles: np.ndarray) -> list[int]:
-    """A hash of each band of MinHash values; none for an empty set."""
-    if not len(shingles):
-        return []
-    least = np.empty(BANDS * BAND_ROWS, dtype=np.uint64)
-    for i, (a, b) in enumerate(_DRAW.T):
-        x = (shingles ^ b) * (a | np.uint64(1))
-        least[i] = ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min()
-    return [int(np.uint64(xxhash.xxh64_intdigest(band.tobytes(), k)).view(np.int64)) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+def set_bands(flat: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+    """A hash of each band of MinHash values of each set; none for an empty one."""
+    full = np.flatnonzero(counts)
+    out: list[list[int]] = [[] for _ in counts]
+    if not len(full):
+        return out
+    starts = (np.cumsum(counts) - counts)[full]
+    bands = np.empty((len(full), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        held = np.full(len(full), band, dtype=np.uint64)
+        for a, b in _DRAW[:, band * BAND_ROWS : (band + 1) * BAND_ROWS].T:
+            x = (flat ^ b) * (a | np.uint64(1))
+            held = mix(held, np.minimum.reduceat((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15), starts))
+        bands[:, band] = held
+    for k, values in zip(full.tolist(), bands.view(np.int64).tolist(), strict=True):
+        out[k] = values
+    return out
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -199,19 +226,26 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return links
 
 
-def similar_links(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(a, b) fingerprints of texts whose five-word shingle sets are similar, enough to connect all that are."""
+def shingle_marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id_col, fp, digest, bands) of every row: the fingerprint, a digest of the five-word shingle set and its MinHash bands."""
 
     def marks(texts):
-        sets = [shingle_set(t) for t in texts]
-        return [text_fingerprints(texts, width), [_set_digest(s) for s in sets], [set_bands(s) for s in sets]]
+        flat, counts = shingle_sets(texts)
+        return [text_fingerprints(texts, width), _set_digests(flat, counts), set_bands(flat, counts)]
+
+    return map_texts(docs, text_col, [id_col], {"fp": "long", "digest": "long", "bands": "array<long>"}, lambda: marks)
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(a, b) fingerprints of texts whose five-word shingle sets are similar, enough to connect all that are. marked: a table of docs' shingle_marks."""
 
     def contents(texts):
-        sets = [shingle_set(t) for t in texts]
-        return [[_set_digest(s) for s in sets], [s.tobytes() for s in sets]]
+        flat, counts = shingle_sets(texts)
+        ends = np.cumsum(counts)
+        return [_set_digests(flat, counts), [flat[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]]
 
-    marked = cut(map_texts(docs, text_col, [], {"fp": "long", "digest": "long", "bands": "array<long>"}, lambda: marks), "shingle-marks")
-    nodes = cut(marked.groupBy("digest").agg(F.min("fp").alias("node"), F.first("bands").alias("bands")), "shingle-nodes")
+    # Of equal sets one row is looked at again: that of the smallest id, or any without an id.
+    nodes = cut(marked.groupBy("digest").agg(F.min("fp").alias("node"), F.min(id_col).alias("one"), F.first("bands").alias("bands")), "shingle-nodes")
     equal = marked.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest").select(F.col("node").alias("a"), F.col("fp").alias("b"))
     keyed = nodes.select("digest", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("band", "key").agg(F.array_sort(F.collect_set("digest")).alias("members")).filter(F.size("members") > 1)
@@ -221,9 +255,12 @@ def similar_links(docs: DataFrame, text_col: str, width: int, similarity: float)
     dealt = groups.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int"))
     dealt = dealt.select("g", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     dealt = dealt.select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "digest")
-    wanted = cut(groups.select("digest").distinct(), "shingle-wanted")
-    held = map_texts(docs, text_col, [], {"digest": "long", "shingles": "binary"}, lambda: contents).join(wanted, "digest").dropDuplicates(["digest"])
-    held = cut(held.join(nodes.select("digest", "node"), "digest"), "shingle-sets")
+    wanted = cut(groups.select("digest").distinct().join(nodes.select("digest", "node", "one"), "digest"), "shingle-wanted")
+    some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    ids = wanted.select("one").distinct()
+    some = some.join(ids.filter("one IS NOT NULL"), F.col("i") == F.col("one"), "left_semi").unionAll(some.filter("i IS NULL"))
+    held = map_texts(some, "t", [], {"digest": "long", "shingles": "binary"}, lambda: contents).join(wanted.select("digest", "node"), "digest")
+    held = cut(held.dropDuplicates(["digest"]), "shingle-sets")
     full = dealt.join(held, "digest").groupBy("g", "p", "q").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
 
     def run(batches):
@@ -240,11 +277,12 @@ def similar_links(docs: DataFrame, text_col: str, width: int, similarity: float)
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """(id_col, fp, root, component_id, chosen) of every row; root is the smallest fingerprint of the component, chosen the fingerprint, smallest of those with component_id, whose row of that id stands for it."""
-    marked = cut(fingerprints(docs, [id_col], text_col, width), "fingerprints")
+    made = fingerprints(docs, [id_col], text_col, width) if similarity is None else shingle_marks(docs, id_col, text_col, width)
+    marked = cut(made, "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
     linked = links(nodes.select("fp"), bits)
     if similarity is not None:
-        linked = linked.unionAll(similar_links(docs, text_col, width, similarity))
+        linked = linked.unionAll(similar_links(docs, marked, id_col, text_col, similarity))
     roots = cut(components(linked), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("least"))

@@ -15,7 +15,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
+from millrace.llm import common, factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -242,12 +242,12 @@ def test_language_model_scores_equal_a_plain_model(spark, monkeypatch):
 
 def test_language_model_words_and_messages():
     texts = ["The\tthe  Ähm", "", "x" * 5_000 + " " + "x" * 5_001, "the", " \x0b\x0c", "ähm"]
-    hashes, numbers = interpolated_lm.word_hashes(pa.array(["cut off", *texts]).slice(1))
+    hashes, numbers = common.word_hashes(pa.array(["cut off", *texts]).slice(1))
     assert numbers.tolist() == [len(t.encode().split()) for t in texts]
     words = [w for t in texts for w in t.encode().lower().split()]
     assert len(hashes) == len(words) and len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
     many = [f"{a}{i}" for i in range(200_000) for a in ("w", "ab")]
-    assert len(np.unique(interpolated_lm.word_hashes(pa.array([" ".join(many)]))[0])) == len(many)
+    assert len(np.unique(common.word_hashes(pa.array([" ".join(many)]))[0])) == len(many)
     parts = interpolated_lm.pack([(np.array([3, 9], "u8"), np.array([1, 2], "u4"), np.array([0, 7], "u4"))] * 3, True)
     again = interpolated_lm.unpack(parts, True)
     assert again[2][0].tolist() == [3, 9] and again[0][2].tolist() == [0, 7]
