@@ -31,7 +31,7 @@ from millrace.llm.piece_codec import SPACE, read_model
 UNDETERMINED = "und"
 ROWS_PER_LANGUAGE = 150
 #: Parts of a language's rows among which its sample is looked for.
-SAMPLE_PARTS = 256
+SAMPLE_PARTS = 16
 RESCALE = 32
 ITERATIONS = 4
 #: Each character's factor, taken out again in the end, keeps products of RESCALE characters away from underflow.
