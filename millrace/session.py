@@ -39,9 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts are long, and a batch stands in both processes and in direct memory.
+ARROW_ROWS = 2_000
+_ARROW, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python workers this package, once an application; Spark hands the archive out."""
+    """Gives the executors' Python workers this package, once an application; Spark hands the archive out. Arrow batches get ARROW_ROWS rows, unless the
+    session has a number of its own."""
     context = spark.sparkContext
+    if spark.conf.get(_ARROW) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
