@@ -30,6 +30,8 @@ SEED = 42
 BLOCK = 1024
 #: Fingerprints whose variants one task makes.
 VARIANT_ROWS = 20_000
+#: Ids that are brought to the texts as a broadcast at most; beyond them both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 ROUNDS = 60
 SHINGLE = 5
 #: At similarity 0.8 a pair shares none of the bands with a chance of about 3 in a million.
@@ -226,6 +228,11 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return links
 
 
+def _near(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def shingle_marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id_col, fp, digest, bands) of every row: the fingerprint, a digest of the five-word shingle set and its MinHash bands."""
 
@@ -257,8 +264,8 @@ def similar_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str
     dealt = dealt.select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "digest")
     wanted = cut(groups.select("digest").distinct().join(nodes.select("digest", "node", "one"), "digest"), "shingle-wanted")
     some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    ids = wanted.select("one").distinct()
-    some = some.join(ids.filter("one IS NOT NULL"), F.col("i") == F.col("one"), "left_semi").unionAll(some.filter("i IS NULL"))
+    ids = _near(cut(wanted.filter("one IS NOT NULL").select("one").distinct(), "shingle-ids"))
+    some = some.join(ids, F.col("i") == F.col("one"), "left_semi").unionAll(some.filter("i IS NULL"))
     held = map_texts(some, "t", [], {"digest": "long", "shingles": "binary"}, lambda: contents).join(wanted.select("digest", "node"), "digest")
     held = cut(held.dropDuplicates(["digest"]), "shingle-sets")
     full = dealt.join(held, "digest").groupBy("g", "p", "q").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
@@ -301,9 +308,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # A row is known by an id that no other row has. All rows of other ids are looked at anew, by their fingerprints.
     per_id = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.bool_and(stands).alias("__stays"))
     gone = cut(per_id.filter("__n > 1 OR NOT __stays").select("__id", "__n"), "goes")
-    sure = docs.filter(F.col(id_col).isNotNull()).join(gone.select("__id"), docs[id_col] == F.col("__id"), "left_anti").select(*names)
+    sure = docs.filter(F.col(id_col).isNotNull()).join(_near(gone.select("__id")), docs[id_col] == F.col("__id"), "left_anti").select(*names)
     chosen = cut(found.filter(stands).select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct(), "chosen")
-    repeated = docs.join(gone.filter("__n > 1").select("__id"), docs[id_col] == F.col("__id"), "left_semi").select(*names).unionAll(docs.filter(F.col(id_col).isNull()))
+    repeated = docs.join(_near(gone.filter("__n > 1").select("__id")), docs[id_col] == F.col("__id"), "left_semi").select(*names).unionAll(docs.filter(F.col(id_col).isNull()))
     marked = fingerprints(repeated, names, text_col, width, "__own_fp")
     again = marked.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_fp") == F.col("__fp")))
     one = again.groupBy("__root").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
