@@ -175,32 +175,19 @@ def segment_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.segment_hits(segments, _terrain(spark).withColumn("list", c("seq") % 3), "p_partkey").withColumn("t", F.round("t", 6))
 
 
-def _contained(spark: SparkSession, sf_dir: str, suppliers: DataFrame, width: int) -> DataFrame:
-    """Semi-join by cell of the radius, then the exact test."""
-    areas = suppliers.select((c("s_suppkey") * 29 % width).cast("double").alias("cx"), (c("s_suppkey") * 11 % 30).cast("double").alias("cz"))
+@query("""
+WITH r AS (SELECT (s_suppkey * 29 % 400)::DOUBLE AS cx, (s_suppkey * 11 % 30)::DOUBLE AS cz FROM supplier)
+SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM r WHERE (p_partkey % 400 - cx)**2 + (p_size % 30 - cz)**2 <= 9)""")
+def contained_in_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that lie in the area of any supplier: semi-join by cell of the radius, then the exact test."""
+    areas = table(spark, sf_dir, "supplier").select((c("s_suppkey") * 29 % 400).cast("double").alias("cx"), (c("s_suppkey") * 11 % 30).cast("double").alias("cz"))
     laid = P.cells_of(areas, [c("cx") - 3, c("cz") - 3], [c("cx") + 3, c("cz") + 3], 3.0, ["gx", "gz"])
-    points = table(spark, sf_dir, "part").select("p_partkey", (c("p_partkey") % width).cast("double").alias("x"), (c("p_size") % 30).cast("double").alias("z"))
+    points = table(spark, sf_dir, "part").select("p_partkey", (c("p_partkey") % 400).cast("double").alias("x"), (c("p_size") % 30).cast("double").alias("z"))
     points = points.withColumns({"gx": F.floor(c("x") / 3).cast("long"), "gz": F.floor(c("z") / 3).cast("long")})
     near = (points["gx"] == laid["gx"]) & (points["gz"] == laid["gz"]) & (S.squared_distance([c("x"), c("z")], [c("cx"), c("cz")]) <= 9)
     return points.join(laid, near, "left_semi").select("p_partkey")
 
 
-@query("""
-WITH r AS (SELECT s_suppkey AS id, (s_suppkey * 29 % 40)::DOUBLE AS cx, (s_suppkey * 11 % 30)::DOUBLE AS cz FROM supplier WHERE s_suppkey <= 20)
-SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM r WHERE (p_partkey % 40 - cx)**2 + (p_size % 30 - cz)**2 <= 9)""")
-def contained_in_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The areas of the first suppliers, as its SQL has them; contained_in_any_area takes all."""
-    return _contained(spark, sf_dir, table(spark, sf_dir, "supplier").filter("s_suppkey <= 20"), 40)
-
-
-@query("""
-WITH r AS (SELECT (s_suppkey * 29 % 400)::DOUBLE AS cx, (s_suppkey * 11 % 30)::DOUBLE AS cz FROM supplier)
-SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM r WHERE (p_partkey % 400 - cx)**2 + (p_size % 30 - cz)**2 <= 9)""")
-def contained_in_any_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contained_in_any with the areas of all suppliers, their centres spread over a field ten times as wide."""
-    return _contained(spark, sf_dir, table(spark, sf_dir, "supplier"), 400)
-
-
 def _sides(names: list[str], p: str) -> str:
     """SQL: p lies on one side of all sides of a triangle."""
     ends = list(zip(names, names[1:] + names[:1], strict=True))
