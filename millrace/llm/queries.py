@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
+from millrace.llm import factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, prefix_trie, segment_langid, simhash_dedup, warc_bundles
 from millrace.llm.common import fold
 from millrace.session import table
 
@@ -68,7 +68,11 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_chars", F.col("mix_copy").alias("copy"), F.col("mix_rate").alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_topk, op2_interpolated_lm, op3_warc_bundles, op4_factor_quality, op5_kd_shards, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pivot_topk, op2_interpolated_lm, op3_warc_bundles, op4_factor_quality, op5_kd_shards, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix, op11_prefix_trie)}
 
 ORACLES = {
     "op1_pivot_topk": """
@@ -99,5 +103,21 @@ counted AS (SELECT doc_id, source, n_chars, rate, list_sum([
               len([c FOR c IN cs IF c <= ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/17/' || part::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0])
               FOR part IN range(1, parts + 1)]) AS n FROM draws)
 SELECT doc_id, source, n_chars, unnest(range(1, n::BIGINT + 1))::INT AS copy, rate FROM counted WHERE n > 0
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (SELECT conv_id AS c, sha256(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, ''))) AS h,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'h': h, 'w': w} ORDER BY turn NULLS FIRST, h) AS ts FROM t GROUP BY c),
+crc AS (SELECT c, ts, c - c % 20 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+          lambda a, x: list_reduce(list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM o),
+r AS (SELECT a.c, list_concat(coalesce(g.ts, [])[1:a.h], a.ts[a.h + 1:]) AS ts FROM crc a LEFT JOIN o g ON g.c = a.b),
+m AS (SELECT c, len(ts) AS n, d, md5(array_to_string([x.h FOR x IN ts[1:d]], ',')) AS k, md5(array_to_string([x.h FOR x IN ts[1:d - 1]], ',')) AS pk, ts[d].w AS w
+      FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+nodes AS (SELECT d, k, any_value(pk) AS pk, min(c) AS c, count(*) AS n, coalesce(any_value(w), 0) AS w, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d) AS ends FROM m GROUP BY d, k),
+kids AS (SELECT p.d, p.k, count(x.k) AS n FROM nodes p LEFT JOIN nodes x ON x.d = p.d + 1 AND x.pk = p.k GROUP BY p.d, p.k),
+below AS (SELECT m.d, m.k, sum((u.n - 1) * u.w)::BIGINT AS saved, count(*) FILTER (kids.n = 0) AS leaves
+          FROM m JOIN nodes u ON u.c = m.c AND u.d >= m.d JOIN kids ON kids.d = u.d AND kids.k = u.k GROUP BY m.d, m.k)
+SELECT v.c AS conv_id, v.d::BIGINT AS depth, p.c AS parent_conv_id, v.n AS n_convs, kids.n AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN kids USING (d, k) JOIN below b USING (d, k) LEFT JOIN nodes p ON v.d > 0 AND p.d = v.d - 1 AND p.k = v.pk
 """,
 }
