@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import digit_whitening, factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, prefix_trie, segment_langid, simhash_dedup, warc_bundles
+from millrace.llm import digit_whitening, factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, prefix_trie, segment_langid, simhash_dedup, warc_bundles, wrapper_induction
 from millrace.llm.common import fold
 from millrace.session import table
 
@@ -76,7 +76,11 @@ def op12_digit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digit_whitening.whiten(table(spark, sf_dir, "embeddings")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_topk, op2_interpolated_lm, op3_warc_bundles, op4_factor_quality, op5_kd_shards, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix, op11_prefix_trie, op12_digit_whitening)}
+def op13_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+QUERIES = {f.__name__: f for f in (op1_pivot_topk, op2_interpolated_lm, op3_warc_bundles, op4_factor_quality, op5_kd_shards, op6_simhash_dedup, op7_segment_langid, op8_piece_codec, op9_prefix_forest, op10_poisson_mix, op11_prefix_trie, op12_digit_whitening, op13_wrapper_induction)}
 
 ORACLES = {
     "op1_pivot_topk": """
