@@ -3,30 +3,25 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.base import query
-from millrace.session import shared_folder, ship, table
-from millrace.sources import archive, binary, logs
+from millrace.session import place, ship, table
+from millrace.sources import archive, binary, logs, packed
 
 c = F.col
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT p_brand AS unit, p_size > 1 AS complete, p_type AS category, p_name AS function, p_size::BIGINT AS size, p_size * 2.0::DOUBLE AS fuzzy FROM part""")
 def report_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested JSON reports, one a part and line, with numbers as texts."""
     p = table(spark, sf_dir, "part")
     function = F.struct(c("p_name").alias("name"), c("p_size").cast("string").alias("size"), (c("p_size") * 2.0).alias("fuzzy_match_percent"))
     meta = F.struct(F.array("p_type").alias("progress_categories"), (c("p_size") > 1).alias("complete"))
-    path = _place(spark, "report")
+    path = place(spark, "report")
     p.select(F.array(F.struct(c("p_brand").alias("name"), meta.alias("metadata"), F.array(function).alias("functions"))).alias("units")).write.json(path)
     return logs.report_functions(spark, path, one_a_file=False)
 
@@ -38,7 +33,7 @@ def link_map_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(c("n_nationkey") % 3 == 0, "UNUSED  ").otherwise(F.format_string("%08x", c("n_nationkey")))
     line = F.format_string("  %s %06x %08x  4 n%d \tobj.o", mark, c("n_nationkey") * 16 + 4, c("n_nationkey") * 256, c("n_nationkey"))
     files = n.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("rows"))
-    path = _place(spark, "maps")
+    path = place(spark, "maps")
     files.select("r_name", F.concat(F.replace(c("r_name"), F.lit(" "), F.lit("_")), F.lit(" section layout\n"), c("rows")).alias("value")).repartition(5, "r_name").write.partitionBy("r_name").text(path)
     return logs.map_rows(spark, f"{path}/*").select("section", "symbol", "size", "live")
 
@@ -48,14 +43,14 @@ def usage_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event logs as JSON lines; lines of other kinds count nothing."""
     e = table(spark, sf_dir, "events")
     stamp = F.date_format(c("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
-    path = _place(spark, "usage")
+    path = place(spark, "usage")
     e.select(F.lit("assistant").alias("type"), stamp, F.struct(F.struct((c("event_id") % 100).alias("output_tokens")).alias("usage")).alias("message")).write.json(path)
     return logs.token_usage(spark, path).select(c("hour").cast("timestamp_ntz").alias("hour"), "tokens")
 
 
 @query("""SELECT c_custkey, c_name, c_acctbal FROM customer""")
 def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "tsv")
+    path = place(spark, "tsv")
     logs.write_tsv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
     return logs.read_tsv(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
 
@@ -63,7 +58,7 @@ def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 's' || s_suppkey AS symbol, CASE WHEN s_suppkey % 2 = 0 THEN 'T' ELSE 'W' END AS kind, (s_suppkey * 8)::BIGINT AS size FROM supplier""")
 def symbol_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = c("s_suppkey")
-    path = _place(spark, "symbols")
+    path = place(spark, "symbols")
     table(spark, sf_dir, "supplier").select(F.format_string("%08x %08x %s s%d", s * 64, s * 8, F.when(s % 2 == 0, "T").otherwise("W"), s)).write.text(path)
     return logs.symbol_rows(spark, path).select("symbol", "kind", "size")
 
@@ -97,31 +92,28 @@ def block_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT r_name AS region, '/' || r_name AS path, 'Group' AS type, r_regionkey::BIGINT AS key FROM region UNION ALL SELECT r_name, '/' || r_name || '/' || n_name, 'Leaf', n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey""")
+SELECT '/' || n_name AS path, 'Group' AS type, n_nationkey::BIGINT AS key, NULL::BIGINT AS cust, NULL::DOUBLE AS balance FROM (SELECT DISTINCT n_name, n_nationkey, c_custkey // 2000 FROM nation JOIN customer ON c_nationkey = n_nationkey)
+UNION ALL SELECT '/' || n_name || '/' || c_name, 'Leaf', c_custkey % 65536, c_custkey, round(c_acctbal::FLOAT::DOUBLE, 2) FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def scene_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged record trees, one a region, with a record of an unknown type in each that is passed over."""
-    ship(spark)
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
-
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        text = lambda s: struct.pack(">H", len(s.encode())) + s.encode()
-
-        def record(kind, name, key, body):
-            tail = text(kind) + text(name) + body
-            return struct.pack(">IH", 6 + len(tail), key) + tail
-
-        leaves = [record("Leaf", x, int(k), b"") for x, k in zip(g["n_name"], g["n_nationkey"], strict=True)] + [record("Odd", "?", 0, b"\0" * 11)]
-        name = g["r_name"].iloc[0]
-        return pd.DataFrame({"region": [name], "content": [record("Group", name, int(g["n_regionkey"].iloc[0]), struct.pack(">I", len(leaves)) + b"".join(leaves))]})
-
-    def read(batches):
-        for b in batches:
-            for region, content in zip(b["region"], b["content"], strict=True):
-                rows = list(binary.scene_rows(bytes(content), {"Leaf": lambda cur: {}}, {"Group"}))
-                yield pd.DataFrame([(region, r["path"], r["type"], r["key"]) for r in rows], columns=["region", "path", "type", "key"])
-
-    trees = n.groupBy("r_regionkey").applyInPandas(build, "region string, content binary")
-    return trees.mapInPandas(read, "region string, path string, type string, key long")
+    """Tagged record trees, a file for each nation and 2,000 keys with its customers as leaves, and a record of an unknown type in each that is passed over."""
+    packed.register(spark)
+    text = lambda s: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(s)), 4, "0")), s.cast("binary"))
+
+    def record(kind: str, name, key, body):
+        tail = F.concat(text(F.lit(kind)), text(name), body)
+        return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(tail) + 6), 8, "0")), F.unhex(F.lpad(F.hex(key), 4, "0")), tail)
+
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
+    number = F.unhex(F.lpad(F.hex("c_custkey"), 16, "0"))
+    leaves = customers.select("n_nationkey", "n_name", F.floor(c("c_custkey") / 2000).alias("piece"), record("Leaf", c("c_name"), c("c_custkey") % 65536, F.concat(number, text(F.round(c("c_acctbal").cast("float").cast("double"), 2).cast("string")))).alias("leaf"))
+    odd = record("Odd", F.lit("?"), F.lit(0), F.lit(bytes(11)))
+    files = leaves.groupBy("n_nationkey", "n_name", "piece").agg(F.count("*").alias("n"), F.collect_list("leaf").alias("all"))
+    joined = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x))
+    content = record("Group", c("n_name"), c("n_nationkey"), F.concat(F.unhex(F.lpad(F.hex(c("n") + 1), 8, "0")), odd, joined))
+    path = place(spark, "scenes")
+    files.select(F.format_string("%d-%d.scn", c("n_nationkey"), c("piece")).alias("name"), content.alias("content")).write.format("byte_files").option("path", path).mode("append").save()
+    found = spark.read.format("scene_tree").option("path", path).option("groups", "Group").option("types", "Leaf: q cust, text balance").load()
+    return found.select("path", "type", c("key").cast("long").alias("key"), c("props")["cust"].cast("long").alias("cust"), c("props")["balance"].cast("double").alias("balance"))
 
 
 @query("""
@@ -214,7 +206,7 @@ def message_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files below a folder with their lengths: one a nation, in its region's folder."""
     n = table(spark, sf_dir, "nation")
-    path = _place(spark, "listing")
+    path = place(spark, "listing")
     n.repartition(25, "n_nationkey").select(c("n_name").alias("value"), c("n_regionkey").alias("r"), c("n_nationkey").alias("n")).write.partitionBy("r", "n").text(path)
     found = archive.listing(spark, path).filter(c("name").startswith("part-"))
     return found.groupBy(F.regexp_extract("path", "/(r=[0-9]+)/", 1).alias("folder")).agg(F.count("name").alias("files"), F.sum("length").alias("bytes"))
@@ -255,7 +247,7 @@ def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT s_suppkey, s_name, s_acctbal FROM supplier""")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "json")
+    path = place(spark, "json")
     logs.write_json(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
     return spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(path)
 
@@ -275,6 +267,6 @@ def usage_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event logs in three files: tokens and distinct files of each hour."""
     e = table(spark, sf_dir, "events")
     stamp = F.date_format(c("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
-    path = _place(spark, "usage-files")
+    path = place(spark, "usage-files")
     e.select((c("user_id") % 3).alias("agent"), F.lit("assistant").alias("type"), stamp, F.struct(F.struct((c("event_id") % 100).alias("output_tokens")).alias("usage")).alias("message")).repartition(3, "agent").write.partitionBy("agent").json(path)
     return logs.token_usage(spark, f"{path}/*/*.json").select(c("hour").cast("timestamp_ntz").alias("hour"), "tokens", "files")

@@ -72,13 +72,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     # What was shuffled on the way is not needed once the table stands.
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")

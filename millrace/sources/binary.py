@@ -135,6 +135,8 @@ def scene_rows(data: bytes, bodies: dict[str, Callable[[Cursor], dict]], groups:
     def record(cur: Cursor, parent: int | None, path: str) -> Iterator[dict]:
         begin = cur.at
         size, key = cur.number("I"), cur.number("H")
+        if size < 8 or begin + size > len(data):
+            raise ValueError(f"a record of {size} bytes at {begin} of {len(data)}")
         kind = cur.text()
         if kind in groups or kind in bodies:
             own = next(counter)
