@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,49 +13,89 @@ from millrace.session import ship
 
 
 def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos from 0, kind, token, line) of lexed texts."""
-    ship(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            rows = [(k, i, *found) for k, x in zip(b["k"], b["t"], strict=True) for i, found in enumerate(T.scan(x))]
-            yield pd.DataFrame(rows, columns=["k", "pos", "kind", "token", "line"])
-
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, pos int, kind string, token string, line int").withColumnRenamed("k", key)
-
-
-def containment_candidates(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_key: str, words: str, share: float, write) -> DataFrame:
-    """(pattern_key, text_key) where at least `share` of the pattern's words, repeats counted, are in the text, however common; patterns without a word
-    have no candidates.
-
-    words: the informative words in order on the side of the patterns, distinct words on that of the texts. What the text may lack has a bound, so of any
-    words of the pattern that together exceed it the text holds one: the join runs over such words that the fewest texts hold, and the
-    share is counted over all words of the pairs it finds. write(df, name) makes tables of known size, so texts are dealt out only where these are large."""
-    lacking = F.size(words) - F.ceil(F.size(words) * F.lit(share) - 1e-9).cast("int")
-    p = patterns.select(pattern_key, lacking.alias("lacking"), F.explode(words).alias("w")).groupBy(pattern_key, "lacking", "w").agg(F.count(F.lit(1)).alias("times"))
-    p = write(p, "pattern-words")
-    t = texts.select(text_key, F.explode(words).alias("w"))
-    held = t.join(p.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    before = F.sum("times").over(W.partitionBy(pattern_key).orderBy(F.coalesce("df", F.lit(0)), "w")) - F.col("times")
-    ranked = p.join(held, "w", "left").withColumn("before", before).filter(F.col("before") <= F.col("lacking"))
-    rarest = write(ranked.select(pattern_key, "w"), "rarest-words")
-    found = write(t.join(rarest, "w").select(pattern_key, text_key).distinct(), "word-pairs")
-    both = texts.select(text_key, F.col(words).alias("tw")).join(found, text_key).join(patterns.select(pattern_key, F.col(words).alias("pw")), pattern_key)
-    both = both.withColumn("common", F.array_intersect("pw", "tw"))
-    shared = both.filter(F.size(F.filter("pw", lambda w: F.array_contains("common", w))) >= F.size("pw") * share - 1e-9)
-    return write(shared.select(pattern_key, text_key).distinct(), "containment")
+    """(key, pos from 0, kind, token, line) of lexed texts of distinct keys."""
+    found = df.select(F.col(key).alias("k"), F.posexplode(T.pieces(F.col(text))).alias("i", "token"))
+    ordered = W.partitionBy("k").orderBy("i")
+    newlines = F.length("token") - F.length(F.replace("token", F.lit("\n")))
+    line = 1 + F.sum(newlines).over(ordered.rowsBetween(W.unboundedPreceding, 0)) - newlines
+    kept = found.withColumns({"kind": T.piece_kind(F.col("token")), "line": line.cast("int")}).filter(~F.col("kind").isin(*T.DROPPED))
+    return kept.select(F.col("k").alias(key), (F.row_number().over(ordered) - 1).alias("pos"), "kind", "token", "line")
+
+
+#: Words of all patterns that are brought to the texts as a broadcast at most.
+BROADCAST_WORDS = 200_000
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_WORDS else df
+
+
+def _misses(n: Column, least: float) -> Column:
+    return F.floor((1 - least) * n + 1e-9).cast("int")
+
+
+def copy_windows(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_key: str, tokens: str, least: float, write, insert: float = 0.3, widest: int = 12) -> DataFrame:
+    """(pattern_key, text_key, start, size) of stretches of the texts, places from 0, in one of which any place of the pattern of similarity `least` lies.
+
+    patterns and texts: keys and arrays of tokens. An alignment of that similarity misses at most (1 - least) of the pattern's tokens, so of
+    any more than these one stands in the text as it is. Those that are fewest in all texts are taken, in each pattern, and looked up
+    in the texts. Where one stands, and its place in the pattern, give a diagonal; what the alignment may insert beside it
+    gives the stretch. Diagonals are put together in cells as wide as the pattern. LOCAL and PARAMETER are no such tokens; a pattern
+    that has no more others than it may miss has no stretch."""
+    n = F.size(tokens)
+    plain = patterns.filter(n > 0).select(F.col("pattern").alias("pattern"), n.alias("n"), F.posexplode(tokens).alias("i", "w"))
+    given = plain.groupBy("pattern").agg(F.count_if(F.col("w") == T.PARAMETER).alias("spans"))
+    plain = write(plain.filter(~F.col("w").isin(T.LOCAL, T.PARAMETER)).join(given, "pattern"), "pattern-words")
+    standing = texts.select(F.col("text").alias("text"), F.posexplode(tokens).alias("j", "w"))
+    wanted = write(plain.select("w").distinct(), "wanted-words")
+    held = write(standing.select("w").join(_near(wanted), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("held")), "word-counts")
+    rank = F.row_number().over(W.partitionBy("pattern").orderBy(F.coalesce("held", F.lit(0)), "w", "i"))
+    ranked = plain.join(held, "w", "left").withColumns({"rank": rank, "all": F.count(F.lit(1)).over(W.partitionBy("pattern"))})
+    misses = _misses(F.col("n"), least)
+    rare = write(ranked.filter((F.col("all") > misses) & (F.col("rank") <= misses + 1)).select("pattern", "n", "spans", "i", "w"), "rare-words")
+    slack = F.ceil(F.col("n") * ((1 - least) / insert)) + F.col("spans") * (widest - 1)
+    met = standing.join(_near(rare), "w").select("pattern", "text", "n", slack.cast("int").alias("slack"), F.floor((F.col("j") - F.col("i")) / F.col("n")).cast("int").alias("cell")).distinct()
+    first = F.greatest(F.col("cell") * F.col("n") - F.col("slack"), F.lit(0))
+    last = (F.col("cell") + 2) * F.col("n") + F.col("slack")
+    return met.select(F.col("pattern").alias(pattern_key), F.col("text").alias(text_key), first.alias("start"), (last - first).alias("size"))
+
+
+def near_copies(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_key: str, tokens: str, informative: str, least: float, share: float, write) -> DataFrame:
+    """(pattern_key, text_key, similarity) where the pattern (keys, tokens, informative tokens) is aligned in the text (keys, tokens) with a similarity of at
+    least `least`, and `share` of its informative tokens, repeats counted, stand anywhere in the text. Patterns without an informative token have no copies.
+
+    Only stretches that copy_windows names are aligned. write(df, name) makes tables of known size."""
+    patterns = write(patterns.filter(F.size(informative) > 0).select(F.col(pattern_key).alias("pattern"), F.col(tokens).alias("p"), F.col(informative).alias("told")), "patterns")
+    texts = texts.select(F.col(text_key).alias("text"), F.col(tokens).alias("p"))
+    windows = write(copy_windows(patterns, texts, "pattern", "text", "p", least, write), "copy-windows")
+    cut = texts.withColumnRenamed("p", "t").join(_near(windows), "text").select("pattern", "text", F.slice("t", F.col("start") + 1, F.col("size")).alias("t"))
+    found = aligned(cut.join(_near(patterns), "pattern").select("pattern", "text", "p", "t"), "p", "t", least)
+    found = write(found.groupBy("pattern", "text").agg(F.max("similarity").alias("similarity")), "aligned")
+    # The share is asked of what is left: few pairs.
+    told = patterns.select("pattern", F.size("told").alias("all"), F.explode("told").alias("w")).groupBy("pattern", "all", "w").agg(F.count(F.lit(1)).alias("times"))
+    words = texts.join(_near(write(found.select("text").distinct(), "copied-texts")), "text", "left_semi").select("text", F.explode(F.array_distinct("p")).alias("w"))
+    shared = found.join(told, "pattern").join(words, ["text", "w"]).groupBy("pattern", "text", "all").agg(F.sum("times").alias("met"))
+    enough = shared.filter(F.col("met") >= F.col("all") * share - 1e-9).select("pattern", "text")
+    found = found.join(enough, ["pattern", "text"], "left_semi")
+    return found.select(F.col("pattern").alias(pattern_key), F.col("text").alias(text_key), "similarity")
 
 
 def aligned(pairs: DataFrame, pattern: str, text: str, least: float) -> DataFrame:
-    """pairs with cost, start, end_at and similarity of the alignment, those of at least `least`; pattern and text are arrays of tokens."""
+    """pairs with cost, start, end_at and similarity of the alignment, those of at least `least`; pattern and text are arrays of tokens.
+
+    A text with fewer of the pattern's tokens than the similarity asks for is not aligned."""
     ship(pairs.sparkSession)
     keep = [c for c in pairs.columns if c not in (pattern, text)]
     schema = ", ".join([*(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep), "cost double, start int, end_at int, similarity double"])
 
     def run(batches):
         for b in batches:
-            found = [T.align(list(p), list(t)) for p, t in zip(b[pattern], b[text], strict=True)]
+            found = []
+            for p, t in zip(b[pattern], b[text], strict=True):
+                bag = Counter(t)
+                most = sum(n if w in (T.LOCAL, T.PARAMETER) else min(n, bag[w]) for w, n in Counter(p).items())
+                found.append(T.align(list(p), list(t)) if most >= least * len(p) - 1e-9 else (0.0, 0, 0, -1.0))
             out = b[keep].copy()
             for i, c in enumerate(("cost", "start", "end_at", "similarity")):
                 out[c] = [f[i] for f in found]

@@ -83,8 +83,13 @@ def plain_align(pattern, words, insert=0.3, widest=12):
             row.append(min(ways))
         if p == text.PARAMETER:
             for j in range(len(words)):
-                for end in text.balanced_ends(words, j, widest):
-                    row[end] = min(row[end], before[j])
+                depth = 0
+                for end in range(j, min(len(words), j + widest)):
+                    depth += (words[end] in "([{") - (words[end] in ")]}")
+                    if depth < 0 or (not depth and words[end] in ";,?:"):
+                        break
+                    if not depth:
+                        row[end + 1] = min(row[end + 1], before[j])
         before = row
     return min(before)
 
