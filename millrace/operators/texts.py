@@ -22,6 +22,8 @@ def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.select(F.col("k").alias(key), (F.row_number().over(ordered) - 1).alias("pos"), "kind", "token", "line")
 
 
+#: Tokens of a pattern, beyond those that an alignment may miss, that are looked up: as many must stand together.
+HITS = 4
 #: Words of all patterns that are brought to the texts as a broadcast at most.
 BROADCAST_WORDS = 200_000
 
@@ -39,10 +41,10 @@ def copy_windows(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_k
     """(pattern_key, text_key, start, size) of stretches of the texts, places from 0, in one of which any place of the pattern of similarity `least` lies.
 
     patterns and texts: keys and arrays of tokens. An alignment of that similarity misses at most (1 - least) of the pattern's tokens, so of
-    any more than these one stands in the text as it is. Those that are fewest in all texts are taken, in each pattern, and looked up
-    in the texts. Where one stands, and its place in the pattern, give a diagonal; what the alignment may insert beside it
-    gives the stretch. Diagonals are put together in cells as wide as the pattern. LOCAL and PARAMETER are no such tokens; a pattern
-    that has no more others than it may miss has no stretch."""
+    HITS more than these at least HITS stand in the text as they are. Those that are fewest in all texts are taken, in each pattern, and looked up
+    in the texts. Where one stands, and its place in the pattern, give a diagonal; an alignment's diagonals lie within what it may leave out and
+    insert, so they share one of two overlapping cells of twice that width. Cells with HITS different places of the pattern give the stretches.
+    LOCAL and PARAMETER are no such tokens; a pattern that has no more others than it may miss has no stretch."""
     n = F.size(tokens)
     plain = patterns.filter(n > 0).select(F.col("pattern").alias("pattern"), n.alias("n"), F.posexplode(tokens).alias("i", "w"))
     given = plain.groupBy("pattern").agg(F.count_if(F.col("w") == T.PARAMETER).alias("spans"))
@@ -53,11 +55,15 @@ def copy_windows(patterns: DataFrame, texts: DataFrame, pattern_key: str, text_k
     rank = F.row_number().over(W.partitionBy("pattern").orderBy(F.coalesce("held", F.lit(0)), "w", "i"))
     ranked = plain.join(held, "w", "left").withColumns({"rank": rank, "all": F.count(F.lit(1)).over(W.partitionBy("pattern"))})
     misses = _misses(F.col("n"), least)
-    rare = write(ranked.filter((F.col("all") > misses) & (F.col("rank") <= misses + 1)).select("pattern", "n", "spans", "i", "w"), "rare-words")
-    slack = F.ceil(F.col("n") * ((1 - least) / insert)) + F.col("spans") * (widest - 1)
-    met = standing.join(_near(rare), "w").select("pattern", "text", "n", slack.cast("int").alias("slack"), F.floor((F.col("j") - F.col("i")) / F.col("n")).cast("int").alias("cell")).distinct()
-    first = F.greatest(F.col("cell") * F.col("n") - F.col("slack"), F.lit(0))
-    last = (F.col("cell") + 2) * F.col("n") + F.col("slack")
+    hits = F.least(F.lit(HITS), F.col("all") - misses).cast("int")
+    slack = (F.ceil(F.col("n") * ((1 - least) / insert)) + F.col("spans") * (widest - 1)).cast("int")
+    rare = ranked.filter((F.col("all") > misses) & (F.col("rank") <= misses + hits)).select("pattern", "n", hits.alias("hits"), slack.alias("slack"), (slack + misses + 1).alias("width"), "i", "w")
+    rare = write(rare, "rare-words")
+    met = standing.join(_near(rare), "w").withColumn("cell", F.floor((F.col("j") - F.col("i")) / F.col("width")).cast("int"))
+    met = met.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"))))
+    met = met.groupBy("pattern", "text", "n", "slack", "width", "hits", "cell").agg(F.count_distinct("i").alias("met")).filter("met >= hits")
+    first = F.greatest(F.col("cell") * F.col("width") - F.col("slack"), F.lit(0))
+    last = (F.col("cell") + 2) * F.col("width") + F.col("n") + F.col("slack")
     return met.select(F.col("pattern").alias(pattern_key), F.col("text").alias(text_key), first.alias("start"), (last - first).alias("size"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, diffs, graphs, ordered, ranked, spatial, texts
-from millrace.session import written
+from millrace.session import discard, written
 
 c = F.col
 
@@ -130,8 +130,8 @@ def test_shortest_paths_and_closure(spark):
         for a, b, w in e:
             if a in dist and dist[a] + w < dist.get(b, 1e9):
                 dist[b] = dist[a] + w
-    assert dict(rows(graphs.shortest_paths(edges, spark.createDataFrame([(0,)], "id long"), 40, written))) == dist
-    assert {i for _, i in rows(graphs.closure(edges.select("src", "dst"), spark.createDataFrame([(0,)], "id long"), 40, written))} == set(dist)
+    assert dict(rows(graphs.shortest_paths(edges, spark.createDataFrame([(0,)], "id long"), 40, written, discard))) == dist
+    assert {i for _, i in rows(graphs.closure(edges.select("src", "dst"), spark.createDataFrame([(0,)], "id long"), 40, written, discard))} == set(dist)
 
 
 def test_greedy_cover(spark):

@@ -1,6 +1,7 @@
 """Queries and operators against brute force over whole tables."""
 
 import heapq
+import math
 import random
 import re
 
@@ -49,14 +50,34 @@ def test_shortest_paths_reach_all_suppliers_against_dijkstra(spark, tmp_path):
 
 
 def test_include_closure_takes_all_orders_and_starts(spark, tmp_path):
-    lines = [(i, 7 * i % 40 + 40 * (i % 3), 7 * i % 40 + 1 + i % 5) for i in range(1, 60)]
+    rnd = random.Random(11)
+    lines = [(i, p, s) for i, (p, s) in enumerate([(rnd.randint(1, 60), rnd.randint(1, 25)) for _ in range(70)] + [(100 + k, 101 + k) for k in range(40)] + [(200, 201), (201, 202), (202, 200), (5, 5)])]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    edges = {(p % 40, s % 40) for _, p, s in lines if p % 40 < s % 40}
-    want = {(i, i) for i in range(40)}
+    edges = {(p, s) for _, p, s in lines}
+    want = {(i, i) for e in edges for i in e}
     while more := {(start, d) for start, at in want for s, d in edges if s == at} - want:
         want |= more
     made = [tuple(r) for r in QUERIES["include_closure"](spark, f"file://{tmp_path}").select("start", "id").collect()]
-    assert len(made) == len(want) and set(made) == want and len(want) > 40
+    assert len(made) == len(want) and set(made) == want
+
+
+def test_tables_of_shortest_paths_do_not_grow_with_the_way(spark):
+    from millrace.operators import graphs
+    from millrace.session import discard, written
+
+    rnd, tables = random.Random(1), {}
+    for n in (50, 200):
+        made = []
+        write = lambda df, name, made=made: made.append(name) or written(df, name)
+        edges = [(k, to, float(rnd.randint(0, 9))) for k in range(n) for to in (k + 1, k + 7, k - 3) if 0 <= to < n] + [(n + 5, 0, 1.0), (3, 3, 1.0), (4, 5, 0.0)]
+        got = dict(map(tuple, graphs.shortest_paths(spark.createDataFrame(edges, "src long, dst long, length double"), spark.createDataFrame([(0,), (n // 2,), (n + 9,)], "id long"), n, write, discard).collect()))
+        want = {0: 0.0, n // 2: 0.0, n + 9: 0.0}
+        while new := {b: d for a, b, x in edges if a in want and (d := want[a] + x) < want.get(b, math.inf)}:
+            for b, d in new.items():
+                want[b] = min(d, want.get(b, math.inf))
+        assert got == want
+        tables[n] = len(made)
+    assert tables[200] < 2 * tables[50]
 
 
 def test_every_supplier_is_an_area(spark, tmp_path):
