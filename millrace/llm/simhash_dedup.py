@@ -10,16 +10,20 @@ fingerprints of a link, so each member goes to four smaller buckets; what is sti
 Equal fingerprints are one node from the start, so exact copies are never paired. Null and wordless texts have
 fingerprint zero and link like any other. component_id is the smallest non-null doc_id of the component.
 
-With a similarity, texts whose sets of five-word shingles reach that Jaccard similarity are linked too: candidates share a band
-of MinHash values, and links are verified on the sets.
+With a similarity, texts whose sets of five-word shingles reach that Jaccard similarity are linked too. Those that share a band of
+MinHash values are compared by their signatures (SIGNATURE values, two bytes each) in bounded groups, and what may be similar is put together in
+components; each set then goes once to its component, and links are verified on the sets. Components of more than GROUP_BYTES of sets
+are dealt in pairs of blocks of that size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, discard, lower_words, map_texts, mix, segment_sums, word_hashes
@@ -36,6 +40,11 @@ ROUNDS = 60
 SHINGLE = 5
 #: At similarity 0.8 a pair shares none of the bands with a chance of about 3 in a million.
 BANDS, BAND_ROWS = 24, 4
+SIGNATURE = BANDS * BAND_ROWS
+#: Values of two signatures that must agree: a pair at similarity 0.8 misses that with a chance of 4 in 100 million, one at 0.4 meets it once in 1,000.
+AGREE = 54
+#: Bytes of shingle sets that one group of a task holds.
+GROUP_BYTES = 32_000_000
 
 
 def text_fingerprints(texts: list[str], width: int) -> np.ndarray:
@@ -135,7 +144,7 @@ def links(seen: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the smallest node that it reaches. Large-star and small-star
+    """(node, root) of every node of edges (a, b) but the roots themselves: root is the smallest node that it reaches. Large-star and small-star
     rounds, each written to the shared folder, until a round changes nothing."""
     now = cut(edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "star")
     mark = None
@@ -187,60 +196,149 @@ def _set_digests(flat: np.ndarray, counts: np.ndarray) -> list[int]:
 _DRAW = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 
 
-def set_bands(flat: np.ndarray, counts: np.ndarray) -> list[list[int]]:
-    """A hash of each band of MinHash values of each set; none for an empty one."""
+def set_bands(flat: np.ndarray, counts: np.ndarray) -> tuple[list[list[int]], list[bytes]]:
+    """(a hash of each band of MinHash values, the two low bytes of each value) of each set; nothing for an empty one."""
     full = np.flatnonzero(counts)
     out: list[list[int]] = [[] for _ in counts]
+    signs = [b""] * len(counts)
     if not len(full):
-        return out
+        return out, signs
     starts = (np.cumsum(counts) - counts)[full]
-    bands = np.empty((len(full), BANDS), dtype=np.uint64)
+    bands, low = np.empty((len(full), BANDS), dtype=np.uint64), np.empty((len(full), SIGNATURE), dtype=np.uint16)
     for band in range(BANDS):
         held = np.full(len(full), band, dtype=np.uint64)
-        for a, b in _DRAW[:, band * BAND_ROWS : (band + 1) * BAND_ROWS].T:
-            x = (flat ^ b) * (a | np.uint64(1))
-            held = mix(held, np.minimum.reduceat((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15), starts))
+        for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+            x = (flat ^ _DRAW[1, k]) * (_DRAW[0, k] | np.uint64(1))
+            least = np.minimum.reduceat((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15), starts)
+            low[:, k] = (least ^ (least >> np.uint64(48))) & np.uint64(0xFFFF)
+            held = mix(held, least)
         bands[:, band] = held
-    for k, values in zip(full.tolist(), bands.view(np.int64).tolist(), strict=True):
-        out[k] = values
-    return out
+    for k, values, sign in zip(full.tolist(), bands.view(np.int64).tolist(), low, strict=True):
+        out[k], signs[k] = values, sign.tobytes()
+    return out, signs
 
 
-def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what is linked among sets, at most one fewer than sets."""
-    sizes = np.array([len(s) for s in sets])
-    left = np.ones(len(sets), dtype=bool)
-    links = []
-    for root in range(len(sets)):
+def similar_forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what is linked among count members, at most one fewer than members. near(i, others): which of others are linked to i."""
+    left = np.ones(count, dtype=bool)
+    found = []
+    for root in range(count):
         if not left[root]:
             continue
         left[root] = False
         front = [root]
-        while front:
+        while front and left.any():
             at = front.pop()
-            fits = left & (np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]))
-            for j in np.flatnonzero(fits).tolist():
-                both = len(np.intersect1d(sets[at], sets[j], assume_unique=True))
-                if both >= similarity * (sizes[at] + sizes[j] - both):
-                    left[j] = False
-                    front.append(j)
-                    links.append((at, j))
-    return links
+            others = np.flatnonzero(left)
+            met = others[near(at, others)]
+            left[met] = False
+            front.extend(met.tolist())
+            found += [(at, j) for j in met.tolist()]
+    return found
+
+
+def alike(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which sets may be similar to one, by signatures (a row each) and sizes."""
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        fits = np.minimum(sizes[others], sizes[at]) >= similarity * np.maximum(sizes[others], sizes[at])
+        return fits & ((signs[others] == signs[at]).sum(axis=1) >= AGREE)
+
+    return near
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which sets are similar to one; signatures first."""
+    _, signs = set_bands(np.concatenate(sets), np.array([len(s) for s in sets]))
+    may = alike(np.frombuffer(b"".join(signs), np.uint16).reshape(len(sets), -1), np.array([len(s) for s in sets]), similarity)
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        fits = may(at, others)
+        for k in np.flatnonzero(fits).tolist():
+            other = sets[others[k]]
+            both = len(np.intersect1d(sets[at], other, assume_unique=True))
+            fits[k] = both >= similarity * (len(sets[at]) + len(other) - both)
+        return fits
+
+    return near
+
+
+def _linked_groups(rows: DataFrame, key: list[str], node: str, payload: str, size: str, near: Callable) -> DataFrame:
+    """(a, b) links between the nodes of each group of rows (key, node, payload, size) that connect what near(payloads, sizes) links. Rows of a group
+    come one after the other, repeated nodes once; one group at a time is held."""
+    ship(rows.sparkSession)
+
+    def links_of(nodes, payloads, sizes):
+        return [(nodes[i], nodes[j]) for i, j in similar_forest(len(nodes), near(payloads, sizes))] if len(nodes) > 1 else []
+
+    def out(found):
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], type=pa.int64()), pa.array(pairs[:, 1], type=pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        group, nodes, payloads, sizes = None, [], [], []
+        for batch in batches:
+            found = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(key))), strict=True))
+            ids, numbers, held = (batch.column(len(key) + i) for i in range(3))
+            ids, numbers = ids.to_pylist(), numbers.to_pylist()
+            for i, now in enumerate(keys):
+                if now != group:
+                    found += links_of(nodes, payloads, sizes)
+                    group, nodes, payloads, sizes = now, [], [], []
+                if not nodes or nodes[-1] != ids[i]:
+                    nodes.append(ids[i])
+                    payloads.append(held[i].as_py())
+                    sizes.append(numbers[i])
+            yield out(found)
+        yield out(links_of(nodes, payloads, sizes))
+
+    dealt = rows.select(*key, node, size, payload).repartition(*key).sortWithinPartitions(*key, node)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _near(ids: DataFrame) -> DataFrame:
-    """A table of ids, to be broadcast if it is small enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """A table of ids (its first column), to be broadcast if it is small enough, in rows and in bytes."""
+    n, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(ids.columns[0]).cast("string"))), F.lit(0))).first()
+    return F.broadcast(ids) if n <= BROADCAST_IDS and size <= 16 * BROADCAST_IDS else ids
 
 
 def shingle_marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id_col, fp, digest, bands) of every row: the fingerprint, a digest of the five-word shingle set and its MinHash bands."""
+    """(id_col, fp, digest, bands, sign, size) of every row: the fingerprint, a digest of the five-word shingle set, its MinHash bands, signature and size."""
 
     def marks(texts):
         flat, counts = shingle_sets(texts)
-        return [text_fingerprints(texts, width), _set_digests(flat, counts), set_bands(flat, counts)]
+        return [text_fingerprints(texts, width), _set_digests(flat, counts), *set_bands(flat, counts), counts]
+
+    return map_texts(docs, text_col, [id_col], {"fp": "long", "digest": "long", "bands": "array<long>", "sign": "binary", "size": "long"}, lambda: marks)
 
-    return map_texts(docs, text_col, [id_col], {"fp": "long", "digest": "long", "bands": "array<long>"}, lambda: marks)
+
+def _dealt(rows: DataFrame, number: Column, key: str) -> DataFrame:
+    """rows with p and q: of `number` blocks, by a hash of key, each row goes to the pairs of its own block with every block."""
+    dealt = rows.withColumn("nb", number).withColumn("own", F.pmod(F.xxhash64(key), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("nb", "own", "other")
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): digests that may be similar to others, by components of what shares a band and has like signatures."""
+    keyed = nodes.select("digest", F.posexplode("bands").alias("band", "key"))
+    # Buckets are counted before anything is gathered.
+    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut(keyed.join(shared, ["band", "key"]), "shingle-buckets")
+    marks = nodes.select("digest", "sign", "size")
+    # Similar sets are alike in size: of the classes by powers of 1 / similarity they share their own or the next.
+    step = F.floor(F.log("size") / float(-np.log(similarity)) + 1e-9).cast("int")
+    small = members.filter(F.col("n") <= BLOCK).select("digest", "band", "key", F.lit(-1).alias("step"), F.lit(1).alias("nb"))
+    large = members.filter(F.col("n") > BLOCK).join(nodes.select("digest", "size"), "digest").select("digest", "band", "key", F.explode(F.array(step, step + 1)).alias("step"))
+    counts = large.groupBy("band", "key", "step").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    blocks = F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / (BLOCK // 2)).cast("int")).otherwise(1)
+    large = large.join(counts, ["band", "key", "step"]).select("digest", "band", "key", "step", blocks.alias("nb"))
+    dealt = _dealt(small.unionAll(large), F.col("nb"), "digest").join(marks, "digest")
+    read = lambda signs, sizes: alike(np.frombuffer(b"".join(signs), np.uint16).reshape(len(signs), SIGNATURE), np.array(sizes), similarity)
+    found = cut(_linked_groups(dealt, ["band", "key", "step", "p", "q"], "digest", "sign", "size", read).distinct(), "shingle-candidates")
+    discard(members)
+    return components(found)
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -252,49 +350,41 @@ def similar_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str
         return [_set_digests(flat, counts), [flat[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]]
 
     # Of equal sets one row is looked at again: that of the smallest id, or any without an id.
-    nodes = cut(marked.groupBy("digest").agg(F.min("fp").alias("node"), F.min(id_col).alias("one"), F.first("bands").alias("bands")), "shingle-nodes")
+    nodes = cut(marked.groupBy("digest").agg(F.min("fp").alias("node"), F.min(id_col).alias("one"), F.first("bands").alias("bands"), F.first("sign").alias("sign"), F.first("size").alias("size")), "shingle-nodes")
     equal = marked.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest").select(F.col("node").alias("a"), F.col("fp").alias("b"))
-    keyed = nodes.select("digest", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.array_sort(F.collect_set("digest")).alias("members")).filter(F.size("members") > 1)
-    # Near copies share most bands: equal buckets are one group.
-    groups = cut(buckets.select("members").distinct().select(F.xxhash64("members").alias("g"), F.size("members").alias("n"), F.explode("members").alias("digest")), "shingle-groups")
-    blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK // 2)).cast("int")).otherwise(1)
-    dealt = groups.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int"))
-    dealt = dealt.select("g", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    dealt = dealt.select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "digest")
-    wanted = cut(groups.select("digest").distinct().join(nodes.select("digest", "node", "one"), "digest"), "shingle-wanted")
-    some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    grouped = cut(_candidates(nodes, similarity), "shingle-grouped")
+    roots = grouped.select(F.col("node").alias("digest"), "root").unionAll(grouped.select(F.col("root").alias("digest"), "root").distinct())
+    wanted = roots.join(nodes.select("digest", "node", "one", "size"), "digest")
+    weight = wanted.groupBy("root").agg((8 * F.sum("size")).alias("bytes"))
+    blocks = F.when(F.col("bytes") > GROUP_BYTES, F.ceil(2 * F.col("bytes") / GROUP_BYTES).cast("int")).otherwise(1)
+    wanted = cut(wanted.join(weight, "root").select("digest", "node", "one", "size", "root", blocks.alias("nb")), "shingle-wanted")
     ids = _near(cut(wanted.filter("one IS NOT NULL").select("one").distinct(), "shingle-ids"))
+    some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     some = some.join(ids, F.col("i") == F.col("one"), "left_semi").unionAll(some.filter("i IS NULL"))
-    held = map_texts(some, "t", [], {"digest": "long", "shingles": "binary"}, lambda: contents).join(wanted.select("digest", "node"), "digest")
-    held = cut(held.dropDuplicates(["digest"]), "shingle-sets")
-    full = dealt.join(held, "digest").groupBy("g", "p", "q").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for group in batch.column(0).to_pylist():
-                for i, j in similar_forest([np.frombuffer(x["shingles"], dtype=np.uint64) for x in group], similarity):
-                    found.append((group[i]["node"], group[j]["node"]))
-            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], type=pa.int64()), pa.array(pairs[:, 1], type=pa.int64())], names=["a", "b"])
-
-    return full.select("sets").mapInArrow(run, "a long, b long").unionAll(equal).filter("a <> b").distinct()
+    held = map_texts(some, "t", [], {"digest": "long", "shingles": "binary"}, lambda: contents)
+    dealt = _dealt(held.join(wanted.select("digest", "node", "size", "root", "nb"), "digest"), F.col("nb"), "digest")
+    # Nodes of one fingerprint may have different sets, so groups are of digests.
+    verify = lambda sets, _: similar_sets([np.frombuffer(x, dtype=np.uint64) for x in sets], similarity)
+    found = cut(_linked_groups(dealt, ["root", "p", "q"], "digest", "shingles", "size", verify).distinct(), "shingle-links")
+    name = lambda c: wanted.select(F.col("digest").alias(c), F.col("node").alias(f"{c}n"))
+    named = found.join(name("a"), "a").join(name("b"), "b").select(F.col("an").alias("a"), F.col("bn").alias("b"))
+    return named.unionAll(equal).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """(id_col, fp, root, component_id, chosen) of every row; root is the smallest fingerprint of the component, chosen the fingerprint, smallest of those with component_id, whose row of that id stands for it."""
-    made = fingerprints(docs, [id_col], text_col, width) if similarity is None else shingle_marks(docs, id_col, text_col, width)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = fingerprints(docs, ["id"], "text", width) if similarity is None else shingle_marks(docs, "id", "text", width)
     marked = cut(made, "fingerprints")
-    nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
+    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-nodes")
     linked = links(nodes.select("fp"), bits)
     if similarity is not None:
-        linked = linked.unionAll(similar_links(docs, marked, id_col, text_col, similarity))
+        linked = linked.unionAll(similar_links(docs, marked, "id", "text", similarity))
     roots = cut(components(linked), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("least"))
     owners = cut(rooted.join(least, "root").select("fp", "root", F.col("least.first").alias("component_id"), F.col("least.fp").alias("chosen")), "components")
-    return marked.join(owners, "fp", "left").select(id_col, "fp", "root", "component_id", "chosen")
+    return marked.join(owners, "fp", "left").select(F.col("id").alias(id_col), "fp", "root", "component_id", "chosen")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
@@ -302,7 +392,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     fingerprint; of rows alike in both, the one of lowest hash. Ids are no keys: (5, A), (7, A), (3, B), (5, B) leaves (5, A) and
     (3, B). A component of rows without an id keeps one of them.
     """
-    names = docs.columns
+    # Columns go by place, so no name can clash.
+    given = docs.columns
+    names = [f"c{i}" for i in range(len(given))]
+    id_col, text_col = names[given.index(id_col)], names[given.index(text_col)]
+    docs = docs.toDF(*names)
     found = cut(near_duplicates(docs, id_col, text_col, width, bits, similarity), "near-duplicates")
     stands = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("chosen"))
     # A row is known by an id that no other row has. All rows of other ids are looked at anew, by their fingerprints.
@@ -314,4 +408,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     marked = fingerprints(repeated, names, text_col, width, "__own_fp")
     again = marked.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_fp") == F.col("__fp")))
     one = again.groupBy("__root").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
-    return sure.unionAll(one.select(*(F.col("__row").getField(c).alias(c) for c in names)))
+    return sure.unionAll(one.select(*(F.col("__row").getField(c).alias(c) for c in names))).toDF(*given)
