@@ -15,20 +15,22 @@ from millrace.operators import ordered as O  # noqa: E741
 from millrace.operators import ranked as R
 from millrace.plans.base import query
 from millrace.plans.sources import _batches
-from millrace.session import table, written
-from millrace.streaming import stateful
+from millrace.session import place, table, written
+from millrace.streaming import keyed, stateful, versioned
 
 c = F.col
 
 
 @query("""
-WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 45 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
-SELECT user_id, min(ts) AS held_from, max(ts) + INTERVAL 45 MINUTE AS released_at, count(*) AS n FROM s GROUP BY user_id, s""")
+WITH last AS (SELECT make_timestamp((epoch_us(max(ts)) + 999) // 1000 * 1000) AS t FROM events),
+g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 45 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+SELECT user_id, min(ts) AS held_from, max(ts) + INTERVAL 45 MINUTE AS released_at, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 45 MINUTE <= (SELECT t FROM last)""")
 def released_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users are held until 45 minutes pass without an event of theirs."""
-    e = table(spark, sf_dir, "events").select("user_id", c("ts").cast("timestamp").alias("at"))
-    got = stateful.released(e, "user_id", "at", "45 minutes")
-    return got.select("user_id", *(c(n).cast("timestamp_ntz").alias(n) for n in ("held_from", "released_at")), "n")
+    """Users are held, in a stream's state, until 45 minutes pass without an event of theirs; those that are released by the time of the last event."""
+    s = stateful.events_stream(spark, f"{sf_dir}/events.parquet")
+    with keyed.rocksdb(spark):
+        got = stateful.drained(keyed.in_order(s, "user_id", "ts", "event_id", None, "0 seconds", keyed.Held(45 * 60 * 1_000_000)), "held")
+    return got.select(c("key").alias("user_id"), *(F.timestamp_micros(n).cast("timestamp_ntz").alias(n) for n in ("held_from", "released_at")), "n")
 
 
 @query("""
@@ -51,9 +53,10 @@ WITH l AS (SELECT user_id AS ns, event_id AS seq, event_id % 5 AS k, event_id %
 n AS (SELECT s.*, (SELECT arg_min(b.op, b.seq) FROM l b WHERE b.ns = s.ns AND b.seq > s.seq AND b.op <> 'set') AS fate FROM l s WHERE s.op = 'set'),
 r AS (SELECT ns, k, arg_max(v, seq) FILTER (fate = 'success') AS good, arg_max(v, seq) FILTER (fate = 'success' OR fate IS NULL) AS working FROM n GROUP BY ALL) SELECT * FROM r WHERE working IS NOT NULL""")
 def transactional_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and working copies of users' entries, kept by a sink of numbered versions."""
     i = c("event_id")
-    log = table(spark, sf_dir, "events").select(c("user_id").alias("ns"), i.alias("seq"), (i % 5).alias("k"), (i % 97).alias("v"), F.when(i % 9 == 0, "success").when(i % 9 == 4, "fail").otherwise("set").alias("op"))
-    return stateful.transactional(log, "ns", "k", "v", "seq")
+    log = stateful.events_stream(spark, f"{sf_dir}/events.parquet").select(c("user_id").alias("ns"), i.alias("seq"), (i % 5).alias("k"), (i % 97).alias("v"), F.when(i % 9 == 0, "success").when(i % 9 == 4, "fail").otherwise("set").alias("op"))
+    return versioned.transactions(log, place(spark, "versions"), place(spark, "versions-state"), "ns", "k", "v", "seq").read()
 
 
 @query("""
@@ -64,9 +67,10 @@ SELECT f.key, f.seen, f.depth, CASE WHEN f.depth > 0 THEN arg_max(d.op, d.i) FIL
 def stack_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's stack of states after all of their events, from a stream."""
     op = F.when(c("event_id") % 3 == 0, "pop").otherwise(F.concat("event_type", (c("event_id") % 10).cast("string")))
-    s = stateful.events_stream(spark, f"{sf_dir}/events.parquet").withColumn("op", op).withColumn("at", F.struct("ts", "event_id")).withColumn("order", F.unix_micros("ts") * 1000 + c("event_id") % 1000)
-    made = stateful.drained(stateful.stacked(s, "user_id", "op", "order"), "stack")
-    return made.groupBy("key").agg(F.max(F.struct("seen", "depth", "top")).alias("l")).select("key", "l.*")
+    s = stateful.events_stream(spark, f"{sf_dir}/events.parquet").withColumn("op", op)
+    with keyed.rocksdb(spark):
+        made = stateful.drained(keyed.in_order(s, "user_id", "ts", "event_id", "op", "0 seconds", keyed.Stacked()), "stack")
+    return made.groupBy("key").agg(F.max(F.struct("seen", "depth", "top")).alias("l")).select("key", "l.seen", c("l.depth").cast("int").alias("depth"), "l.top")
 
 
 @query()

@@ -62,11 +62,6 @@ def gated_ticks(stream: DataFrame, seq: str, period: int) -> DataFrame:
     return stream.filter(F.pmod(F.col(seq), F.lit(period)) == 1)
 
 
-def windowed_counts(stream: DataFrame, at: str, width: str, late: str, by: list[str]) -> DataFrame:
-    """Counts by tumbling window; a window is given out once the watermark has passed it."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
-
-
 def admit(held: list[tuple[int, int]], item: int, priority: int, cap: int, stopping: set[int] = frozenset()) -> tuple[str, int | None]:
     """Admission to a list of (priority, item), oldest first: stored, replaced (same item), evicted (with the one that left) or rejected.
 
@@ -117,26 +112,6 @@ def countdown(df: DataFrame, seq: str, interval: int) -> DataFrame:
     return df.filter(F.pmod(F.col(seq) + 1, F.lit(interval + 1)) == 0)
 
 
-def stacked(stream: DataFrame, key: str, op: str, at: str) -> DataFrame:
-    """(key, seen, depth, top) after each batch of a key's stack of states: op pushes its text, or pops where it is 'pop'; a pop of nothing is none. seen counts
-    all requests so far."""
-    ship(stream.sparkSession)
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stack, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        for o in pd.concat(list(parts)).sort_values("at", kind="stable")["op"]:
-            seen += 1
-            if o != "pop":
-                stack.append(o)
-            elif stack:
-                stack.pop()
-        state.update((stack, seen))
-        yield pd.DataFrame([(k[0], seen, len(stack), stack[-1] if stack else None)], columns=["key", "seen", "depth", "top"])
-
-    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(op).alias("op"), F.col(at).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, seen long, depth int, top string", "stack array<string>, seen long", "append", GroupStateTimeout.NoTimeout)
-
-
 def gate(waiting: list[tuple[int, int]], playing: list[tuple[int, int]], op: str, item: int, priority: int, cap: int, slots: int) -> str:
     """One request to a bounded ring: waiting and playing hold (priority, item), oldest first.
 
@@ -175,12 +150,6 @@ def gated_ring(stream: DataFrame, key: str, op: str, item: str, priority: str, a
     return rows.groupBy("key").applyInPandasWithState(step, "key long, item long, action string", "wp array<bigint>, wi array<bigint>, pp array<bigint>, pi array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def released(log: DataFrame, key: str, at: str, ttl: str) -> DataFrame:
-    """(key, held_from, released_at, n): a key is held from its first request until `ttl` has passed without another one."""
-    held = log.groupBy(key, F.session_window(at, ttl).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return held.select(key, F.col("w.start").alias("held_from"), F.col("w.end").alias("released_at"), "n")
-
-
 def double_buffered(log: DataFrame, frame: str, key: str, value: str) -> DataFrame:
     """(frame, key, written, read): what a frame writes to the one buffer, as a sum, and reads from the other, which the frame just before it wrote; null
     where that wrote nothing."""
