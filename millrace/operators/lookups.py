@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from millrace.session import ship
 
 
 def tree_first(nodes: DataFrame, wanted: DataFrame, name: str = "name", order: str = "preorder") -> DataFrame:
@@ -41,65 +38,6 @@ def first_occurrences(df: DataFrame, by: list[str], item: str, order: list[Colum
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", item))), lambda e: e[item]).alias("items"))
 
 
-def claimed(log: DataFrame, key: str, owner: str, order: str) -> DataFrame:
-    """(key, owner) of the claims held after a log of claim and release (`op`): a claim of a key that another holds is refused, a release counts for
-    its holder alone. Logs are sorted by key and order and read in one pass, which holds one key and its holder and no log."""
-    ship(log.sparkSession)
-    kind = log.schema[key].dataType.simpleString()
-
-    def run(batches):
-        now, holder = None, None
-        for b in batches:
-            out = []
-            for k, who, op in zip(b["k"], b["who"], b["op"], strict=True):
-                if k != now:
-                    if holder is not None:
-                        out.append((now, holder))
-                    now, holder = k, None
-                if op == "claim" and holder is None:
-                    holder = who
-                elif op == "release" and holder == who:
-                    holder = None
-            yield pd.DataFrame(out, columns=["k", "who"])
-        if holder is not None:
-            yield pd.DataFrame([(now, holder)], columns=["k", "who"])
-
-    rows = log.select(F.col(key).alias("k"), F.col(owner).cast("string").alias("who"), "op", F.col(order).alias("o")).filter("k IS NOT NULL")
-    return rows.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, f"k {kind}, who string").toDF(key, owner)
-
-
-def spline_coefficients(u: np.ndarray, y: np.ndarray, tiny: float = 1e-4) -> np.ndarray:
-    """Second-order coefficients of the natural cubic through (u, y), 0 at both ends; spans under `tiny` count as flat, pivots under it as `tiny`."""
-    n = len(u)
-    m = np.zeros(n)
-    if n < 3:
-        return m
-    h = np.diff(u)
-    d = np.where(np.abs(h) < tiny, 0, np.diff(y) / np.where(np.abs(h) < tiny, 1, h))
-    diagonal, right = 2 * (h[:-1] + h[1:]), np.diff(d)
-    for i in range(1, n - 2):
-        if abs(diagonal[i - 1]) < tiny:
-            diagonal[i - 1] = tiny
-        f = h[i] / diagonal[i - 1]
-        diagonal[i] -= f * h[i]
-        right[i] -= f * right[i - 1]
-    for i in range(n - 3, -1, -1):
-        m[i + 1] = (right[i] - h[i + 1] * m[i + 2]) / (diagonal[i] if abs(diagonal[i]) >= tiny else tiny)
-    return m
-
-
-def natural_spline(df: DataFrame, by: str, u: str, y: str) -> DataFrame:
-    """(by, u, y, m) with the spline's coefficients; a series is one path, and is solved in one task."""
-    ship(df.sparkSession)
-    kind = df.schema[by].dataType.simpleString()
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("u", kind="stable")
-        return g.assign(m=spline_coefficients(g["u"].to_numpy(float), g["y"].to_numpy(float)))
-
-    return df.select(F.col(by).alias("k"), F.col(u).cast("double").alias("u"), F.col(y).cast("double").alias("y")).groupBy("k").applyInPandas(solve, f"k {kind}, u double, y double, m double").toDF(by, u, y, "m")
-
-
 def sampled(points: DataFrame, raster: DataFrame, key: str, size: float, threshold: float, height: float) -> DataFrame:
     """(key, hit): the point's cell (i, j) has a value above the threshold and a height within `height` of y; points off the raster have no hit."""
     at = points.select(key, "y", F.floor(F.col("x") / size).cast("long").alias("i"), F.floor(F.col("z") / size).cast("long").alias("j"))

@@ -63,14 +63,6 @@ def trailing_rate(df: DataFrame, by: list[str], seconds: str, value: str, hours:
     return base.select(*by, slope.alias("per_day"), F.when(slope > 0, (target - F.col("e")[value]) / slope).otherwise(F.lit(float("inf"))).alias("days_left"))
 
 
-def chord_length(df: DataFrame, by: list[str], order: str, point: list[str], name: str = "u") -> DataFrame:
-    """Length of the path up to each point, as a share of the whole."""
-    w = W.partitionBy(*by).orderBy(order)
-    step = F.coalesce(F.sqrt(S.squared_distance([F.col(p) for p in point], [F.lag(p).over(w) for p in point])), F.lit(0.0))
-    run = df.withColumn("__d", step).withColumn("__s", F.sum("__d").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return run.withColumn(name, F.col("__s") / F.nullif(F.max("__s").over(W.partitionBy(*by)), F.lit(0.0))).drop("__d", "__s")
-
-
 def asof(probes: DataFrame, keys: DataFrame, by: list[str], at: str, key_at: str, values: list[str], strict: bool = False) -> DataFrame:
     """probes with the last key at or before (before, if strict) each: prev_* and next_* of key_at and values.
 

@@ -9,6 +9,7 @@ from millrace.functions import registry as R
 from millrace.functions import scalar as S
 from millrace.operators import graphs as G
 from millrace.operators import lookups as L
+from millrace.operators import series
 from millrace.plans.base import query
 from millrace.session import table, written
 from millrace.streaming import stateful
@@ -69,14 +70,14 @@ def ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims and releases of 200 keys; held against a plain loop in the tests."""
     e = table(spark, sf_dir, "events").select((c("event_id") % 200).alias("key"), (c("user_id") % 7).cast("string").alias("owner"), "event_id", F.when(c("event_id") % 5 < 3, "claim").otherwise("release").alias("op"))
-    return L.claimed(e, "key", "owner", "event_id")
+    return series.claimed(e, "key", "owner", "event_id", written)
 
 
 @query()
 def spline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Natural cubic coefficients of each label's vectors; held against the defining equations in the tests."""
     v = table(spark, sf_dir, "embeddings").select("label", c("vec_id").cast("double").alias("u"), c("embedding")[0].cast("double").alias("y"))
-    return L.natural_spline(v, "label", "u", "y").select("label", "u", F.round("m", 9).alias("m"))
+    return series.natural_spline(v, "label", "u", "y", written).select("label", "u", F.round("m", 9).alias("m"))
 
 
 @query("""

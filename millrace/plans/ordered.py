@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.operators import ordered as O
+from millrace.operators import series
 from millrace.plans.base import query
-from millrace.session import table
+from millrace.session import table, written
 
 BY_TIME = ["ts", "event_id"]
 
@@ -108,7 +109,7 @@ SELECT k, i, round(s / nullif(t, 0), 6) AS u FROM s""")
 def chord_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     p = table(spark, sf_dir, "embeddings").select(c("label").alias("k"), c("vec_id").alias("i"), *(c("embedding")[j].cast("double").alias(n) for j, n in enumerate("xyz")))
-    return O.chord_length(p, ["k"], "i", ["x", "y", "z"]).select("k", "i", F.round("u", 6).alias("u"))
+    return series.chord_length(p, ["k"], "i", ["x", "y", "z"], written).select("k", "i", F.round("u", 6).alias("u"))
 
 
 @query("""

@@ -13,6 +13,7 @@ from millrace.operators import diffs as D
 from millrace.operators import lookups as L
 from millrace.operators import ordered as O  # noqa: E741
 from millrace.operators import ranked as R
+from millrace.operators import series
 from millrace.plans.base import query
 from millrace.plans.sources import _batches
 from millrace.session import place, table, written
@@ -108,13 +109,12 @@ t(id, path) AS (SELECT 0::BIGINT, [0::BIGINT] UNION ALL SELECT node, list_append
 SELECT id, len(path)::INT AS depth, (row_number() OVER (ORDER BY path))::INT AS nth FROM t""")
 def tree_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children appended, prepended and removed, with all that is below them; the tree in pre-order."""
-    from pyspark.sql import Window as W
-
     i, node = c("event_id"), c("user_id") + 1
     log = table(spark, sf_dir, "events").select(i.alias("seq"), node.alias("node"), F.floor(node / (i % 3 + 2)).alias("parent"), F.when(i % 16 == 0, "prepend").when(i % 16 == 1, "remove").otherwise("append").alias("op"))
     kids = L.members(log, "node", "parent", "seq").select("parent", F.posexplode("members").alias("place", "id"))
     nodes = kids.select("id", "parent", "place").unionAll(spark.range(1).select("id", F.lit(None).cast("long"), F.lit(0)))
-    return L.preorder(nodes, written).select("id", F.size("path").alias("depth"), F.row_number().over(W.orderBy("path")).alias("nth"))
+    paths = series.numbered(L.preorder(nodes, written), [], ["path"], written)
+    return paths.select("id", F.size("path").alias("depth"), (c("pos") + 1).cast("int").alias("nth"))
 
 
 @query("""

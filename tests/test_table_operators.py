@@ -136,7 +136,7 @@ def test_shortest_paths_and_closure(spark):
 
 def test_greedy_cover(spark):
     d = spark.createDataFrame([(["a"],)] * 3 + [(["a", "b"],)] * 2 + [(["b", "c"],)] * 4, "classes array<string>")
-    assert graphs.greedy_cover(d, 9) == [("a", 3), ("b", 5), ("c", 9)]
+    assert rows(graphs.greedy_cover(d, 9, written, discard)) == [(1, "a", 3), (2, "b", 5), (3, "c", 9)]
 
 
 def test_stencil_and_bands(spark):
@@ -156,7 +156,7 @@ def test_token_table_and_alignment(spark):
 
 
 def test_claims_against_a_loop(spark):
-    from millrace.operators import lookups
+    from millrace.operators import series
 
     rnd = random.Random(5)
     log = [(rnd.randint(0, 9), rnd.choice("abc"), i, rnd.choice(["claim", "claim", "release"])) for i in range(300)]
@@ -166,23 +166,22 @@ def test_claims_against_a_loop(spark):
             held.setdefault(k, o)
         elif held.get(k) == o:
             del held[k]
-    got = lookups.claimed(spark.createDataFrame(log, "k int, o string, i int, op string"), "k", "o", "i")
+    got = series.claimed(spark.createDataFrame(log, "k int, o string, i int, op string"), "k", "o", "i", written)
     assert dict(rows(got)) == held
 
 
 def test_spline_meets_its_equations(spark):
     import numpy as np
 
-    from millrace.operators import lookups
+    from millrace.operators import series
 
     rng = np.random.default_rng(6)
     u, y = np.sort(rng.random(9)), rng.random(9)
-    m = lookups.spline_coefficients(u, y)
     h, d = np.diff(u), np.diff(y) / np.diff(u)
+    got = series.natural_spline(spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(u, y, strict=True)] + [(2, 0.0, 1.0)], "k int, u double, y double"), "k", "u", "y", written)
+    m = np.array([r["m"] for r in got.filter("k = 1").orderBy("u").collect()])
     assert m[0] == m[-1] == 0
     assert np.allclose(h[:-1] * m[:-2] + 2 * (h[:-1] + h[1:]) * m[1:-1] + h[1:] * m[2:], np.diff(d))
-    got = lookups.natural_spline(spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(u, y, strict=True)] + [(2, 0.0, 1.0)], "k int, u double, y double"), "k", "u", "y")
-    assert [r["m"] for r in got.filter("k = 1").orderBy("u").collect()] == pytest.approx(m.tolist())
 
 
 def test_cover_and_clusters(spark):
