@@ -13,7 +13,9 @@ node beyond, where no node is hot any more. The driver holds a count of open nod
 Rows are never gathered by node. Slots number a shard's rows from 0: rows are numbered in hash buckets of about SLOT_ROWS rows
 of a shard, and the buckets' starts are added. Dimensions: log size, number of characters, source and language (places of
 their hashes) and the id. Null metadata is the lowest value; null texts weigh OVERHEAD and have the CRC-32 of no bytes.
-Equal texts and repeated rows are rows like any other: law `bytes` asks for even shards, so copies of a text may lie in several.
+Rows of equal texts are a group. A group that weighs at most GROUP_SHARE of a shard's share has the keys of one point, so it lies in one shard; a
+larger one is parted like other rows, since law `bytes` asks for even shards. Larger groups are fewer than shards / GROUP_SHARE, so what
+is joined by group has no hot key. Ids that are no numbers have the place of their hash.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
 
 from millrace.llm.common import cut, discard
 
@@ -31,6 +34,8 @@ RADIX_BITS = 12
 TOLERANCE = 0.002
 SLOT_ROWS = 500_000
 BROADCAST_NODES = 100_000
+#: The share of a shard up to which a group of equal texts stays together.
+GROUP_SHARE = 0.05
 
 
 def keyed(rows: DataFrame, dims: list[str]) -> DataFrame:
@@ -112,15 +117,33 @@ def grow(table: DataFrame, weight: str, shards: int) -> DataFrame:
     return table
 
 
+def grouped(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """rows (group, crc, size, tie, place and dimensions) as a written table without `group`, in which the rows of each small group agree in all that keys are made of."""
+    rows = cut(rows, "kd-rows")
+    text = ["group", "crc", "size"]
+    groups = cut(rows.groupBy(*text).agg(F.count(F.lit(1)).alias("n"), *(F.min(d).alias(f"g_{d}") for d in dims)).withColumn("weight", F.col("n") * F.col("size")), "kd-groups")
+    most = F.lit(GROUP_SHARE / shards * (groups.agg(F.sum("weight")).first()[0] or 0))
+    large = groups.filter((F.col("n") > 1) & (F.col("weight") > most)).select(*text)  # fewer than shards / GROUP_SHARE
+    small = groups.filter((F.col("n") > 1) & (F.col("weight") <= most)).select(*text, *(f"g_{d}" for d in dims), F.lit(True).alias("kept"))
+    apart = rows.join(F.broadcast(large), text, "left_semi")
+    rest = rows.join(F.broadcast(large), text, "left_anti").join(small, text, "left")
+    same = lambda one, other: F.when(F.col("kept"), one).otherwise(other)
+    rest = rest.withColumns({"tie": same(F.pmod(F.xxhash64(*text), F.lit(1 << TIE_BITS)), F.col("tie")), "place": same(F.xxhash64(*text), F.col("place")), **{d: same(F.col(f"g_{d}"), F.col(d)) for d in dims}})
+    columns = [c for c in rows.columns if c != "group"]
+    found = cut(rest.select(*columns).unionAll(apart.select(*columns)), "kd-rows")
+    discard(rows, groups)
+    return found
+
+
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) of every row of docs; dims: name to a numeric Column, metadata() if None."""
     dims = metadata(docs, id_col) if dims is None else dims
     raw = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
     size = F.octet_length(raw).cast("long") + OVERHEAD
-    rows = docs.select(F.col(f"`{id_col}`").alias("i"), size.alias("size"), F.crc32(raw).alias("crc"), *(c.cast("double").alias(f"d_{d}") for d, c in dims.items()))
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), size.alias("size"), F.crc32(raw).alias("crc"), F.xxhash64(raw).alias("group"), *(c.cast("double").alias(f"d_{d}") for d, c in dims.items()))
     names = ["d_size", *(f"d_{d}" for d in dims)]
     rows = rows.withColumn("d_size", F.log2(F.col("size").cast("double"))).withColumn("tie", F.pmod(F.xxhash64("i", "crc", "size"), F.lit(1 << TIE_BITS)))
-    rows = cut(rows.withColumn("place", F.monotonically_increasing_id()), "kd-rows")
+    rows = grouped(rows.withColumn("place", F.monotonically_increasing_id()), names, shards)
     table = cut(keyed(rows, names), "kd-keys")
     buckets = max(1, -(-table.count() // (shards * SLOT_ROWS)))
     placed = grow(table, "size", shards).select("i", "size", "crc", F.col("node").alias("shard"), F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int").alias("bucket"))
@@ -137,4 +160,5 @@ def metadata(docs: DataFrame, id_col: str = "doc_id") -> dict[str, Column]:
     """The metadata dimensions that docs has."""
     place = lambda c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 20)))
     found = {c: (place(c) if c in ("source", "lang") else F.col(c)) for c in ("n_chars", "source", "lang") if c in docs.columns}
-    return found | {"id": F.col(f"`{id_col}`")}
+    numeric = isinstance(docs.schema[id_col].dataType, NumericType)
+    return found | {"id": F.col(f"`{id_col}`") if numeric else F.when(F.col(f"`{id_col}`").isNotNull(), F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 20)))}
