@@ -326,6 +326,12 @@ def script_typeof(kind: str) -> Column:
     return F.lit(SCRIPT_KINDS[kind])
 
 
+def script_kind_of(value: Column) -> Column:
+    """The kind of a value that is a VARIANT, found at run time: of a whole number, a number with a fraction, a text; null of anything else."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "BIGINT", SCRIPT_KINDS["int"]).when((kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL"), SCRIPT_KINDS["float"]).when(kind == "STRING", SCRIPT_KINDS["string"])
+
+
 def repaired(arguments: list[tuple[Column, str]], n: int) -> list[tuple[Column, str]]:
     """n arguments: those too many are left out from the end, missing ones are the whole number 0."""
     return [*arguments[:n], *[(F.lit(0), "int")] * (n - len(arguments))]
@@ -395,6 +401,15 @@ def mangled_key(symbol, part: str) -> Column:
     return F.when(is_plain, bare(outer)).when(is_nested, bare(inner)).when(is_free, F.lit(""))
 
 
+def seeded_numbers(seed, n: int) -> Column:
+    """The first n numbers of the seeded multiplicative generator, after its warm-up, in the order its table of 32 is filled."""
+    # Multiplier, modulus, rounds of warm-up.
+    start = F.pmod(_c(seed) + 1, F.lit(1 << 32)).cast("long")
+    step = lambda made, _: F.concat(made, F.array(F.element_at(made, -1) * 16807 % 2147483647))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(8 + n)), F.array(F.when(start == 0, F.lit(1).cast("long")).otherwise(start)), step)
+    return F.slice(made, 10, n)
+
+
 def checksum16(words: Column) -> Column:
     """Sum of 16-bit words in the high half, sum of their complements in the low half, of an array of words."""
     total = F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + w.cast("long"))

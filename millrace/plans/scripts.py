@@ -72,3 +72,12 @@ def domain_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", "ml_converge(s, 20, 3, 2) AS converged", "ml_wrap360(k * 50 - 100) AS turned", "ml_angle_difference(s, k * 20) AS turn", "round(ml_distance2(s, k, 20, 9), 6) AS away", "ml_near(s, k, 20, 9, 10) AS near",
         "ml_in_rect(s, k, 5, 3, 30, 20) AS inside", "ml_cell(s, 5, 4) AS cell", "ml_lerp(5, 25, s / 50) AS blended", "ml_contains(p_name, 'RING') AS has_ring", "ml_masked(p_type || p_partkey) AS masked", "ml_mod(p_partkey, 7) AS modulo", "ml_float(p_name) AS number",
     )
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 0 END AS kind FROM events""")
+def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each value of a column that holds whole numbers, fractions, texts and nothing."""
+    i = c("event_id")
+    forms = F.when(i % 5 == 0, i.cast("string")).when(i % 5 == 1, F.concat(i.cast("string"), F.lit(".5"))).when(i % 5 == 2, F.concat(F.lit('"'), c("event_type"), F.lit('"'))).when(i % 5 == 3, F.get_json_object("props", "$.k")).otherwise(F.lit("null"))
+    return table(spark, sf_dir, "events").select("event_id", S.script_kind_of(F.parse_json(forms)).alias("kind"))

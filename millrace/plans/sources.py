@@ -213,18 +213,18 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT s_suppkey AS slot, s_suppkey * 7 % 150 AS id, 'f' || s_nationkey AS name, 'T' || s_suppkey % 6 AS type FROM supplier), w AS (SELECT DISTINCT p_partkey % 160 AS k FROM part),
-d AS (SELECT k, (SELECT slot FROM e WHERE slot = k AND id = k) AS own, (SELECT min(slot) FROM e WHERE id = k) AS scan, (SELECT min(slot) FROM e WHERE name = 'f' || k) AS named, (SELECT min(slot) FROM e WHERE type = 'T' || k) AS typed, (SELECT slot FROM e WHERE slot = k) AS placed FROM w)
-SELECT k, coalesce(own, scan) AS by_id, named AS by_name, typed AS by_type, placed AS by_index FROM d""")
+WITH e AS (SELECT s_suppkey AS slot, s_suppkey * 7 % 150 AS id, 'f' || s_nationkey AS name, 'T' || s_suppkey % 6 AS type, s_suppkey // 2 * 64 AS pointer FROM supplier), w AS (SELECT DISTINCT p_partkey % 160 AS k FROM part),
+d AS (SELECT k, (SELECT slot FROM e WHERE slot = k AND id = k) AS own, (SELECT min(slot) FROM e WHERE id = k) AS scan, (SELECT min(slot) FROM e WHERE name = 'f' || k) AS named, (SELECT min(slot) FROM e WHERE type = 'T' || k) AS typed, (SELECT slot FROM e WHERE slot = k) AS placed, (SELECT min(slot) FROM e WHERE pointer = k * 64) AS pointed FROM w)
+SELECT k, coalesce(own, scan) AS by_id, named AS by_name, typed AS by_type, placed AS by_index, pointed AS by_pointer FROM d""")
 def archive_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries by id (its own slot first), name, type and index."""
+    """Entries by id (its own slot first), name, type, index and the address of their data, at which several may stand."""
     s = c("s_suppkey")
-    e = table(spark, sf_dir, "supplier").select(s.alias("slot"), (s * 7 % 150).alias("id"), F.concat(F.lit("f"), c("s_nationkey").cast("string")).alias("name"), F.concat(F.lit("T"), (s % 6).cast("string")).alias("type"), s.alias("index"))
+    e = table(spark, sf_dir, "supplier").select(s.alias("slot"), (s * 7 % 150).alias("id"), F.concat(F.lit("f"), c("s_nationkey").cast("string")).alias("name"), F.concat(F.lit("T"), (s % 6).cast("string")).alias("type"), s.alias("index"), (F.floor(s / 2) * 64).alias("pointer"))
     w = table(spark, sf_dir, "part").select((c("p_partkey") % 160).alias("k")).distinct()
-    w = w.select("k", c("k").alias("id"), F.concat(F.lit("f"), c("k").cast("string")).alias("name"), F.concat(F.lit("T"), c("k").cast("string")).alias("type"), c("k").alias("index"))
-    for by in ("id", "name", "type", "index"):
+    w = w.select("k", c("k").alias("id"), F.concat(F.lit("f"), c("k").cast("string")).alias("name"), F.concat(F.lit("T"), c("k").cast("string")).alias("type"), c("k").alias("index"), (c("k") * 64).alias("pointer"))
+    for by in ("id", "name", "type", "index", "pointer"):
         w = w.join(archive.lookup(e, w, by, direct=by == "id").withColumnRenamed("slot", f"by_{by}"), by, "left")
-    return w.select("k", "by_id", "by_name", "by_type", "by_index")
+    return w.select("k", "by_id", "by_name", "by_type", "by_index", "by_pointer")
 
 
 @query("""

@@ -142,13 +142,17 @@ def set_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT a.l_orderkey, CASE WHEN a.l_quantity = b.l_quantity AND a.l_suppkey % 3 = b.l_suppkey % 3 THEN 'exact' WHEN a.l_suppkey % 3 <> b.l_suppkey % 3 THEN 'frame' WHEN abs(a.l_quantity - b.l_quantity) < 10 THEN 'slots' ELSE 'other' END AS status
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2""")
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)
+SELECT a.l_orderkey, a.k::INT AS k, CASE WHEN a.l_quantity = b.l_quantity AND a.l_suppkey % 3 = b.l_suppkey % 3 THEN 'exact' WHEN a.l_suppkey % 3 <> b.l_suppkey % 3 THEN 'frame' WHEN abs(a.l_quantity - b.l_quantity) < 10 THEN 'slots' ELSE 'other' END AS status
+FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.k + 1 = b.k""")
 def compared_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").alias("size"), (c("l_suppkey") % 3).alias("frame"))
+    """Each line of an order with the next one."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("k"), c("l_quantity").alias("size"), (c("l_suppkey") % 3).alias("frame"))
     rules = [((c("a_size") == c("b_size")) & (c("a_frame") == c("b_frame")), "exact"), (c("a_frame") != c("b_frame"), "frame"), (F.abs(c("a_size") - c("b_size")) < 10, "slots")]
-    side = lambda n: lines.filter(c("l_linenumber") == n).drop("l_linenumber")
-    return D.compared(side(1), side(2), ["l_orderkey"], rules, "other")
+    return D.compared(lines, lines.withColumn("k", c("k") - 1), ["l_orderkey", "k"], rules, "other")
 
 
 @query("""
@@ -200,10 +204,13 @@ def normal_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT l_orderkey, list(l_partkey % 65536 ORDER BY l_linenumber) AS v FROM lineitem GROUP BY 1) SELECT l_orderkey, ((list_sum(v) % 65536)::BIGINT << 16) | (list_sum([65535 - x FOR x IN v]) % 65536)::BIGINT AS checksum FROM w""")
+WITH w AS (SELECT l_orderkey, list(l_partkey % 65536 ORDER BY l_linenumber, l_partkey) AS a FROM lineitem GROUP BY 1), x AS (SELECT l_orderkey, a[1:greatest(len(a) - 2, 0)] AS v FROM w)
+SELECT l_orderkey, ((coalesce(list_sum(v), 0) % 65536)::BIGINT << 16) | (coalesce(list_sum([65535 - x FOR x IN v]), 0) % 65536)::BIGINT AS checksum FROM x""")
 def checksum_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(c("l_partkey") % 65536).alias("v"))
-    return words.select("l_orderkey", S.checksum16(c("v")).alias("checksum"))
+    """Checksums of the lines' words, the last four bytes, where the checksum itself stands, left out."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    words = F.transform(F.slice("l", F.lit(1), F.greatest(F.size("l") - 2, F.lit(0))), lambda x: x["l_partkey"] % 65536)
+    return lines.select("l_orderkey", S.checksum16(words).alias("checksum"))
 
 
 @query("""SELECT o_orderkey, coalesce(sum(l_quantity), 0)::BIGINT AS size FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <> 3 WHERE o_orderstatus <> 'P' GROUP BY o_orderkey""")
@@ -225,7 +232,7 @@ def uniform_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s_suppkey, list_transform(range(9, 15), lambda n: list_reduce(list_concat([(s_suppkey + 1) & 4294967295], range(n)), lambda x, y: x * 16807 % 2147483647)) AS numbers FROM supplier""")
 def seeded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first six numbers of each seed's generator."""
-    return _batches(spark, table(spark, sf_dir, "supplier").select("s_suppkey"), lambda r: [(r["s_suppkey"], T.minstd(r["s_suppkey"], 6))], "s_suppkey long, numbers array<long>")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", S.seeded_numbers(c("s_suppkey"), 6).alias("numbers"))
 
 
 @query("""
