@@ -133,4 +133,4 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     order = W.partitionBy("query_row").orderBy(F.col("wide").desc(), F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     score = F.when(F.col("wide") != 0, F.raise_error(F.lit("a score does not fit a long"))).otherwise(F.col("score"))
-    return ranked.select("query_id", "rank", "vec_id", score.cast("long").alias("score"))
+    return vector_blocks.named(ranked.select("query_id", "rank", "vec_id", score.cast("long").alias("score")))

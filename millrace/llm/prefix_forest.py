@@ -198,4 +198,4 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, effort: float = EFFORT
     planned = cut(queries.join(sums.select("qb", F.col("s.s").alias("sums")), "qb").join(wanted, "dim"), "query-plans")
     found = vector_blocks.each_pair(planned, blocks, "query_id long, query_row long, vec_id long, wide int, score double", searcher, ["sums", "wanted"])
     order = W.partitionBy("query_row").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return vector_blocks.named(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))

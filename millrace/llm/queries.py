@@ -85,10 +85,10 @@ QUERIES = {f.__name__: f for f in (op1_pivot_topk, op2_interpolated_lm, op3_warc
 ORACLES = {
     "op1_pivot_topk": """
 WITH v AS (SELECT row_number() OVER () AS rn, vec_id::BIGINT AS id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS vec FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.rn AS query_row, q.id AS query_id, c.id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
       FROM v q JOIN v c ON q.id % 100 = 0 AND c.rn <> q.rn)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 10
 """,
     "op3_warc_bundles": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

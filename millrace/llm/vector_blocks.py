@@ -6,7 +6,8 @@ are packed into full blocks of QUERY_ROWS and brought to the candidates: as a br
 BROADCAST_BYTES, else by a join on slots, into which the candidate blocks are dealt once and the query blocks copied.
 
 Every row with a usable vector takes part and has a number of its own, so rows that repeat an id are rows like any other, and a query
-row leaves out itself alone. Vectors that are null, empty or hold null or non-finite components and rows without an id take no part.
+row leaves out itself alone. Vectors that are null, empty or hold null or non-finite components take no part. Rows without an id are
+candidates like others, after all ids in ties; NO_ID stands for theirs on the way. They are queries only where is_query says so of null.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ QUERY_ROWS = 512
 BROADCAST_BYTES = 32 << 20
 #: Candidate blocks in a slot, where queries are too many to be broadcast.
 BLOCKS_A_SLOT = 8
+#: What stands for a missing id; an id of this number would be taken for a missing one.
+NO_ID = 2**63 - 1
 _FIELDS = "dim int, u int, n int, vecs binary, sizes binary, ids binary, rows binary, aux binary"
 
 
@@ -60,7 +63,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id long, vec array<double>, row long) of the vectors that take part, as a table; row numbers it."""
     x = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return cut(x.filter("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0").filter(finite).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    return cut(x.filter("vec IS NOT NULL AND size(vec) > 0").filter(finite).withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
 def pack(x: DataFrame, rows: int, prepare: Callable[[], Callable[[np.ndarray], bytes]]) -> DataFrame:
@@ -93,7 +96,13 @@ def pack(x: DataFrame, rows: int, prepare: Callable[[], Callable[[np.ndarray], b
         for dim, got in held.items():
             yield one(dim, got, make)
 
-    return x.select("id", "vec", "row").mapInArrow(blocks, _FIELDS)
+    return x.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "vec", "row").mapInArrow(blocks, _FIELDS)
+
+
+def named(found: DataFrame) -> DataFrame:
+    """found (query_id, rank, vec_id, score) with null for the ids that are missing."""
+    none = F.lit(NO_ID)
+    return found.select(F.nullif("query_id", none).alias("query_id"), "rank", F.nullif("vec_id", none).alias("vec_id"), "score")
 
 
 def query_blocks(ready: DataFrame, is_query: Column, prepare: Callable) -> DataFrame:

@@ -15,7 +15,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import common, factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, warc_bundles
+from millrace.llm import common, factor_quality, interpolated_lm, kd_shards, piece_codec, pivot_topk, poisson_mix, prefix_forest, segment_langid, simhash_dedup, vector_blocks, warc_bundles
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -46,9 +46,13 @@ def hard_vectors(n=300, dim=8, seed=1):
 
 
 def usable_rows(rows, nonzero=False):
-    """(id, vector) of the rows that take part; rows that repeat an id stay rows of their own."""
+    """(id, vector) of the rows that take part; rows that repeat an id stay rows of their own, a missing id is the largest."""
     fine = lambda v: v and all(x is not None and math.isfinite(x) for x in v) and (any(v) or not nonzero)
-    return [(i, v) for i, v, *_ in rows if i is not None and fine(v)]
+    return [(vector_blocks.NO_ID if i is None else i, v) for i, v, *_ in rows if fine(v)]
+
+
+def found_rows(df):
+    return sorted((q, r, vector_blocks.NO_ID if i is None else i, s) for q, r, i, s in df.collect())
 
 
 def plain_top(rows, score, every):
@@ -65,7 +69,8 @@ def test_pivot_topk_is_exact(spark):
     rows = hard_vectors() + [(50, [3.0] * 8, "", ""), (50, [3.0] * 8, "", ""), (100, [-0.5] * 8, "", "")]
     ok = [(i, [int(math.floor(x * 1024)) for x in v]) for i, v in usable_rows(rows)]
     expected = plain_top(ok, lambda v, w: -sum(a * b for a, b in zip(v, w, strict=True)), 50)
-    got = sorted(map(tuple, pivot_topk.top_k(vectors(spark, rows), F.col("id") % 50 == 0).collect()))
+    got = found_rows(pivot_topk.top_k(vectors(spark, rows), F.col("id") % 50 == 0))
+    assert any(i == vector_blocks.NO_ID for _, _, i, _ in got)
     assert got == [(q, r, i, -s) for q, r, i, s in expected]
 
 
@@ -103,7 +108,8 @@ def test_pivot_elimination_stops_early():
 def test_prefix_forest_measures_all_of_small_tables(spark):
     rows = hard_vectors(60) + [(50, [3.0] * 8, "", ""), (50, [3.0] * 8, "", "")]
     expected = plain_top(usable_rows(rows, nonzero=True), lambda v, w: float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), 10)
-    got = sorted(map(tuple, prefix_forest.neighbours(vectors(spark, rows), F.col("id") % 10 == 0, effort=9.0).collect()))
+    got = found_rows(prefix_forest.neighbours(vectors(spark, rows), F.col("id") % 10 == 0, effort=9.0))
+    assert any(i == vector_blocks.NO_ID for _, _, i, _ in got)
     assert [g[:3] for g in got] == [e[:3] for e in expected]
     assert [g[3] for g in got] == pytest.approx([e[3] for e in expected])
 
