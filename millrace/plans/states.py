@@ -14,6 +14,7 @@ from millrace.operators import lookups as L
 from millrace.operators import ordered as O  # noqa: E741
 from millrace.operators import ranked as R
 from millrace.operators import series
+from millrace.operators import texts as X
 from millrace.plans.base import query
 from millrace.plans.sources import _batches
 from millrace.session import place, table, written
@@ -191,16 +192,22 @@ def canonical_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, 'g ( ' || CASE p_partkey % 3 WHEN 0 THEN '$P' WHEN 1 THEN '$L' ELSE 'a2' END || ' , ' || p_size || ' ) ; h' AS normal FROM part""")
+WITH s AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q, CASE l_partkey % 4 WHEN 0 THEN '$P' WHEN 1 THEN '$L' ELSE 'a' || l_partkey % 4 END AS x FROM lineitem),
+t AS (SELECT o, n, p, s, q, CASE p % 3 WHEN 0 THEN 'g' || s || ' ( ' || x || ' , ' || q || '.50 , d ) ;' WHEN 1 THEN 'if ( ' || x || ' < 0x' || s || ' ) { ' || x || ' = m' || p || ' ; }' ELSE 'h ( ' || q || ' ) + k [ ' || x || ' ]' END AS line FROM s)
+SELECT o AS l_orderkey, string_agg(line, ' ' ORDER BY n, p, s, q) AS normal FROM t GROUP BY o""")
 def normal_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of code in normal form: receivers, returns and number suffixes gone, names of parameters and locals replaced."""
-
-    def make(r):
-        line = f"return this->v{r['p_partkey']}[2].g(a{r['p_partkey'] % 3}, {r['p_size']}.0f); /* x */ ; h"
-        tokens = T.normal_tokens([t for t, _ in T.lex(line)], {"a0"}, {"a1"})
-        return [(r["p_partkey"], " ".join(tokens))]
-
-    return _batches(spark, table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey long, normal string")
+    """Bodies of code, a line a statement, in normal form: receivers, returns and number suffixes gone, names of parameters and locals replaced."""
+    p, s, q, x = c("l_partkey"), c("l_suppkey").cast("string"), c("l_quantity").cast("long").cast("string"), F.concat(F.lit("a"), (c("l_partkey") % 4).cast("string"))
+    name = p.cast("string")
+    call = F.concat(F.lit("this->v"), name, F.lit("[2].g"), s, F.lit("("), x, F.lit(", "), q, F.lit(".50f, (b[c.e()]).d); // g(x)"))
+    branch = F.concat(F.lit("if (p->"), x, F.lit(" < 0x"), s, F.lit("UL) { "), x, F.lit(" = f(1)->m"), name, F.lit("; }"))
+    branch = F.replace(branch, F.concat(F.lit("p->"), x), x)
+    back = F.concat(F.lit("return this->h("), q, F.lit(".0) + t.k["), x, F.lit("]; /* ; */"))
+    line = F.when(p % 3 == 0, call).when(p % 3 == 1, branch).otherwise(back)
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", c("l_quantity").alias("q"), line.alias("line"))
+    bodies = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    bodies = bodies.select("l_orderkey", F.array_join(F.transform("all", lambda e: e["line"]), "\n").alias("text"), F.array(F.lit("a0")).alias("parameters"), F.array(F.lit("a1")).alias("locals"))
+    return X.normal_forms(bodies, "l_orderkey", "text", "parameters", "locals").select("l_orderkey", F.array_join("normal", " ").alias("normal"))
 
 
 @query("""
