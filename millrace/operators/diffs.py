@@ -139,18 +139,19 @@ def paired_leftovers(a: DataFrame, b: DataFrame, by: list[str], item: str) -> Da
     return placed.groupBy(*by, "place").agg(*(F.max(F.when(F.col("side") == s, F.col(item))).alias(s) for s in ("left", "right")))
 
 
-def combined_edits(edits: DataFrame, unit: str, site: str, edit: str, gain: str, extra: list[str], rescored) -> DataFrame:
-    """(unit, kept, score): edits with a gain are tried by falling gain, smaller `edit` first; one is kept where its site has none and the unit's new score is better.
+def combined_edits(edits: DataFrame, unit: str, site: str, edit: str, gain: str, extra: list[str], scored) -> DataFrame:
+    """(unit, kept, score): edits with a gain are tried by falling gain, smaller `edit` first; one is kept where its site has none and the unit, scored anew with it, is better.
 
-    rescored(score, kept, edit) is the score with the edit beside those kept, which are structs of edit, site, gain and extra. Edits of a unit are few: one row holds them."""
+    scored(edits) is the score of the unit with a list of edits, structs of edit, site, gain and extra, from nothing else. Edits of a unit are few: one row holds them."""
     o = F.struct((-F.col(gain)).alias("o"), *(F.col(x) for x in dict.fromkeys([edit, site, gain, *extra])))
     lists = edits.filter(F.col(gain) > 0).groupBy(unit).agg(F.array_sort(F.collect_list(o)).alias("all"))
     none = F.filter("all", lambda e: F.lit(False))
 
     def tried(s, e):
-        new = rescored(s["score"], s["kept"], e)
+        more = F.concat(s["kept"], F.array(e))
+        new = scored(more)
         good = ~F.exists(s["kept"], lambda k: k[site].eqNullSafe(e[site])) & (new > s["score"] + 1e-6)
-        return F.struct(F.when(good, F.concat(s["kept"], F.array(e))).otherwise(s["kept"]).alias("kept"), F.when(good, new).otherwise(s["score"]).alias("score"))
+        return F.struct(F.when(good, more).otherwise(s["kept"]).alias("kept"), F.when(good, new).otherwise(s["score"]).alias("score"))
 
-    done = lists.select(unit, F.aggregate("all", F.struct(none.alias("kept"), F.lit(0.0).alias("score")), tried).alias("s"))
+    done = lists.select(unit, F.aggregate("all", F.struct(none.alias("kept"), scored(none).alias("score")), tried).alias("s"))
     return done.select(unit, F.transform("s.kept", lambda k: k[edit]).alias("kept"), "s.score")

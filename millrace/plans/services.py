@@ -125,5 +125,7 @@ def effect_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as edits of their order at one of five sites; edits of one return flag spoil each other by 12 a pair. Held against a plain loop in the tests."""
     edits = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (c("l_suppkey") % 5).alias("site"), "l_returnflag", (c("l_quantity") - 10).cast("double").alias("gain"))
-    spoilt = lambda kept, e: F.size(F.filter(kept, lambda k: k["l_returnflag"] == e["l_returnflag"])) * 12.0
-    return D.combined_edits(edits, "l_orderkey", "site", "l_linenumber", "gain", ["l_returnflag"], lambda score, kept, e: score + e["gain"] - spoilt(kept, e))
+    alike = lambda all_, e: F.size(F.filter(all_, lambda k: k["l_returnflag"] == e["l_returnflag"])) - 1
+    # Each pair is met from both sides.
+    scored = lambda all_: F.aggregate(all_, F.lit(0.0), lambda sum_, e: sum_ + e["gain"] - alike(all_, e) * 6.0)
+    return D.combined_edits(edits, "l_orderkey", "site", "l_linenumber", "gain", ["l_returnflag"], scored)
