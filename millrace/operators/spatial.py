@@ -24,13 +24,17 @@ def shells(df: DataFrame, position: list[Column], radius: Column, width: float =
 
 
 def meeting_pairs(df: DataFrame, key: str, position: list[str], radius: str, height: str, width: float = 70.0) -> DataFrame:
-    """(a, b), a < b, of rows whose upright cylinders meet; a pair that shares several shells is found once."""
+    """(a, b), a < b, of rows whose upright cylinders share a shell and meet; a pair that shares several shells is found once.
+
+    There are few shells, so rows meet by shell and by the grid cells that they touch: those that meet touch one together."""
     x, y, z = position
     laid = shells(df.select(key, *position, radius, height), [F.col(x), F.col(z)], F.col(radius), width)
-    a = laid.select(*(F.col(c).alias(f"a_{c}") for c in (key, *position, radius, height)), "shell")
-    b = laid.select(*(F.col(c).alias(f"b_{c}") for c in (key, *position, radius, height)), "shell")
+    r, cell = F.col(radius), ["cell_x", "cell_z"]
+    laid = cells_of(laid, [F.col(x) - r, F.col(z) - r], [F.col(x) + r, F.col(z) + r], width, cell)
+    a = laid.select(*(F.col(c).alias(f"a_{c}") for c in (key, *position, radius, height)), "shell", *cell)
+    b = laid.select(*(F.col(c).alias(f"b_{c}") for c in (key, *position, radius, height)), "shell", *cell)
     side = lambda s: ([F.col(f"{s}_{c}") for c in position], F.col(f"{s}_{radius}"), F.col(f"{s}_{height}"))
-    near = a.join(b, "shell").filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & S.cylinders_meet(*side("a"), *side("b")))
+    near = a.join(b, ["shell", *cell]).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & S.cylinders_meet(*side("a"), *side("b")))
     return near.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")).distinct()
 
 
