@@ -41,15 +41,18 @@ _shipped: set[str] = set()
 
 #: Rows of an Arrow batch: texts are long, and a batch stands in both processes and in direct memory.
 ARROW_ROWS = 2_000
-_ARROW, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Bytes of one, for rows that are longer still.
+ARROW_BYTES = 8 << 20
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(ARROW_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{ARROW_BYTES}b")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python workers this package, once an application; Spark hands the archive out. Arrow batches get ARROW_ROWS rows, unless the
-    session has a number of its own."""
+    """Gives the executors' Python workers this package, once an application; Spark hands the archive out. Arrow batches get ARROW_ROWS rows and
+    ARROW_BYTES bytes at most, unless the session has numbers of its own."""
     context = spark.sparkContext
-    if spark.conf.get(_ARROW) == _ARROW_DEFAULT:
-        spark.conf.set(_ARROW, str(ARROW_ROWS))
+    for name, (default, ours) in _ARROW.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, ours)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
