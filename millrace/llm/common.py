@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,7 +16,7 @@ from millrace.session import discard, ship
 from millrace.session import shared_folder as shared_dir
 from millrace.session import written as cut
 
-__all__ = ["cut", "discard", "fold", "lower_words", "map_texts", "mix", "segment_sums", "shared_dir", "text_runs", "word_hashes"]
+__all__ = ["cut", "discard", "fold", "give_back", "lower_words", "map_texts", "mix", "segment_sums", "shared_dir", "text_runs", "word_hashes"]
 
 #: Texts are worked on in runs of about this many bytes, so a worker's memory does not follow the batch.
 RUN_CHARS = 1_000_000
@@ -103,6 +105,13 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: a worker goes on to other tasks, and its memory counts on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], outputs: dict[str, str], make: Callable[[], Callable], inputs: Sequence[Column] = ()) -> DataFrame:
     """Columns `keep` of docs, passed on untouched, and `outputs` (name to type), made from each row's text and inputs.
 
@@ -124,6 +133,8 @@ def map_texts(docs: DataFrame, text_col: str, keep: Sequence[str], outputs: dict
                 made = work(texts, *(part.column(k + 1 + j).to_pylist() for j in range(more)))
                 columns = [*part.columns[:k], *(pa.array(v, type=t) for v, t in zip(made, arrow, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{j}" for j in range(len(columns))])
+        del work
+        give_back()
 
     placed = docs.select(*(F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(keep)), F.col(f"`{text_col}`").alias("t"), *(x.alias(f"x{j}") for j, x in enumerate(inputs)))
     schema = ", ".join(f"c{j} {t}" for j, t in enumerate([*kinds, *outputs.values()]))

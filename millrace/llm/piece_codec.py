@@ -30,7 +30,7 @@ from millrace.llm.common import map_texts
 SPACE = "▁"
 NONE = np.int64(2**62)
 #: Distinct units whose pieces a worker remembers; beyond it the memory starts anew, results don't change.
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 LONG_UNIT = 48
 
 

@@ -37,7 +37,7 @@ ITERATIONS = 4
 #: Each character's factor, taken out again in the end, keeps products of RESCALE characters away from underflow.
 SCALE = 300.0
 UNKNOWN = 1e-6
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 #: Lattice places that are worked on at once.
 PLACES = 400_000
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+(?:['’]\p{L}[\p{L}\p{M}]*+)*+")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, discard, lower_words, map_texts, mix, segment_sums, word_hashes
+from millrace.llm.common import cut, discard, give_back, lower_words, map_texts, mix, segment_sums, word_hashes
 from millrace.session import ship
 
 BITS = 3
@@ -44,7 +44,7 @@ SIGNATURE = BANDS * BAND_ROWS
 #: Values of two signatures that must agree: a pair at similarity 0.8 misses that with a chance of 4 in 100 million, one at 0.4 meets it once in 1,000.
 AGREE = 54
 #: Bytes of shingle sets that one group of a task holds.
-GROUP_BYTES = 32_000_000
+GROUP_BYTES = 8_000_000
 
 
 def text_fingerprints(texts: list[str], width: int) -> np.ndarray:
@@ -292,6 +292,8 @@ def _linked_groups(rows: DataFrame, key: list[str], node: str, payload: str, siz
                     sizes.append(numbers[i])
             yield out(found)
         yield out(links_of(nodes, payloads, sizes))
+        nodes, payloads, sizes = [], [], []
+        give_back()
 
     dealt = rows.select(*key, node, size, payload).repartition(*key).sortWithinPartitions(*key, node)
     return dealt.mapInArrow(run, "a long, b long")
